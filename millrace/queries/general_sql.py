@@ -65,7 +65,7 @@ P4_PARTS = """
 cells AS (
   SELECT 'checkouts' AS table_name, 'refund_amt' AS column_name, ds, CAST(refund_amt AS VARCHAR) AS value, NOT refund_amt BETWEEN 0 AND 10000 AS bad FROM checkouts
   UNION ALL
-  SELECT 'users', 'account_created_ds', ds, account_created_ds, NOT (regexp_full_match(account_created_ds, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(account_created_ds AS DATE) IS NOT NULL) FROM users
+  SELECT 'users', 'account_created_ds', ds, account_created_ds, account_created_ds IS NOT NULL AND NOT (regexp_full_match(account_created_ds, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(account_created_ds AS DATE) IS NOT NULL) FROM users
   UNION ALL
   SELECT 'users', 'email_verified', ds, CAST(email_verified AS VARCHAR), email_verified NOT IN (0, 1) FROM users),
 counts AS (SELECT table_name, column_name, ds, value, any_value(bad) AS bad, count(*) AS n FROM cells GROUP BY 1, 2, 3, 4),
@@ -81,7 +81,7 @@ mid AS (SELECT column_name, median(a) AS a, median(b) AS b, median(c) AS c, medi
 
 
 def _profile(table: str, columns: dict[str, str]) -> str:
-    tests = {"refund_amt": "NOT refund_amt BETWEEN 0 AND 10000", "email_verified": "email_verified NOT IN (0, 1)", "account_created_ds": "NOT (regexp_full_match(account_created_ds, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(account_created_ds AS DATE) IS NOT NULL)"}
+    tests = {"refund_amt": "NOT refund_amt BETWEEN 0 AND 10000", "email_verified": "email_verified NOT IN (0, 1)", "account_created_ds": "account_created_ds IS NOT NULL AND NOT (regexp_full_match(account_created_ds, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(account_created_ds AS DATE) IS NOT NULL)"}
     parts = []
     for c, kind in columns.items():
         number = c == "refund_amt"
