@@ -18,71 +18,77 @@ from millrace import runtime
 from millrace.functions.columns import fingerprint
 
 FANOUT_BITS = 4
-LEAF_RECORDS = 16
-MAX_DEPTH = 12
+LEAF_RECORDS = 64
+#: A tree has at most 2**MAX_BITS leaves, so any set of leaves is small enough to send to all executors; beyond
+#: LEAF_RECORDS << MAX_BITS records the leaves grow instead.
+MAX_BITS = 17
 
 
-def depth_for(records: int) -> int:
-    """Levels below the root at which a leaf holds about LEAF_RECORDS records."""
-    depth = 1
-    while depth < MAX_DEPTH and records > LEAF_RECORDS << (FANOUT_BITS * depth):
-        depth += 1
-    return depth
+def bits_for(records: int) -> int:
+    """Depth in bits at which a leaf holds about LEAF_RECORDS records."""
+    return max(1, min(MAX_BITS, (max(records, 1) // LEAF_RECORDS).bit_length()))
 
 
-def leaf_of(keys: Sequence[Column], depth: int) -> Column:
-    return F.shiftrightunsigned(fingerprint(keys), 64 - FANOUT_BITS * depth)
+def levels_of(bits: int) -> list[int]:
+    """Depths in bits of the tree's levels from the leaves up; the root is 0."""
+    return [*range(bits, 0, -FANOUT_BITS), 0]
 
 
-def tree(records: DataFrame, keys: Sequence[str], digest: str, depth: int) -> DataFrame:
-    """Nodes (level, node, digest, records) of the records' tree; level 0 is the root. No record gives no node."""
-    keyed = [F.col(k) for k in keys]
-    one = F.xxhash64(fingerprint(keyed, 1), F.col(digest))
-    level = (
-        records.select(leaf_of(keyed, depth).alias("node"), one.alias("d"))
-        .groupBy("node").agg(F.bit_xor("d").alias("digest"), F.count(F.lit(1)).alias("records"))
-    )
-    level = runtime.persist_table(level, "merkle-leaves")
-    levels = [level.withColumn("level", F.lit(depth))]
-    for k in range(depth - 1, -1, -1):
-        level = (
-            levels[-1].groupBy(F.shiftrightunsigned("node", FANOUT_BITS).alias("node"))
-            .agg(F.bit_xor(F.xxhash64("node", "digest", "records")).alias("digest"), F.sum("records").alias("records"))
-        )
-        levels.append(level.withColumn("level", F.lit(k)))
-    return reduce(DataFrame.unionByName, levels).select("level", "node", "digest", "records")
-
-
-def differing_leaves(saved: DataFrame, current: DataFrame, depth: int) -> DataFrame:
+def leaf_of(keys: Sequence[Column], bits: int) -> Column:
+    return F.shiftrightunsigned(fingerprint(keys), 64 - bits)
+
+
+def _leaf_digest(keys: Sequence[str], digest: Column) -> Column:
+    return F.bit_xor(F.xxhash64(fingerprint([F.col(k) for k in keys], 1), digest))
+
+
+def _tree(leaves: DataFrame, bits: int) -> DataFrame:
+    """Nodes (level, node, digest, records) above and with the leaves (node, digest, records); the root's level is 0."""
+    at = levels_of(bits)
+    out = [leaves.withColumn("level", F.lit(bits))]
+    for below, level in zip(at, at[1:], strict=False):
+        up = out[-1].groupBy(F.shiftright("node", below - level).alias("node")).agg(F.bit_xor(F.xxhash64("node", "digest", "records")).alias("digest"), F.sum("records").alias("records"))
+        out.append(up.withColumn("level", F.lit(level)))
+    return reduce(DataFrame.unionByName, out).select("level", "node", "digest", "records")
+
+
+def tree(records: DataFrame, keys: Sequence[str], digest: str, bits: int) -> DataFrame:
+    """The records' tree. No record gives no node."""
+    leaf = leaf_of([F.col(k) for k in keys], bits).alias("node")
+    leaves = records.groupBy(leaf).agg(_leaf_digest(keys, F.col(digest)).alias("digest"), F.count(F.lit(1)).alias("records"))
+    return _tree(runtime.persist_table(leaves, "merkle-leaves"), bits)
+
+
+def differing_leaves(saved: DataFrame, current: DataFrame, bits: int) -> DataFrame:
     """Leaves in which the trees differ, found by going down from the root below differing nodes only."""
     sides = saved.withColumn("side", F.lit(0)).unionByName(current.withColumn("side", F.lit(1)))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.struct("digest", "records")))
     nodes = sides.groupBy("level", "node").agg(pick(0).alias("a"), pick(1).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
     nodes = runtime.persist_table(nodes.select("level", "node"), "merkle-diff")
+    at = levels_of(bits)[::-1]
     frontier = nodes.where("level = 0").select("node")
-    for k in range(1, depth + 1):
+    for above, level in zip(at, at[1:], strict=False):
         up = frontier.select(F.col("node").alias("up"))
-        here = nodes.where(F.col("level") == k).select("node")
-        frontier = here.join(up, F.shiftrightunsigned("node", FANOUT_BITS) == F.col("up"), "left_semi")
+        here = nodes.where(F.col("level") == level).select("node")
+        frontier = here.join(F.broadcast(up), F.shiftright("node", level - above) == F.col("up"), "left_semi")
     return frontier
 
 
-def changes(saved: DataFrame, current: DataFrame, keys: Sequence[str], digest: str, depth: int | None = None) -> DataFrame:
+def changes(saved: DataFrame, current: DataFrame, keys: Sequence[str], digest: str, bits: int | None = None) -> DataFrame:
     """Rows (keys, change) of records that are `new`, `changed` or `removed` between two record states.
 
     Both states have one row per key with a digest (long) of its content. Null keys are keys like others. An empty state
     gives all records of the other; two empty states give no row.
     """
-    depth = depth or depth_for(current.count())
-    before, after = tree(saved, keys, digest, depth), tree(current, keys, digest, depth)
-    return _extract(saved, current, before, after, keys, digest, depth)
+    bits = bits or bits_for(current.count())
+    return _extract(saved, current, tree(saved, keys, digest, bits), tree(current, keys, digest, bits), keys, digest, bits)
 
 
-def _extract(saved: DataFrame, current: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str], digest: str, depth: int) -> DataFrame:
-    leaves = differing_leaves(before, after, depth).select(F.col("node").alias("_leaf"))
+def _extract(saved: DataFrame, current: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str], digest: str, bits: int) -> DataFrame:
+    leaves = differing_leaves(before, after, bits).select(F.col("node").alias("_leaf"))
     keyed = [F.col(k) for k in keys]
     both = saved.select(*keys, F.col(digest).alias("_d"), F.lit(0).alias("_s")).unionByName(current.select(*keys, F.col(digest).alias("_d"), F.lit(1).alias("_s")))
-    touched = both.withColumn("_leaf", leaf_of(keyed, depth)).join(leaves, "_leaf", "left_semi")
+    touched = both.withColumn("_leaf", leaf_of(keyed, bits)).join(F.broadcast(leaves), "_leaf", "left_semi")
     side = lambda s: F.max(F.when(F.col("_s") == s, F.col("_d")))
     pairs = touched.groupBy(*keys).agg(side(0).alias("_a"), side(1).alias("_b")).where(~F.col("_a").eqNullSafe(F.col("_b")))
     change = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "removed").otherwise("changed")
@@ -101,12 +107,24 @@ def record_states(versions: DataFrame, keys: Sequence[str], load: str, content:
 def pending_changes(versions: DataFrame, keys: Sequence[str], load: str, content: Sequence[str], processed: str) -> DataFrame:
     """Records whose newest version differs from what the processed loads left behind, through the two trees.
 
-    A record whose newest version lies in a processed load has equal digests on both sides, hence no row.
+    Both digests of a record come from one pass and stay in one row, so the leaves of both trees come from one aggregate
+    and the changed leaves are compared where they lie. A record whose newest version lies in a processed load has equal
+    digests, hence no row.
     """
     states = runtime.persist_table(record_states(versions, keys, load, content, processed), "merkle-states")
-    saved = states.where("saved is not null").select(*keys, F.col("saved").alias("digest"))
-    current = states.select(*keys, F.col("current").alias("digest"))
-    return changes(saved, current, keys, "digest")
+    bits = bits_for(states.count())
+    leaf = leaf_of([F.col(k) for k in keys], bits)
+    known = F.col("saved").isNotNull()
+    leaves = states.groupBy(leaf.alias("node")).agg(
+        _leaf_digest(keys, F.col("current")).alias("d1"), F.count(F.lit(1)).alias("n1"),
+        F.bit_xor(F.when(known, F.xxhash64(fingerprint([F.col(k) for k in keys], 1), "saved"))).alias("d0"), F.count("saved").alias("n0"),
+    )
+    leaves = runtime.persist_table(leaves, "merkle-leaves")
+    before = _tree(leaves.where("n0 > 0").select("node", F.col("d0").alias("digest"), F.col("n0").alias("records")), bits)
+    after = _tree(leaves.select("node", F.col("d1").alias("digest"), F.col("n1").alias("records")), bits)
+    changed = differing_leaves(before, after, bits).select(F.col("node").alias("_leaf"))
+    touched = states.withColumn("_leaf", leaf).join(F.broadcast(changed), "_leaf", "left_semi").where(~F.col("saved").eqNullSafe(F.col("current")))
+    return touched.select(*keys, F.when(known, "changed").otherwise("new").alias("change"))
 
 
 def processed_loads(loads: DataFrame, load: str, runs: DataFrame) -> DataFrame:
@@ -152,17 +170,16 @@ class IncrementalStore:
         old = self.version()
         at = f"{self.root}/v{old + 1}"
         records = runtime.persist_table(current.select(*self.keys, *content, fingerprint([F.col(c) for c in content], 2).alias("digest")), "records", f"{at}/records")
-        count = records.count()
-        depth = depth_for(count)
-        after = runtime.persist_table(tree(records, self.keys, "digest", depth), "tree", f"{at}/tree")
+        bits = bits_for(records.count())
+        after = runtime.persist_table(tree(records, self.keys, "digest", bits), "tree", f"{at}/tree")
         if old:
             saved = self.spark.read.parquet(f"{self.root}/v{old}/records")
             before = self.spark.read.parquet(f"{self.root}/v{old}/tree")
-            if before.agg(F.max("level")).head()[0] != depth:
-                before = tree(saved, self.keys, "digest", depth)
+            if before.agg(F.max("level")).head()[0] != bits:
+                before = tree(saved, self.keys, "digest", bits)
         else:
             saved, before = records.limit(0), after.limit(0)
-        found = _extract(saved, records, before, after, self.keys, "digest", depth)
+        found = _extract(saved, records, before, after, self.keys, "digest", bits)
         same = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in self.keys])
         rows = found.alias("f").join(records.alias("r"), same, "left").select(*[f"f.{k}" for k in self.keys], "f.change", *[f"r.{c}" for c in content])
         rows.write.mode("overwrite").parquet(f"{at}/output")
