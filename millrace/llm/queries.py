@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage
+from millrace.llm import leakage, textstats
 from millrace.runtime import read_table
 
 
@@ -22,5 +22,24 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest_words"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_items)}
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return textstats.quality(read_table(spark, d, "documents"), "doc_id", "text", "lang", read_table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).where("not prose").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document with its distance from prose and what each statistic adds to it."""
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    q = _quality(spark, d)
+    return q.select(
+        F.col("id").alias("doc_id"), F.col("found").alias("language"), F.col("n").alias("word_count"), share("letters", "alpha").alias("mean_word_length"), share("symbols", "chars").alias("symbol_ratio"),
+        share("ended", "lines").alias("line_end_share"), share("hits", "alpha").alias("common_word_share"), F.round("distance", 4).alias("distance"),
+        *[F.round(f"d_{s}", 4).alias(f"from_{s}") for s in textstats.STATISTICS], "prose",
+    )
+
+
+QUERIES = {f.__name__: f for f in (p9_found, p9_items, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}

@@ -7,38 +7,309 @@ innermost documents, found by repeated concentration, and the distance splits ex
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
-import regex
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+")
-_SPLIT = regex.compile(r"\s*[|»]\s*|\s{2,}|\t")
-_ENDS = regex.compile(r"[.!?…:;][\"'”’»)\]]*$")
-_STOPS = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
-_FOOTER = regex.compile(r"^\W{0,3}(?:©|\(c\)|copyright\b)", regex.I)
-#: UTF-8 read as Windows-1252 or Latin-1 leaves these leads.
-_SPOILED = regex.compile(r"[ÃÂâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+from millrace import runtime
+
+#: An entry in this share of all documents (and in so many at least) is page furniture.
+FREQUENT_SHARE, FREQUENT_DOCS = 0.008, 5
+#: Longer entries are content.
+ENTRY_CHARS = 200
+#: With fewer words of content, a page that has notices is judged by them.
+LEAST_WORDS = 15
+TITLE_WORDS = 12
+#: Distance beyond which a document is no prose.
+FAR = 18.0
+#: Documents of a language that the estimate of its prose needs at least; else that of all languages serves.
+LEAST_DOCS = 20
+#: Shares of documents kept in the concentration steps.
+CORE = (0.5, 0.65, 0.75, 0.75)
+
+STATISTICS = ("words", "word_length", "symbols", "line_ends", "common_words", "numbers", "line_words", "sentence_words")
+#: Spread of each statistic that is taken as harmless on top of what the language's prose shows.
+TOLERANCE = (1.5, 0.4, 0.05, 0.6, 0.02, 0.05, 1.0, 0.6)
+#: Statistics whose excess over prose speaks for prose: only what is missing counts.
+ONLY_BELOW = ("words", "line_ends", "common_words", "sentence_words")
+#: Weight of the language's typical value against the document's own: documents of few words say little.
+PRIOR = {"word_length": 12, "symbols": 100, "line_ends": 3, "common_words": 12, "numbers": 12, "line_words": 1, "sentence_words": 1}
+
+# Three-letter codes of languages by their two-letter codes.
+LABELS = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
+
+_SPOILED = re.compile("[ÃÂâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_HIGH_RUN = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2,}")
+_MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]+")
+_RUN = re.compile(r"[^\W_]+")
+_SPLIT = re.compile(r"\s*[|»\t]\s*|\s{2,}")
+_END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
+_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
+_FOOTER = re.compile(r"^\W{0,3}(?:©|\(c\)\s|copyright\b)", re.I)
+
+
+def _decode(m: re.Match) -> str:
+    try:
+        return b"".join(bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252") for c in m[0]).decode("utf-8")
+    except UnicodeDecodeError:
+        return m[0]
 
 
 def repaired(text: str) -> str:
-    """Text with UTF-8 that was decoded as a single-byte charset decoded again, run by run; the rest stays."""
-    if not _SPOILED.search(text):
+    """Text in composed form; UTF-8 that was read as a single-byte charset is read again, run by run."""
+    if text.isascii():
         return text
-    def fix(m):
-        raw = bytearray()
-        for ch in m[0]:
-            try:
-                raw += ch.encode("cp1252")
-            except UnicodeEncodeError:
-                raw.append(ord(ch) & 0xFF)
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
-    return regex.sub(r"[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2,}", fix, text)
+    return unicodedata.normalize("NFC", _HIGH_RUN.sub(_decode, text) if _SPOILED.search(text) else text)
 
 
 def folded(text: str) -> str:
     """Lower case without accents and invisible characters."""
     return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+
+
+def entry_hash(entry: str) -> int:
+    """Spark's xxhash64 of the string."""
+    h = xxhash.xxh64_intdigest(entry.encode("utf-8", "replace"), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def frequent_entries(texts: DataFrame, text: str) -> set[int]:
+    """Hashes of lines and of parts of lines (cut at bars, tabs and wide gaps) that many documents share.
+
+    Every document counts each of its entries once; counts combine before the shuffle. As each entry found takes up
+    FREQUENT_SHARE of the documents, there are at most (entries per document / FREQUENT_SHARE) of them.
+    """
+    own = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    entries = F.array_distinct(F.concat(F.split("t", r"\s*\n\s*"), F.split("t", r"\s*[|»\t\n]\s*|\s{2,}")))
+    hashes = own.select(F.explode(F.transform(F.filter(entries, lambda e: (e != "") & (F.length(e) <= ENTRY_CHARS)), lambda e: F.xxhash64(F.trim(e)))).alias("h"))
+    least = max(FREQUENT_DOCS, FREQUENT_SHARE * own.count())
+    found = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h").limit(runtime.BROADCAST_ROWS + 1).collect()
+    if len(found) > runtime.BROADCAST_ROWS:
+        raise ValueError("documents share more entries than page furniture can be")
+    return {r.h for r in found}
+
+
+class Reader:
+    """Splits texts into content and furniture and measures the content."""
+
+    def __init__(self, frequent: set[int], common: Mapping[str, tuple[str, ...]]):
+        self.frequent, self.common = frequent, common
+        self.kinds: dict[str, str] = {}
+
+    def is_frequent(self, entry: str) -> bool:
+        return entry_hash(entry) in self.frequent
+
+    def kind(self, line: str) -> str:
+        """`menu`, `notice` (furniture in sentences) or `content`."""
+        if len(line) > ENTRY_CHARS:
+            return "content"
+        known = self.kinds.get(line)
+        if known is None:
+            if len(self.kinds) > 200_000:
+                self.kinds.clear()
+            known = self.kinds[line] = self._kind(line)
+        return known
+
+    def _kind(self, line: str) -> str:
+        if self.is_frequent(line):
+            return "notice" if len(_RUN.findall(line)) >= 6 and _STOP.search(line) else "menu"
+        parts = _SPLIT.split(line)
+        if all(self.is_frequent(p) for p in parts if p):
+            return "menu"
+        return "menu" if self._phrases(line.split(" ")) else "content"
+
+    def _phrases(self, tokens: list[str]) -> bool:
+        """Whether the tokens are frequent entries side by side."""
+        i = 0
+        while i < len(tokens):
+            for j in range(min(len(tokens), i + 4), i, -1):
+                if self.is_frequent(" ".join(tokens[i:j])):
+                    i = j
+                    break
+            else:
+                return False
+        return True
+
+    def content(self, text: str) -> list[str]:
+        kept, notices = [], []
+        for line in repaired(text).split("\n"):
+            line = line.strip()
+            if not line or _FOOTER.match(line):
+                continue
+            kind = self.kind(line)
+            if kind == "content":
+                kept.append(line)
+            elif kind == "notice":
+                notices.append(line)
+        if kept and (len(kept) > 1 or notices) and len(kept[0]) <= ENTRY_CHARS and not _END.search(kept[0]) and len(kept[0].split()) <= TITLE_WORDS:
+            kept = kept[1:]
+        return kept or notices
+
+    def measure(self, text: str | None) -> tuple:
+        """(words, letter words, letters, symbols, characters, lines, ended lines, sentence ends, common words, language)."""
+        lines = self.content(text) if text else []
+        words = alpha = letters = runs = chars = ended = stops = hits = 0
+        by_lang: dict[str, int] = {}
+        for line in lines:
+            found = _RUN.findall(folded(line))
+            words += len(found)
+            here: dict[str, int] = {}
+            for w in found:
+                runs += len(w)
+                if w.isalpha():
+                    alpha += 1
+                    letters += len(w)
+                    for lang in self.common.get(w, ()):
+                        here[lang] = here.get(lang, 0) + 1
+            if here:
+                hits += max(here.values())
+                for lang, k in here.items():
+                    by_lang[lang] = by_lang.get(lang, 0) + k
+            chars += len("".join(line.split()))
+            ended += bool(_END.search(line))
+            stops += len(_STOP.findall(line))
+        lang = max(sorted(by_lang), key=by_lang.__getitem__) if by_lang else None
+        return words, alpha, letters, max(0, chars - runs), chars, len(lines), ended, stops, hits, lang
+
+
+MEASURES = "n long, alpha long, letters long, symbols long, chars long, lines long, ended long, stops long, hits long, found string"
+_NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+
+
+def _measure(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for b in batches:
+            cols = list(zip(*[reader.measure(t) for t in b.column(2).to_pylist()], strict=True)) if b.num_rows else [()] * len(_NAMES)
+            arrays = [pa.array(c, pa.string() if k == "found" else pa.int64()) for k, c in zip(_NAMES, cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["id", "label", *_NAMES])
+
+    return run
+
+
+def measures(docs: DataFrame, doc_id: str, text: str, lang: str, common: Mapping[str, tuple[str, ...]]) -> DataFrame:
+    """Counts of each document's content, one row per row: id, label (two-letter code) and MEASURES. `found` is the language
+    of most common words, null without any. Null and blank texts have counts of 0."""
+    code = F.lower(F.substring(F.trim(F.col(lang)), 1, 3))
+    alias = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), code), F.when(F.lower(F.trim(F.col(lang))).rlike("^[a-z]{2}([^a-z]|$)"), F.substring(code, 1, 2)))
+    flat = docs.select(F.col(doc_id).cast("long").alias("id"), alias.alias("label"), F.col(text).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent_entries(docs, text), dict(common)))
+    return flat.mapInArrow(_measure(shared), f"id long, label string, {MEASURES}")
+
+
+_TYPICAL = {"word_length": ("letters", "alpha"), "symbols": ("symbols", "chars"), "line_ends": ("ended", "lines"), "common_words": ("hits", "alpha"), "numbers": ("numeric", "n"), "line_words": ("n", "lines"), "sentence_words": ("n", "stops")}
+
+
+@dataclass
+class Prose:
+    """What prose of a language looks like: typical ratios, mean and inverse covariance of the statistics."""
+
+    typical: dict[str, float]
+    mean: np.ndarray
+    inverse: np.ndarray
+
+
+def statistics(typical: Mapping[str, float]) -> list[Column]:
+    """The statistics as columns over MEASURES, drawn towards the typical ratios where a document has few words."""
+    n, numeric = F.col("n"), F.col("n") - F.col("alpha")
+    col = lambda c: numeric if c == "numeric" else F.col(c)
+    drawn = {k: (col(a) + PRIOR[k] * typical[k]) / (col(b) + F.lit(float(PRIOR[k]))) for k, (a, b) in _TYPICAL.items()}
+    return [
+        F.log1p(n), drawn["word_length"], F.sqrt(drawn["symbols"]), drawn["line_ends"], F.asin(F.sqrt(F.least(drawn["common_words"], F.lit(1.0)))),
+        F.sqrt(drawn["numbers"]), F.log(drawn["line_words"] + 0.01), F.log(drawn["sentence_words"] + 0.01),
+    ]
+
+
+def _distance(x: list[Column], mean: np.ndarray, inverse: np.ndarray, one_sided: bool) -> list[Column]:
+    """The contribution of each statistic to the squared distance; they add up to it."""
+    y = []
+    for k, (name, c) in enumerate(zip(STATISTICS, x, strict=True)):
+        d = c - float(mean[k])
+        y.append(F.least(d, F.lit(0.0)) if one_sided and name in ONLY_BELOW else d)
+    total = lambda j: sum((float(inverse[j, k]) * y[k] for k in range(len(y))), F.lit(0.0))
+    return [y[j] * total(j) for j in range(len(y))]
+
+
+def fit_prose(measured: DataFrame, languages: list[str]) -> dict[str, Prose]:
+    """Robust mean and covariance per language from documents whose label and common words agree on it; `` is the estimate
+    over all languages, which serves those with too few documents. Empty if even that has too few.
+
+    Each step keeps the share of documents nearest to the last estimate and takes mean and covariance of those; all are
+    plain aggregates over the measures, and a step brings one row to the driver.
+    """
+    out: dict[str, Prose] = {}
+    p = len(STATISTICS)
+    floor = np.diag(np.square(TOLERANCE))
+    agreed = measured.where((F.col("label") == F.col("found")) & (F.col("n") >= 20))
+    for lang in [*languages, ""]:
+        own = agreed.where(F.col("found") == lang) if lang else agreed
+        ratio = lambda k: F.percentile_approx((F.col("n") - F.col("alpha") if _TYPICAL[k][0] == "numeric" else F.col(_TYPICAL[k][0])) / F.greatest(F.col(_TYPICAL[k][1]), F.lit(1)), 0.5)
+        first = own.agg(F.count(F.lit(1)).alias("docs"), *[ratio(k).alias(k) for k in _TYPICAL]).head()
+        if first.docs < LEAST_DOCS:
+            continue
+        typical = {k: float(first[k]) for k in _TYPICAL}
+        x = statistics(typical)
+        named = own.select(*[c.alias(f"x{k}") for k, c in enumerate(x)])
+        xs = [F.col(f"x{k}") for k in range(p)]
+        mid = named.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q{k}") for k, c in enumerate(xs)]).head()
+        mean = np.array([mid[k][1] for k in range(p)])
+        inverse = np.diag(1 / (np.square([(mid[k][2] - mid[k][0]) / 1.349 for k in range(p)]) + np.square(TOLERANCE)))
+        for share in CORE:
+            d = sum(_distance(xs, mean, inverse, one_sided=False), F.lit(0.0))
+            scored = named.withColumn("d", d)
+            cut = scored.agg(F.percentile_approx("d", share)).head()[0]
+            pairs = [(j, k) for j in range(p) for k in range(j, p)]
+            m = scored.where(F.col("d") <= cut).agg(F.count(F.lit(1)), *[F.avg(xs[k] - float(mean[k])) for k in range(p)], *[F.avg((xs[j] - float(mean[j])) * (xs[k] - float(mean[k]))) for j, k in pairs]).head()
+            shift = np.array(m[1 : p + 1])
+            cov = np.zeros((p, p))
+            for (j, k), v in zip(pairs, m[p + 1 :], strict=True):
+                cov[j, k] = cov[k, j] = v - shift[j] * shift[k]
+            mean, inverse = mean + shift, np.linalg.inv(cov + floor)
+        out[lang] = Prose(typical, mean, inverse)
+    return out
+
+
+def judged(measured: DataFrame, languages: list[str]) -> DataFrame:
+    """measured with distance, its contributions (`d_<statistic>`) and prose (boolean).
+
+    A document is held against the prose of the language of its common words, one without any against the nearest. One
+    without a word is no prose and has null distance; without any estimate of prose, all other documents count as prose.
+    """
+    prose = fit_prose(measured, languages)
+    options = []
+    for lang in [x for x in languages if x in prose] or [x for x in ("",) if x in prose]:
+        parts = _distance(statistics(prose[lang].typical), prose[lang].mean, prose[lang].inverse, one_sided=True)
+        struct = F.struct(sum(parts, F.lit(0.0)).alias("distance"), *[c.alias(f"d_{s}") for s, c in zip(STATISTICS, parts, strict=True)])
+        fits = F.col("found").isNull() | (F.col("found") == lang) | ~F.col("found").isin([x for x in languages if x in prose])
+        options.append(F.when(fits, struct))
+    if not options:
+        nothing = F.lit(None).cast("double")
+        return measured.select("*", nothing.alias("distance"), *[nothing.alias(f"d_{s}") for s in STATISTICS], (F.col("n") > 0).alias("prose"))
+    nearest = F.array_min(F.array_compact(F.array(*options)))
+    scored = measured.withColumn("_j", F.when(F.col("n") > 0, nearest))
+    return scored.select(*measured.columns, F.col("_j.distance").alias("distance"), *[F.col(f"_j.d_{s}").alias(f"d_{s}") for s in STATISTICS], F.coalesce(F.col("_j.distance") <= FAR, F.lit(False)).alias("prose"))
+
+
+def common_words(table: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Languages of each common word, without case and accents, from a table (lang, word) of bounded size."""
+    rows = table.where("lang is not null and word is not null").limit(runtime.BROADCAST_ROWS + 1).collect()
+    if len(rows) > runtime.BROADCAST_ROWS:
+        raise ValueError("too many common words")
+    out: dict[str, set[str]] = {}
+    for r in rows:
+        out.setdefault(folded(r.word), set()).add(r.lang)
+    return {w: tuple(sorted(ls)) for w, ls in out.items()}
+
+
+def quality(docs: DataFrame, doc_id: str, text: str, lang: str, common: DataFrame) -> DataFrame:
+    """Statistics, distance and judgement of every document; see `measures` and `judged`."""
+    words = common_words(common)
+    measured = runtime.persist_table(measures(docs, doc_id, text, lang, words), "text-measures")
+    return judged(measured, sorted({x for ls in words.values() for x in ls}))
