@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, textstats
+from millrace.llm import leakage, packing, textstats
 from millrace.runtime import read_table
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = read_table(spark, d, "containers").where("container_kind is not null and capacity_tokens is not null").limit(100).collect()
+    sizes = packing.token_sizes(read_table(spark, d, "documents"), "doc_id", "text", packing.default_tokenizer())
+    return packing.pack(sizes, {r.container_kind: r.capacity_tokens for r in kinds})
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in containers of each kind, by tokens of its whole text; see packing.pack."""
+    return _packed(spark, d).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used per kind against the fewest that the tokens could fill."""
+    capacity = read_table(spark, d, "containers")
+    p = _packed(spark, d).where("container_id is not null").groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
+    return p.join(capacity, "container_kind").select("container_kind", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("at_least"), F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6).alias("fill"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
 
@@ -41,5 +59,5 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,6 @@ from millrace import runtime
 FREQUENT_SHARE, FREQUENT_DOCS = 0.008, 5
 #: Longer entries are content.
 ENTRY_CHARS = 200
-#: With fewer words of content, a page that has notices is judged by them.
-LEAST_WORDS = 15
 TITLE_WORDS = 12
 #: Distance beyond which a document is no prose.
 FAR = 18.0
@@ -36,7 +35,7 @@ CORE = (0.5, 0.65, 0.75, 0.75)
 
 STATISTICS = ("words", "word_length", "symbols", "line_ends", "common_words", "numbers", "line_words", "sentence_words")
 #: Spread of each statistic that is taken as harmless on top of what the language's prose shows.
-TOLERANCE = (1.5, 0.4, 0.05, 0.6, 0.02, 0.05, 1.0, 0.6)
+TOLERANCE = (1.5, 0.4, 0.05, 0.6, 0.03, 0.05, 0.7, 0.6)
 #: Statistics whose excess over prose speaks for prose: only what is missing counts.
 ONLY_BELOW = ("words", "line_ends", "common_words", "sentence_words")
 #: Weight of the language's typical value against the document's own: documents of few words say little.
@@ -52,7 +51,9 @@ _RUN = re.compile(r"[^\W_]+")
 _SPLIT = re.compile(r"\s*[|»\t]\s*|\s{2,}")
 _END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
-_FOOTER = re.compile(r"^\W{0,3}(?:©|\(c\)\s|copyright\b)", re.I)
+_FOOTER = re.compile("^\\W{0,3}(?:©|\\(c\\)\\s|copyright\\b|[\ufffd?]\\s*(?:19|20)[0-9]{2}\\b)", re.I)
+#: A lost character within a word.
+_LOST = re.compile("(?<=[A-Za-z])\ufffd+|\ufffd+(?=[A-Za-z])")
 
 
 def _decode(m: re.Match) -> str:
@@ -137,7 +138,8 @@ class Reader:
                 return False
         return True
 
-    def content(self, text: str) -> list[str]:
+    def content(self, text: str) -> tuple[list[str], bool]:
+        """Lines of content; where there are none but notices, the notices, and True."""
         kept, notices = [], []
         for line in repaired(text).split("\n"):
             line = line.strip()
@@ -150,14 +152,17 @@ class Reader:
                 notices.append(line)
         if kept and (len(kept) > 1 or notices) and len(kept[0]) <= ENTRY_CHARS and not _END.search(kept[0]) and len(kept[0].split()) <= TITLE_WORDS:
             kept = kept[1:]
-        return kept or notices
+        return (kept, False) if kept or not notices else (notices, True)
 
     def measure(self, text: str | None) -> tuple:
-        """(words, letter words, letters, symbols, characters, lines, ended lines, sentence ends, common words, language)."""
-        lines = self.content(text) if text else []
+        """(words, letter words, letters, symbols, characters, lines, ended lines, sentence ends, common words, notices
+        only (0 or 1), language)."""
+        lines, notices = self.content(text) if text else ([], False)
         words = alpha = letters = runs = chars = ended = stops = hits = 0
         by_lang: dict[str, int] = {}
         for line in lines:
+            if "\ufffd" in line:
+                line = _LOST.sub("e", line)
             found = _RUN.findall(folded(line))
             words += len(found)
             here: dict[str, int] = {}
@@ -176,10 +181,10 @@ class Reader:
             ended += bool(_END.search(line))
             stops += len(_STOP.findall(line))
         lang = max(sorted(by_lang), key=by_lang.__getitem__) if by_lang else None
-        return words, alpha, letters, max(0, chars - runs), chars, len(lines), ended, stops, hits, lang
+        return words, alpha, letters, max(0, chars - runs), chars, len(lines), ended, stops, hits, int(notices), lang
 
 
-MEASURES = "n long, alpha long, letters long, symbols long, chars long, lines long, ended long, stops long, hits long, found string"
+MEASURES = "n long, alpha long, letters long, symbols long, chars long, lines long, ended long, stops long, hits long, notices long, found string"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 
 
@@ -201,7 +206,7 @@ def measures(docs: DataFrame, doc_id: str, text: str, lang: str, common: Mapping
     alias = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), code), F.when(F.lower(F.trim(F.col(lang))).rlike("^[a-z]{2}([^a-z]|$)"), F.substring(code, 1, 2)))
     flat = docs.select(F.col(doc_id).cast("long").alias("id"), alias.alias("label"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((frequent_entries(docs, text), dict(common)))
-    return flat.mapInArrow(_measure(shared), f"id long, label string, {MEASURES}")
+    return runtime.map_arrow(flat, _measure(shared), f"id long, label string, {MEASURES}")
 
 
 _TYPICAL = {"word_length": ("letters", "alpha"), "symbols": ("symbols", "chars"), "line_ends": ("ended", "lines"), "common_words": ("hits", "alpha"), "numbers": ("numeric", "n"), "line_words": ("n", "lines"), "sentence_words": ("n", "stops")}
@@ -244,43 +249,45 @@ def fit_prose(measured: DataFrame, languages: list[str]) -> dict[str, Prose]:
     Each step keeps the share of documents nearest to the last estimate and takes mean and covariance of those; all are
     plain aggregates over the measures, and a step brings one row to the driver.
     """
-    out: dict[str, Prose] = {}
+    agreed = measured.where((F.col("label") == F.col("found")) & (F.col("n") >= 20) & (F.col("notices") == 0))
+    with ThreadPoolExecutor(8) as pool:  # many small jobs, independent by language
+        fits = pool.map(lambda lang: _fit(agreed.where(F.col("found") == lang) if lang else agreed), [*languages, ""])
+        return {lang: fit for lang, fit in zip([*languages, ""], fits, strict=True) if fit}
+
+
+def _fit(own: DataFrame) -> Prose | None:
     p = len(STATISTICS)
     floor = np.diag(np.square(TOLERANCE))
-    agreed = measured.where((F.col("label") == F.col("found")) & (F.col("n") >= 20))
-    for lang in [*languages, ""]:
-        own = agreed.where(F.col("found") == lang) if lang else agreed
-        ratio = lambda k: F.percentile_approx((F.col("n") - F.col("alpha") if _TYPICAL[k][0] == "numeric" else F.col(_TYPICAL[k][0])) / F.greatest(F.col(_TYPICAL[k][1]), F.lit(1)), 0.5)
-        first = own.agg(F.count(F.lit(1)).alias("docs"), *[ratio(k).alias(k) for k in _TYPICAL]).head()
-        if first.docs < LEAST_DOCS:
-            continue
-        typical = {k: float(first[k]) for k in _TYPICAL}
-        x = statistics(typical)
-        named = own.select(*[c.alias(f"x{k}") for k, c in enumerate(x)])
-        xs = [F.col(f"x{k}") for k in range(p)]
-        mid = named.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q{k}") for k, c in enumerate(xs)]).head()
-        mean = np.array([mid[k][1] for k in range(p)])
-        inverse = np.diag(1 / (np.square([(mid[k][2] - mid[k][0]) / 1.349 for k in range(p)]) + np.square(TOLERANCE)))
-        for share in CORE:
-            d = sum(_distance(xs, mean, inverse, one_sided=False), F.lit(0.0))
-            scored = named.withColumn("d", d)
-            cut = scored.agg(F.percentile_approx("d", share)).head()[0]
-            pairs = [(j, k) for j in range(p) for k in range(j, p)]
-            m = scored.where(F.col("d") <= cut).agg(F.count(F.lit(1)), *[F.avg(xs[k] - float(mean[k])) for k in range(p)], *[F.avg((xs[j] - float(mean[j])) * (xs[k] - float(mean[k]))) for j, k in pairs]).head()
-            shift = np.array(m[1 : p + 1])
-            cov = np.zeros((p, p))
-            for (j, k), v in zip(pairs, m[p + 1 :], strict=True):
-                cov[j, k] = cov[k, j] = v - shift[j] * shift[k]
-            mean, inverse = mean + shift, np.linalg.inv(cov + floor)
-        out[lang] = Prose(typical, mean, inverse)
-    return out
+    ratio = lambda k: F.percentile_approx((F.col("n") - F.col("alpha") if _TYPICAL[k][0] == "numeric" else F.col(_TYPICAL[k][0])) / F.greatest(F.col(_TYPICAL[k][1]), F.lit(1)), 0.5)
+    first = own.agg(F.count(F.lit(1)).alias("docs"), *[ratio(k).alias(k) for k in _TYPICAL]).head()
+    if first.docs < LEAST_DOCS:
+        return None
+    typical = {k: float(first[k]) for k in _TYPICAL}
+    x = statistics(typical)
+    named = own.select(*[c.alias(f"x{k}") for k, c in enumerate(x)])
+    xs = [F.col(f"x{k}") for k in range(p)]
+    mid = named.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q{k}") for k, c in enumerate(xs)]).head()
+    mean = np.array([mid[k][1] for k in range(p)])
+    inverse = np.diag(1 / (np.square([(mid[k][2] - mid[k][0]) / 1.349 for k in range(p)]) + np.square(TOLERANCE)))
+    for share in CORE:
+        d = sum(_distance(xs, mean, inverse, one_sided=False), F.lit(0.0))
+        scored = named.withColumn("d", d)
+        cut = scored.agg(F.percentile_approx("d", share)).head()[0]
+        pairs = [(j, k) for j in range(p) for k in range(j, p)]
+        m = scored.where(F.col("d") <= cut).agg(F.count(F.lit(1)), *[F.avg(xs[k] - float(mean[k])) for k in range(p)], *[F.avg((xs[j] - float(mean[j])) * (xs[k] - float(mean[k]))) for j, k in pairs]).head()
+        shift = np.array(m[1 : p + 1])
+        cov = np.zeros((p, p))
+        for (j, k), v in zip(pairs, m[p + 1 :], strict=True):
+            cov[j, k] = cov[k, j] = v - shift[j] * shift[k]
+        mean, inverse = mean + shift, np.linalg.inv(cov + floor)
+    return Prose(typical, mean, inverse)
 
 
 def judged(measured: DataFrame, languages: list[str]) -> DataFrame:
     """measured with distance, its contributions (`d_<statistic>`) and prose (boolean).
 
     A document is held against the prose of the language of its common words, one without any against the nearest. One
-    without a word is no prose and has null distance; without any estimate of prose, all other documents count as prose.
+    whose only content are notices in sentences is prose, whatever languages they mix. One without a word is no prose and has null distance; without any estimate of prose, all other documents count as prose.
     """
     prose = fit_prose(measured, languages)
     options = []
@@ -294,7 +301,7 @@ def judged(measured: DataFrame, languages: list[str]) -> DataFrame:
         return measured.select("*", nothing.alias("distance"), *[nothing.alias(f"d_{s}") for s in STATISTICS], (F.col("n") > 0).alias("prose"))
     nearest = F.array_min(F.array_compact(F.array(*options)))
     scored = measured.withColumn("_j", F.when(F.col("n") > 0, nearest))
-    return scored.select(*measured.columns, F.col("_j.distance").alias("distance"), *[F.col(f"_j.d_{s}").alias(f"d_{s}") for s in STATISTICS], F.coalesce(F.col("_j.distance") <= FAR, F.lit(False)).alias("prose"))
+    return scored.select(*measured.columns, F.col("_j.distance").alias("distance"), *[F.col(f"_j.d_{s}").alias(f"d_{s}") for s in STATISTICS], F.coalesce((F.col("_j.distance") <= FAR) | (F.col("notices") == 1), F.lit(False)).alias("prose"))
 
 
 def common_words(table: DataFrame) -> dict[str, tuple[str, ...]]:
