@@ -84,7 +84,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaders(events: DataFrame, entity: str, kind: str, time: str, amount: str) -> DataFrame:
     """(entity, feature, kind): of each entity the type with the most events (`count`), the latest time (`recency`; no row
     if the entity has no time) and the greatest total (`total`); ties go to the first type in order."""
-    return runs(events, entity, kind, time, amount).mapInArrow(_lead, LEADERS)
+    return runtime.map_arrow(runs(events, entity, kind, time, amount), _lead, LEADERS)
 
 
 def column_names(kinds: Sequence[str]) -> list[str]:
@@ -142,4 +142,4 @@ def wide(events: DataFrame, entity: str, kind: str, time: str, amount: str, kind
     fields = [pa.field("entity", pa.int64()), *[pa.field(f"{f}_{n}", pa.int64()) for f in ("count", "total", "latest") for n in names]]
     ddl = ", ".join(f"`{f.name}` bigint" for f in fields)
     own = events.where(F.col(kind).isin(kinds)) if kinds else events.limit(0)
-    return runs(own, entity, kind, time, amount).mapInArrow(_widen(kinds, pa.schema(fields)), ddl)
+    return runtime.map_arrow(runs(own, entity, kind, time, amount), _widen(kinds, pa.schema(fields)), ddl)

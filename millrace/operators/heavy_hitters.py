@@ -141,7 +141,7 @@ def sketch(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame,
     """
     pairs = _items(df, columns)
     flat = df.select(*[x.alias(f"_{k}{j}") for k, pair in enumerate(pairs) for j, x in (("i", pair[0]), ("h", pair[1]))])
-    parts = runtime.persist_table(flat.mapInArrow(_fill(len(pairs)), SKETCH), "sketch-parts")
+    parts = runtime.persist_table(runtime.map_arrow(flat, _fill(len(pairs)), SKETCH), "sketch-parts")
     lanes = parts.where("bucket >= 0").groupBy("col", "bucket", "item", "cell").agg(F.sum("n").alias("n"))
     strongest = Window.partitionBy("col", "bucket").orderBy(F.desc("n"), "item")
     ranked = runtime.persist_table(lanes.withColumn("r", F.row_number().over(strongest)), "sketch-lanes")

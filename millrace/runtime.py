@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow after the package has been sent to the executors, where it need not be installed."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_millrace_sent", False):
+        package = Path(__file__).parent
+        folder = tempfile.mkdtemp(prefix="millrace-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/millrace-code", "zip", package.parent, package.name))
+        sc._millrace_sent = True
+    return df.mapInArrow(function, schema)
