@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import runtime
@@ -210,6 +209,13 @@ def measures(docs: DataFrame, doc_id: str, text: str, lang: str, common: Mapping
 
 
 _TYPICAL = {"word_length": ("letters", "alpha"), "symbols": ("symbols", "chars"), "line_ends": ("ended", "lines"), "common_words": ("hits", "alpha"), "numbers": ("numeric", "n"), "line_words": ("n", "lines"), "sentence_words": ("n", "stops")}
+#: Ranges of typical ratios, of statistics, and of the logarithm of distances, each cut into BINS for quantiles.
+_RATIO_RANGE = {"word_length": (0, 20), "symbols": (0, 1), "line_ends": (0, 1), "common_words": (0, 1), "numbers": (0, 1), "line_words": (0, 400), "sentence_words": (0, 400)}
+_RANGE = ((0, 25), (0, 20), (0, 1), (0, 1), (0, 1.6), (0, 1), (-5, 15), (-5, 15))
+_LOG_RANGE = (-6, 9)
+BINS = 4000
+
+Numbers = dict[str, np.ndarray]
 
 
 @dataclass
@@ -221,87 +227,145 @@ class Prose:
     inverse: np.ndarray
 
 
-def statistics(typical: Mapping[str, float]) -> list[Column]:
-    """The statistics as columns over MEASURES, drawn towards the typical ratios where a document has few words."""
-    n, numeric = F.col("n"), F.col("n") - F.col("alpha")
-    col = lambda c: numeric if c == "numeric" else F.col(c)
-    drawn = {k: (col(a) + PRIOR[k] * typical[k]) / (col(b) + F.lit(float(PRIOR[k]))) for k, (a, b) in _TYPICAL.items()}
-    return [
-        F.log1p(n), drawn["word_length"], F.sqrt(drawn["symbols"]), drawn["line_ends"], F.asin(F.sqrt(F.least(drawn["common_words"], F.lit(1.0)))),
-        F.sqrt(drawn["numbers"]), F.log(drawn["line_words"] + 0.01), F.log(drawn["sentence_words"] + 0.01),
-    ]
+def statistics(m: Numbers, typical: Mapping[str, float]) -> np.ndarray:
+    """The statistics of documents with measures m, drawn towards the typical ratios where a document has few words."""
+    m = m | {"numeric": m["n"] - m["alpha"]}
+    r = {k: (m[a] + PRIOR[k] * typical[k]) / (m[b] + PRIOR[k]) for k, (a, b) in _TYPICAL.items()}
+    return np.column_stack([
+        np.log1p(m["n"]), r["word_length"], np.sqrt(r["symbols"]), r["line_ends"], np.arcsin(np.sqrt(np.minimum(r["common_words"], 1.0))),
+        np.sqrt(r["numbers"]), np.log(r["line_words"] + 0.01), np.log(r["sentence_words"] + 0.01),
+    ])
+
+
+def contributions(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray, one_sided: bool) -> np.ndarray:
+    """What each statistic adds to the squared distance; the rows' sums are the distances."""
+    y = x - mean
+    if one_sided:
+        below = [k for k, s in enumerate(STATISTICS) if s in ONLY_BELOW]
+        y[:, below] = np.minimum(y[:, below], 0.0)
+    return y * (y @ inverse)
+
+
+def _cells(x: np.ndarray, bounds: tuple[float, float], row: int) -> np.ndarray:
+    lo, hi = bounds
+    return row * BINS + np.clip((x - lo) / (hi - lo) * BINS, 0, BINS - 1).astype(np.int64)
+
 
+def _quantile(counts: np.ndarray, share: float, bounds: tuple[float, float]) -> float:
+    """Of a histogram: where the cumulative count passes the share, within the cell in proportion."""
+    upto = np.cumsum(counts)
+    k = int(np.searchsorted(upto, share * upto[-1], "left"))
+    inside = (share * upto[-1] - (upto[k] - counts[k])) / max(counts[k], 1e-9)
+    return bounds[0] + (k + min(max(inside, 0.0), 1.0)) * (bounds[1] - bounds[0]) / BINS
 
-def _distance(x: list[Column], mean: np.ndarray, inverse: np.ndarray, one_sided: bool) -> list[Column]:
-    """The contribution of each statistic to the squared distance; they add up to it."""
-    y = []
-    for k, (name, c) in enumerate(zip(STATISTICS, x, strict=True)):
-        d = c - float(mean[k])
-        y.append(F.least(d, F.lit(0.0)) if one_sided and name in ONLY_BELOW else d)
-    total = lambda j: sum((float(inverse[j, k]) * y[k] for k in range(len(y))), F.lit(0.0))
-    return [y[j] * total(j) for j in range(len(y))]
+
+_COUNTS = [c for c in _NAMES if c != "found"]
+
+
+def _numbers(b: pa.RecordBatch) -> Numbers:
+    return {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in _COUNTS}
+
+
+def _totals(measured: DataFrame, languages: list[str], width: int, add: Callable[[str, Numbers], np.ndarray]) -> dict[str, np.ndarray]:
+    """Sums over all documents, per language and over all (``), of vectors of `width` numbers that `add` makes of a batch's
+    documents. Each partition sends its non-zero sums once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {lang: np.zeros(width) for lang in languages}
+        for b in batches:
+            m, found = _numbers(b), np.array(b.column("found").to_pylist(), object)
+            for lang in languages:
+                own = m if not lang else {k: v[found == lang] for k, v in m.items()}
+                if len(own["n"]):
+                    sums[lang] += add(lang, own)
+        for lang, v in sums.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["lang", "at", "v"])
+
+    rows = runtime.map_arrow(measured, run, "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v")).collect()
+    out = {lang: np.zeros(width) for lang in languages}
+    for r in rows:
+        out[r.lang][r["at"]] = r.v
+    return out
 
 
 def fit_prose(measured: DataFrame, languages: list[str]) -> dict[str, Prose]:
     """Robust mean and covariance per language from documents whose label and common words agree on it; `` is the estimate
     over all languages, which serves those with too few documents. Empty if even that has too few.
 
-    Each step keeps the share of documents nearest to the last estimate and takes mean and covariance of those; all are
-    plain aggregates over the measures, and a step brings one row to the driver.
+    Each step keeps the share of documents nearest to the last estimate and takes mean and covariance of those. All steps
+    are sums over all documents; quantiles come from histograms of BINS cells.
     """
     agreed = measured.where((F.col("label") == F.col("found")) & (F.col("n") >= 20) & (F.col("notices") == 0))
-    with ThreadPoolExecutor(8) as pool:  # many small jobs, independent by language
-        fits = pool.map(lambda lang: _fit(agreed.where(F.col("found") == lang) if lang else agreed), [*languages, ""])
-        return {lang: fit for lang, fit in zip([*languages, ""], fits, strict=True) if fit}
-
-
-def _fit(own: DataFrame) -> Prose | None:
-    p = len(STATISTICS)
-    floor = np.diag(np.square(TOLERANCE))
-    ratio = lambda k: F.percentile_approx((F.col("n") - F.col("alpha") if _TYPICAL[k][0] == "numeric" else F.col(_TYPICAL[k][0])) / F.greatest(F.col(_TYPICAL[k][1]), F.lit(1)), 0.5)
-    first = own.agg(F.count(F.lit(1)).alias("docs"), *[ratio(k).alias(k) for k in _TYPICAL]).head()
-    if first.docs < LEAST_DOCS:
-        return None
-    typical = {k: float(first[k]) for k in _TYPICAL}
-    x = statistics(typical)
-    named = own.select(*[c.alias(f"x{k}") for k, c in enumerate(x)])
-    xs = [F.col(f"x{k}") for k in range(p)]
-    mid = named.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q{k}") for k, c in enumerate(xs)]).head()
-    mean = np.array([mid[k][1] for k in range(p)])
-    inverse = np.diag(1 / (np.square([(mid[k][2] - mid[k][0]) / 1.349 for k in range(p)]) + np.square(TOLERANCE)))
+    p, langs, floor = len(STATISTICS), [*languages, ""], np.diag(np.square(TOLERANCE))
+
+    def histogram(columns: list[tuple[np.ndarray, tuple[float, float]]]) -> np.ndarray:
+        return sum(np.bincount(_cells(x, bounds, k), minlength=len(columns) * BINS).astype(float) for k, (x, bounds) in enumerate(columns))
+
+    def ratios(_: str, m: Numbers) -> np.ndarray:
+        m = m | {"numeric": m["n"] - m["alpha"]}
+        return histogram([(m[a] / np.maximum(m[b], 1), _RATIO_RANGE[k]) for k, (a, b) in _TYPICAL.items()])
+
+    counts = _totals(agreed, langs, len(_TYPICAL) * BINS, ratios)
+    langs = [x for x in langs if counts[x][:BINS].sum() >= LEAST_DOCS]
+    typical = {x: {k: _quantile(counts[x][j * BINS : (j + 1) * BINS], 0.5, _RATIO_RANGE[k]) for j, k in enumerate(_TYPICAL)} for x in langs}
+    if not langs:
+        return {}
+    spread = _totals(agreed, langs, p * BINS, lambda x, m: histogram([(c, _RANGE[k]) for k, c in enumerate(statistics(m, typical[x]).T)]))
+    fits = {}
+    for x in langs:
+        q = np.array([[_quantile(spread[x][k * BINS : (k + 1) * BINS], s, _RANGE[k]) for s in (0.25, 0.5, 0.75)] for k in range(p)])
+        fits[x] = Prose(typical[x], q[:, 1], np.diag(1 / (np.square((q[:, 2] - q[:, 0]) / 1.349) + np.square(TOLERANCE))))
+
+    def distance(x: str, m: Numbers) -> tuple[np.ndarray, np.ndarray]:
+        v = statistics(m, fits[x].typical)
+        return v, contributions(v, fits[x].mean, fits[x].inverse, one_sided=False).sum(axis=1)
+
     for share in CORE:
-        d = sum(_distance(xs, mean, inverse, one_sided=False), F.lit(0.0))
-        scored = named.withColumn("d", d)
-        cut = scored.agg(F.percentile_approx("d", share)).head()[0]
-        pairs = [(j, k) for j in range(p) for k in range(j, p)]
-        m = scored.where(F.col("d") <= cut).agg(F.count(F.lit(1)), *[F.avg(xs[k] - float(mean[k])) for k in range(p)], *[F.avg((xs[j] - float(mean[j])) * (xs[k] - float(mean[k]))) for j, k in pairs]).head()
-        shift = np.array(m[1 : p + 1])
-        cov = np.zeros((p, p))
-        for (j, k), v in zip(pairs, m[p + 1 :], strict=True):
-            cov[j, k] = cov[k, j] = v - shift[j] * shift[k]
-        mean, inverse = mean + shift, np.linalg.inv(cov + floor)
-    return Prose(typical, mean, inverse)
+        far = _totals(agreed, langs, BINS, lambda x, m: histogram([(np.log(distance(x, m)[1] + 1e-6) / np.log(10), _LOG_RANGE)]))
+        cut = {x: 10 ** _quantile(far[x], share, _LOG_RANGE) for x in langs}
+
+        def moments(x: str, m: Numbers, cut: dict[str, float] = cut) -> np.ndarray:
+            v, d = distance(x, m)
+            y = v[d <= cut[x]] - fits[x].mean
+            return np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y).ravel()])
+
+        sums = _totals(agreed, langs, 1 + p + p * p, moments)
+        for x in langs:
+            n = max(sums[x][0], 1.0)
+            shift = sums[x][1 : p + 1] / n
+            cov = sums[x][p + 1 :].reshape(p, p) / n - np.outer(shift, shift)
+            fits[x] = Prose(typical[x], fits[x].mean + shift, np.linalg.inv(cov + floor))
+    return fits
 
 
 def judged(measured: DataFrame, languages: list[str]) -> DataFrame:
     """measured with distance, its contributions (`d_<statistic>`) and prose (boolean).
 
     A document is held against the prose of the language of its common words, one without any against the nearest. One
-    whose only content are notices in sentences is prose, whatever languages they mix. One without a word is no prose and has null distance; without any estimate of prose, all other documents count as prose.
+    whose only content are notices in sentences is prose, whatever languages they mix. One without a word is no prose and
+    has null distance; without any estimate of prose, all other documents count as prose.
     """
     prose = fit_prose(measured, languages)
-    options = []
-    for lang in [x for x in languages if x in prose] or [x for x in ("",) if x in prose]:
-        parts = _distance(statistics(prose[lang].typical), prose[lang].mean, prose[lang].inverse, one_sided=True)
-        struct = F.struct(sum(parts, F.lit(0.0)).alias("distance"), *[c.alias(f"d_{s}") for s, c in zip(STATISTICS, parts, strict=True)])
-        fits = F.col("found").isNull() | (F.col("found") == lang) | ~F.col("found").isin([x for x in languages if x in prose])
-        options.append(F.when(fits, struct))
-    if not options:
-        nothing = F.lit(None).cast("double")
-        return measured.select("*", nothing.alias("distance"), *[nothing.alias(f"d_{s}") for s in STATISTICS], (F.col("n") > 0).alias("prose"))
-    nearest = F.array_min(F.array_compact(F.array(*options)))
-    scored = measured.withColumn("_j", F.when(F.col("n") > 0, nearest))
-    return scored.select(*measured.columns, F.col("_j.distance").alias("distance"), *[F.col(f"_j.d_{s}").alias(f"d_{s}") for s in STATISTICS], F.coalesce((F.col("_j.distance") <= FAR) | (F.col("notices") == 1), F.lit(False)).alias("prose"))
+    known = [x for x in languages if x in prose] or [x for x in ("",) if x in prose]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, found = _numbers(b), np.array(b.column("found").to_pylist(), object)
+            best, parts = np.full(b.num_rows, np.inf), np.zeros((b.num_rows, len(STATISTICS)))
+            for x in known:
+                c = contributions(statistics(m, prose[x].typical), prose[x].mean, prose[x].inverse, one_sided=True)
+                d = c.sum(axis=1)
+                use = ((found == x) | ~np.isin(found.astype(str), known)) & (d < best)
+                best[use], parts[use] = d[use], c[use]
+            nothing = (m["n"] == 0) | ~np.isfinite(best)
+            prosaic = np.where(nothing & bool(known), m["notices"] == 1, (best <= FAR) | (m["notices"] == 1)) if known else m["n"] > 0
+            cols = [pa.array(best, mask=nothing), *[pa.array(parts[:, k], mask=nothing) for k in range(len(STATISTICS))], pa.array(prosaic)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+
+    names = ["distance", *[f"d_{s}" for s in STATISTICS], "prose"]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in measured.schema.fields], *[f"{n} double" for n in names[:-1]], "prose boolean"])
+    return runtime.map_arrow(measured, run, schema)
 
 
 def common_words(table: DataFrame) -> dict[str, tuple[str, ...]]:
