@@ -54,13 +54,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow after the package has been sent to the executors, where it need not be installed."""
-    sc = df.sparkSession.sparkContext
+def send_package(spark: SparkSession) -> None:
+    """Sends the package to the executors, where it need not be installed, for functions that run there."""
+    sc = spark.sparkContext
     if not getattr(sc, "_millrace_sent", False):
         package = Path(__file__).parent
         folder = tempfile.mkdtemp(prefix="millrace-code-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.addPyFile(shutil.make_archive(f"{folder}/millrace-code", "zip", package.parent, package.name))
         sc._millrace_sent = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow after the package has been sent to the executors."""
+    send_package(df.sparkSession)
     return df.mapInArrow(function, schema)
