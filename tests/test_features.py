@@ -337,3 +337,34 @@ def test_entities_join_on_their_day(spark):
     j = Join("j", EntitySource("left", Query({"k": None})), [JoinPart(g)])
     got = compute_join(Catalog(spark, {"left": left, "right": right}), j, PartitionRange("2024-01-02", "2024-01-02"))
     assert sorted((r.k, r.g_v) for r in got.collect()) == [("a", 5), ("b", None)]
+
+
+def test_analyzer_finds_what_would_go_wrong(spark):
+    from millrace.quality.analyzer import analyze, evaluate
+
+    left = spark.createDataFrame([("a", 1_700_000_000_000), ("a", None), ("b", 5)], "k string, ts long").withColumn("ds", F.lit("2023-11-14"))
+    right = spark.createDataFrame([(1, "2023-11-13", 1.0)], "k int, ds string, v double")
+    c = Catalog(spark, {"left": left, "right": right, "fine": right.withColumn("k", F.lit("a"))})
+    join = lambda t: Join("j", EventSource("left", Query({"k": None}, time_column="ts")), [JoinPart(GroupBy("g", [EventSource(t, Query({"k": None, "v": None}))], ["k"], [Aggregation("v", O.SUM, ("3d",))]))])
+    days = PartitionRange("2023-11-14", "2023-11-14")
+    assert "key k is string on the left, integer on the right" in evaluate(c, join("right"), days).errors[0]
+    r = evaluate(c, join("fine"), days)
+    assert not r.errors and r.schema["g_v_sum_3d"] == "double"
+    r = analyze(c, join("fine"), days)
+    assert r.errors == ["left: 1 of 3 times are no epoch milliseconds"] and any("fine lacks 3 of 4 days" in w for w in r.warnings)
+
+
+def test_sensors_and_footers(spark, tmp_path):
+    from millrace.sources.sensors import footer_stats, is_ready, recompute, wait
+
+    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", None)], "ds string, v int")
+    c = Catalog(spark, {"t": df})
+    assert is_ready(c, "t", PartitionRange("2024-01-01", "2024-01-02")) and not is_ready(c, "t", PartitionRange("2024-01-01", "2024-01-03"))
+    assert is_ready(c, "t", PartitionRange("2024-01-02", "2024-01-02"), time_column="ds") and is_ready(c, "t", None, trigger="v > 0") and not is_ready(c, "none_such", None)
+    calls = []
+    assert not wait(lambda: calls.append(1) or False, 3, 5, lambda s: calls.append(s)) and calls == [1, 5.0, 1, 5.0, 1]
+    df.coalesce(1).write.parquet(str(tmp_path / "f"))
+    assert sorted((r.column_name, r["rows"], r.nulls) for r in footer_stats(spark, str(tmp_path / "f")).collect()) == [("ds", 2, 0), ("v", 2, 1)]
+    old = {"left": "1", "bootstrap": "1", "a": "1", "b": "1", "derivations": "1"}
+    assert recompute(old, old) == set() and recompute(old, {**old, "a": "2"}) == {"a", "final"} and recompute(old, {**old, "left": "2"}) == {"a", "b", "final"}
+    assert recompute(old, {**old, "c": "1"}) == {"final"} and recompute(old, {k: v for k, v in old.items() if k != "b"}) == {"b", "final"}
