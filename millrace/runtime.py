@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in an Arrow batch of texts.
+TEXT_ROWS = 1000
 #: Most rows of a side that may be broadcast, and most rows any operator brings to the driver.
 BROADCAST_ROWS = 200_000
 
@@ -37,10 +39,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex[:12]}-{name}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def drop_tables(spark: SparkSession | None = None) -> None:
+    """Deletes the tables that persist_table wrote to the shared folder in this process (of one session, if given). What was
+    built on them can no longer be computed. Also done when the process ends."""
+    for s, path in [x for x in _written if spark is None or x[0] is spark]:
+        _written.remove((s, path))
+        try:
+            p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone; its folder is the cluster's to clean
+            return
+
+
+atexit.register(drop_tables)
+
+
 def persist_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = path or fresh_path(spark, name)
+    if path is None:
+        path = fresh_path(spark, name)
+        _written.append((spark, path))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,7 +87,12 @@ def send_package(spark: SparkSession) -> None:
         sc._millrace_sent = True
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow after the package has been sent to the executors."""
-    send_package(df.sparkSession)
+def map_arrow(df: DataFrame, function: Callable, schema: str, most_rows: int | None = None) -> DataFrame:
+    """df.mapInArrow after the package has been sent to the executors. most_rows lowers the session's rows per Arrow batch,
+    where rows are long: a batch has to fit a worker's memory."""
+    spark = df.sparkSession
+    send_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if most_rows is not None and not 0 < int(spark.conf.get(name)) <= most_rows:
+        spark.conf.set(name, most_rows)
     return df.mapInArrow(function, schema)
