@@ -186,7 +186,7 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     def scan(last: bool) -> None:
         nonlocal block, size
         index = spark.sparkContext.broadcast(ItemIndex.build(block))
-        found = runtime.map_arrow(docs, _scan(index), FOUND)
+        found = runtime.map_arrow(docs, _scan(index), FOUND, runtime.TEXT_ROWS)
         if not last or results:
             found = runtime.persist_table(found, "leaks")
             index.unpersist()

@@ -73,7 +73,7 @@ def _count(path: str):
 
 def token_sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
     """(item, size) of each row: its id and tokens of the whole text; null texts have none."""
-    return runtime.map_arrow(docs.select(F.col(doc_id).cast("long").alias("item"), F.col(text).cast("string").alias("text")), _count(tokenizer), "item long, size long")
+    return runtime.map_arrow(docs.select(F.col(doc_id).cast("long").alias("item"), F.col(text).cast("string").alias("text")), _count(tokenizer), "item long, size long", runtime.TEXT_ROWS)
 
 
 @dataclass

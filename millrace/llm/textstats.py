@@ -206,7 +206,7 @@ def measures(docs: DataFrame, doc_id: str, text: str, lang: str, common: Mapping
     alias = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), code), F.when(F.lower(F.trim(F.col(lang))).rlike("^[a-z]{2}([^a-z]|$)"), F.substring(code, 1, 2)))
     flat = docs.select(F.col(doc_id).cast("long").alias("id"), alias.alias("label"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((frequent_entries(docs, text), dict(common)))
-    return runtime.map_arrow(flat, _measure(shared), f"id long, label string, {MEASURES}")
+    return runtime.map_arrow(flat, _measure(shared), f"id long, label string, {MEASURES}", runtime.TEXT_ROWS)
 
 
 _TYPICAL = {"word_length": ("letters", "alpha"), "symbols": ("symbols", "chars"), "line_ends": ("ended", "lines"), "common_words": ("hits", "alpha"), "numbers": ("numeric", "n"), "line_words": ("n", "lines"), "sentence_words": ("n", "stops")}
