@@ -7,7 +7,6 @@ is_before takes its row back: operations that can (count, sum, average, histogra
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +41,15 @@ def temporal_entities(queries: DataFrame, snapshot: DataFrame, mutations: DataFr
     muts = mutations.withColumn("_day", day_number(F.col("ds"))).withColumns({"_sign": F.when(F.coalesce(F.col(is_before), F.lit(False)), -1).otherwise(1), "_at": F.col(mutation_ts).cast("long")})
     cols = list(dict.fromkeys([*keys, ts, *[c for p in parts for c in (p.input_column, p.bucket) if c]]))
     log = snap.select(*cols, "_day", "_sign", "_at").unionByName(muts.where(F.col(mutation_ts).isNotNull()).select(*cols, "_day", "_sign", "_at")).dropna(subset=keys)
-    results = [_bounded(s, q, keys, ts) for s in shapes(log, [*keys, "_day", "_sign", "_at"], [p for p in parts if p.window.millis is not None], ts)]
-    results += [_running(s, q, keys, ts) for s in shapes(log, [*keys, "_day", "_sign", "_at"], [p for p in parts if p.window.millis is None], ts)]
+    results = []
+    for window in dict.fromkeys(p.window for p in parts):
+        own, asked, by = [p for p in parts if p.window == window], q, ["_day"]
+        rows = log
+        if window.millis is not None:
+            # Within a day the window's far end stands on few instants of its grid. Each gets its own running aggregate.
+            asked, by = q.withColumn("_tail", _tail(own[0], F.col(ts))), ["_day", "_tail"]
+            rows = log.join(asked.select(*keys, *by).distinct(), [*keys, "_day"]).where(F.col(ts) >= F.col("_tail"))
+        results += [_running(s, asked, keys, by, ts) for s in shapes(rows, [*keys, *by, "_sign", "_at"], own, ts)]
     return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
 
 
@@ -58,16 +64,16 @@ def _finish(s: Shape, merged: DataFrame, by: list[str]) -> DataFrame:
     return s.final(merged, by)
 
 
-def _running(s: Shape, q: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Unbounded parts. Whether a row's own ts lies before the query is part of the window only for rows of the same day or
-    later, so rows enter the running aggregate at the later of their ts and their recording."""
+def _running(s: Shape, q: DataFrame, keys: list[str], by: list[str], ts: str) -> DataFrame:
+    """Rows count for a query from the later of their own ts and their recording on: they enter a running aggregate there,
+    within each key and `by`, and queries read what is before them. One sorted pass serves all queries of a key's day."""
     enter = F.greatest(F.coalesce(F.col("_at"), F.lit(-(2**62)).cast("long")), F.col(ts))
     log = s.frame.where(F.col(ts).isNotNull()).withColumn("_enter", enter).withColumn("_q", F.lit(False))
-    w = Window.partitionBy(*keys, "_day", *s.extra).orderBy("_enter").rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys, *by, *s.extra).orderBy("_enter").rangeBetween(Window.unboundedPreceding, -1)
     value = lambda p: F.when(~F.col("_q"), F.col("_extra") if s.mode == "value" else F.col(f"`{p.input_column}`"))
     asked = q.withColumn("_enter", F.col(ts)).withColumn("_q", F.lit(True)).withColumn("_sign", F.lit(0))
     if s.extra:  # every bucket of the key's day answers every query of it
-        asked = asked.join(s.frame.select(*keys, "_day", *s.extra).distinct(), [*keys, "_day"])
+        asked = asked.join(s.frame.select(*keys, *by, *s.extra).distinct(), [*keys, *by])
     seen = log.unionByName(asked, allowMissingColumns=True)
     cols = [c.alias(f"{p.name}__{n}") for p in s.parts for n, c in _signed(s, p, value(p), F.col("_sign"), F.col(ts), lambda c: c.over(w)).items()]
     running = seen.select(*keys, ts, *s.extra, "_q", *cols).where("_q").drop("_q")
@@ -75,14 +81,3 @@ def _running(s: Shape, q: DataFrame, keys: list[str], ts: str) -> DataFrame:
         first = F.col(f"`{s.parts[0].name}__n`") if f"{s.parts[0].name}__n" in running.columns else None
         running = running.where(first > 0) if first is not None else running
     return _finish(s, running, [*keys, ts])
-
-
-def _bounded(s: Shape, q: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Windowed parts, by joining queries to the rows of their key and day."""
-    asked = q.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col(ts).alias("_q_ts"), F.col("_day").alias("_q_day"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_q_{k}") for k in keys]) & (F.col("_day") == F.col("_q_day"))
-    hit = s.frame.join(asked, on).where((F.col(ts) < F.col("_q_ts")) & (F.coalesce(F.col("_at"), F.lit(-(2**62)).cast("long")) < F.col("_q_ts")))
-    value = lambda p: F.when(F.col(ts) >= _tail(p, F.col("_q_ts")), F.col("_extra") if s.mode == "value" else F.col(f"`{p.input_column}`"))
-    cols = [c.alias(f"{p.name}__{n}") for p in s.parts for n, c in _signed(s, p, value(p), F.col("_sign"), F.col(ts)).items()]
-    merged = hit.groupBy(*keys, "_q_ts", *s.extra).agg(*cols).withColumnRenamed("_q_ts", ts)
-    return _finish(s, merged, [*keys, ts])

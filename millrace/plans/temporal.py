@@ -44,25 +44,30 @@ def temporal_events(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     rows = events.where(F.col(ts).isNotNull()).dropna(subset=keys)
     results = []
     for s in shapes(rows, keys, parts, ts):
-        by_query = _head(s, q, keys, ts).unionByName(_tiled(s, q, bins, keys, ts), allowMissingColumns=True)
-        results.append(s.final(s.merge(by_query, [*keys, ts]), [*keys, ts]))
+        results.append(s.final(s.merge(query_partials(s, q, bins, keys, ts), [*keys, ts]), [*keys, ts]))
     return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
 
 
-def _head(s: Shape, q: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def query_partials(s: Shape, q: DataFrame, bins: DataFrame, keys: list[str], ts: str, strict: bool = False) -> DataFrame:
+    """Rows of partials that, merged by (keys, ts), make up each query's windows. q has keys, ts and `_bin`, bins the
+    distinct keys and `_bin`. strict: events at the very time of the query do not count."""
+    return _head(s, q, keys, ts, strict).unionByName(_tiled(s, q, bins, keys, ts), allowMissingColumns=True)
+
+
+def _head(s: Shape, q: DataFrame, keys: list[str], ts: str, strict: bool) -> DataFrame:
     """Partials of the events from the start of each query's bin up to the query."""
     own = s.frame.withColumn("_bin", floor_to(F.col(ts), BIN))
     if s.mode == "plain":
         # Queries and events of a bin in one sorted run: a running aggregate serves all its queries.
         seen = own.withColumn("_q", F.lit(False)).unionByName(q.withColumn("_q", F.lit(True)), allowMissingColumns=True)
-        w = Window.partitionBy(*keys, "_bin").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy(*keys, "_bin").orderBy(ts).rangeBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
         value = lambda p: F.when(~F.col("_q"), F.col(f"`{p.input_column}`"))
         bases = s.bases()
         running = seen.select(*keys, ts, "_q", *[c.alias(f"{b}__{n}") for b, p in bases.items() for n, c in s.op(p).partial(value(p), F.col(ts), lambda c: c.over(w)).items()]).where("_q")
         cols = [F.col(f"`{p.base}__{n}`").alias(f"{p.name}__{n}") for p in s.parts for n in s.stored(p, p.base)]
         return running.select(*keys, ts, *cols)
     near = q.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col(ts).alias("_q_ts"), F.col("_bin").alias("_q_bin"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_q_{k}") for k in keys]) & (F.col("_bin") == F.col("_q_bin")) & (F.col(ts) <= F.col("_q_ts"))
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_q_{k}") for k in keys]) & (F.col("_bin") == F.col("_q_bin")) & (F.col(ts) < F.col("_q_ts") if strict else F.col(ts) <= F.col("_q_ts"))
     # Rows of one instant first combine, so a bin holds at most its distinct instants.
     instants = s.tiles(own, [*keys, "_bin", ts])
     hit = instants.join(near, on).drop(ts).withColumnRenamed("_q_ts", ts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.derive import derive
 from millrace.plans.shapes import Shape, join_groups, shapes
-from millrace.plans.temporal import floor_to
+from millrace.plans.temporal import BIN, floor_to, query_partials
 from millrace.serving.kv import KVStore
 from millrace.spec import AggregationPart, Derivation, GroupBy, Join
 
@@ -38,18 +38,17 @@ def lambda_merge(queries: DataFrame, events: DataFrame, keys: Sequence[str], par
     Windows are sawtooth as in batch; ts must not be before batch_end.
     """
     keys = list(keys)
-    q = queries.select(*keys, ts).dropna().distinct().where(F.col(ts) >= batch_end)
-    asked = q.withColumnRenamed(ts, "_at")
+    q = queries.select(*keys, ts).dropna().distinct().where(F.col(ts) >= batch_end).withColumn("_bin", floor_to(F.col(ts), BIN))
+    asked, bins = q.drop("_bin").withColumnRenamed(ts, "_at"), q.select(*keys, "_bin").distinct()
     recent = events.where(F.col(ts) >= batch_end)
     results = []
     for (s, tiles), live in zip(batch_upload(events, keys, parts, batch_end, ts), shapes(recent, keys, parts, ts), strict=True):
-        tail = lambda p: None if p.window.millis is None else floor_to(F.col("_at") - p.window.millis, p.window.tail_hop())
+        tail = lambda p: floor_to(F.col("_at") - p.window.millis, p.window.tail_hop())
         takes = lambda p: (F.col("_hop") == p.window.tail_hop()) & (F.lit(True) if p.window.millis is None else F.col("_start") >= tail(p))
-        old = s.merge_tiles(asked.join(tiles, keys), [*keys, "_at"], takes)
-        hit = live.frame.join(asked, keys).where(F.col(ts) < F.col("_at"))
-        fresh = Shape(hit, live.mode, live.parts, live.kinds, ts).rows([*keys, "_at"], lambda p: None if p.window.millis is None else F.col(ts) >= tail(p))
-        results.append(s.final(s.merge(old.unionByName(fresh), [*keys, "_at"]), [*keys, "_at"]))
-    return join_groups(asked, results, [*keys, "_at"]).withColumnRenamed("_at", ts).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
+        old = s.merge_tiles(asked.join(tiles, keys), [*keys, "_at"], takes).withColumnRenamed("_at", ts)
+        fresh = query_partials(live, q, bins, keys, ts, strict=True)
+        results.append(s.final(s.merge(old.unionByName(fresh, allowMissingColumns=True), [*keys, ts]), [*keys, ts]))
+    return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
 
 
 class Fetcher:
