@@ -165,7 +165,9 @@ def _name(columns: Sequence[str]) -> Column:
 
 
 def above_share(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:
-    """Exactly the items held by more than `share` of the non-null rows: (column_name, item_value, n, rows).
+    """Exactly the items held by more than `share` of the non-null rows: (column_name, item_value, item_text, n, rows).
+
+    item_value is the value of integer columns and the hash of others, item_text the value as text.
 
     Candidates are the lanes whose upper bound exceeds the share; they are at most BUCKETS x LANES per column, and a second
     pass counts them. If a counter exceeds the share, an item outside the lanes may hide in it: the second pass then also
@@ -177,11 +179,11 @@ def above_share(df: DataFrame, columns: Sequence[str], share: float) -> DataFram
     candidates = bounds.join(totals, "col").where(F.col("high") > enough).select("col", "item")
     full = counters.join(totals, "col").where(F.col("n") > enough).select("col", "cell")
     kept = bounds.select("col", "item")
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("col"), i.alias("item"), slots(h)[1].alias("cell")) for k, (i, h) in enumerate(_items(df, columns))]))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("col"), i.alias("item"), slots(h)[1].alias("cell"), F.col(c).cast("string").alias("text")) for k, (c, (i, h)) in enumerate(zip(columns, _items(df, columns), strict=True))]))
     rows = df.select(cells.alias("x")).select("x.*").where("item is not null")
-    hits = rows.join(F.broadcast(candidates), ["col", "item"], "left_semi").select("col", "item")
+    hits = rows.join(F.broadcast(candidates), ["col", "item"], "left_semi").select("col", "item", "text")
     if not full.isEmpty():
-        hidden = rows.join(F.broadcast(full), ["col", "cell"], "left_semi").join(F.broadcast(kept), ["col", "item"], "left_anti").select("col", "item")
+        hidden = rows.join(F.broadcast(full), ["col", "cell"], "left_semi").join(F.broadcast(kept), ["col", "item"], "left_anti").select("col", "item", "text")
         hits = hits.unionByName(hidden)
-    exact = hits.groupBy("col", "item").agg(F.count(F.lit(1)).alias("n")).join(totals, "col").where(F.col("n") > enough)
-    return exact.select(_name(columns).alias("column_name"), F.col("item").alias("item_value"), "n", "rows")
+    exact = hits.groupBy("col", "item", "text").agg(F.count(F.lit(1)).alias("n")).join(totals, "col").where(F.col("n") > enough)
+    return exact.select(_name(columns).alias("column_name"), F.col("item").alias("item_value"), F.col("text").alias("item_text"), "n", "rows")

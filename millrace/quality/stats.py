@@ -261,7 +261,7 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     from millrace.operators.heavy_hitters import above_share
 
     found = above_share(df, [key], share)
-    return found.select(F.col("item_value").alias(key), F.col("n").alias("rows"))
+    return found.select(F.col("item_text").cast(df.schema[key].dataType).alias(key), F.col("n").alias("rows"))
 
 
 def timestamp_checks(df: DataFrame, ts: str = "ts", low: int = 31_536_000_000, high: int = 4_102_473_599_999) -> DataFrame:
