@@ -149,6 +149,27 @@ def percentile_distance(a: Sequence[float], b: Sequence[float], metric: str) ->
     return total
 
 
+def sketch_distance(before: DataFrame, after: DataFrame, column: str, k: int = 200) -> DataFrame:
+    """One row (largest, psi): the largest gap between the cumulative distributions of a number in two frames, and the
+    stability index over twenty cells of the first, both from sketches of bounded size. Null if a side has no values."""
+    spark = before.sparkSession
+    sketch = lambda d: d.agg(F.when(F.count(column) > 0, F.call_function("kll_sketch_agg_double", F.col(column).cast("double"), F.lit(k)))).head()[0]
+    a, b = sketch(before), sketch(after)
+    one = spark.range(1)
+    if a is None or b is None:
+        return one.select(*[F.lit(None).cast("double").alias(n) for n in ("largest", "psi")])
+    points = F.array(*[F.lit(p) for p in PERCENTILES])
+    quantiles = one.select(*[F.call_function("kll_sketch_get_quantile_double", F.lit(bytes(s)), points).alias(n) for n, s in (("a", a), ("b", b))]).head()
+    cells = sorted(set(quantiles.a))
+    at = F.array(*[F.lit(float(x)) for x in [*cells, *sorted(set(quantiles.b))]])
+    ra, rb = one.select(*[F.call_function("kll_sketch_get_rank_double", F.lit(bytes(s)), at) for s in (a, b)]).head()
+    psi = 0.0
+    for k in range(len(cells) + 1):
+        p, q = (max(0.0, (r[k] if k < len(cells) else 1.0) - (r[k - 1] if k else 0.0)) or EMPTY_SHARE for r in (ra, rb))
+        psi += (q - p) * math.log(q / p)
+    return one.select(F.lit(max(abs(x - y) for x, y in zip(ra, rb, strict=True))).alias("largest"), F.lit(psi).alias("psi"))
+
+
 def summarize(df: DataFrame, columns: Sequence[str], ts: str = "ts", tile_ms: int = 86_400_000) -> DataFrame:
     """Tiles of drift summaries: (tile, column_name, rows, nulls, percentiles). The tile of a row is round(ts / size) * size.
     Arrays and maps are summed up by their lengths, strings by theirs."""

@@ -414,6 +414,12 @@ def drift_percentiles(spark, d):
     return rounded(stats.percentile_drift(stats.summarize(events(spark, d), ["value", "props"]), 86_400_000))
 
 
+@query
+def drift_sketches(spark, d):
+    e = events(spark, d)
+    return rounded(stats.sketch_distance(e.where(F.col("ts") < SPLIT), e.where(F.col("ts") >= SPLIT), "value"))
+
+
 @query
 def tile_drift(spark, d):
     s = stats.column_stats(events(spark, d), ["value"], bucket_ms=86_400_000)
@@ -528,6 +534,16 @@ def stream_enriched(spark, d):
     return _run_stream(spark, tiles.enriched(s, features, ["user_id"]), "stream-enriched", "append").drop("_batch")
 
 
+@query
+def stream_chained_tiles(spark, d):
+    features = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    parts = parts_of([Aggregation("value", O.SUM, ("14d",)), Aggregation("value", O.COUNT, ("14d",))])
+    s = tiles.enriched(_stream(spark, d).where("event_type = 'purchase'"), features, ["user_id"])
+    rows = _run_stream(spark, tiles.tiled(s, ["c_mktsegment"], parts, lateness="10000 days"), "stream-chained", "update")
+    last = stats.running_rank(rows, ["c_mktsegment", "tile_start"], [F.desc("_batch")], 1)
+    return rounded(tiles.finished(last, ["c_mktsegment"], parts, {f.name: f.dataType for f in s.schema.fields}))
+
+
 @query
 def model_transform_batch(spark, d):
     m = ModelTransforms({"x": "value / 10", "n": "length(event_type)"}, {"score": "raw * 2", "high": "cast(raw > 5 as int)"}, ["event_id"], batch_size=100)

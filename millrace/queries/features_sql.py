@@ -159,5 +159,6 @@ SQL = {
     "stream_tiles": f"WITH {E} SELECT user_id, (ts // {HOUR}) * {HOUR} AS tile_start, round(sum(value), 6) AS value_sum, nullif(count(value), 0) AS value_count, round(max(value), 6) AS value_max FROM e GROUP BY 1, 2",
     "stream_cdc_tiles": f"WITH {E} SELECT user_id, (ts // {HOUR}) * {HOUR} AS tile_start, round(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE value END), 6) AS value_sum, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS value_count FROM e GROUP BY 1, 2",
     "stream_enriched": "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase'",
+    "stream_chained_tiles": f"WITH {E} SELECT c_mktsegment, (ts // {DAY}) * {DAY} AS tile_start, round(sum(value), 6) AS value_sum, nullif(count(value), 0) AS value_count FROM e LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase' GROUP BY 1, 2",
     "model_transform_batch": "SELECT event_id, round((value / 10 * 0.5 + length(event_type)) * 2, 6) AS score, CAST(value / 10 * 0.5 + length(event_type) > 5 AS INTEGER) AS high FROM events",
 }

@@ -261,6 +261,13 @@ def test_drift_by_percentiles():
     assert stats.percentile_distance(a, far, "psi") > 0.2 and stats.percentile_distance(a, far, "hellinger") == pytest.approx(1.0, abs=1e-6)
 
 
+def test_drift_by_sketches(spark):
+    df = spark.range(5000).select(F.col("id").cast("double").alias("v"))
+    same, far = stats.sketch_distance(df, df, "v").head(), stats.sketch_distance(df, df.select((F.col("v") + 5000).alias("v")), "v").head()
+    assert same.largest < 0.03 and same.psi < 0.05 and far.largest > 0.9 and far.psi > 1
+    assert stats.sketch_distance(df, df.limit(0), "v").head().psi is None
+
+
 def test_differences_tolerate_and_match_nulls(spark):
     a = spark.createDataFrame([(1, 1.0), (None, 2.0), (3, None)], "k int, v double")
     b = spark.createDataFrame([(1, 1.000001), (None, 3.0), (4, None)], "k int, v double")
