@@ -2,7 +2,7 @@
 
 A window W ends at ts itself (inclusive) and begins at floor(ts - W, hop), where hop is the grid of its length. Events are
 summed up in tiles of a day, an hour and five minutes. Queries of one key in one five-minute bin need the same tiles, so
-tiles are merged once per (key, bin); what lies between the bin's start and ts is a running aggregate inside the bin. A hot
+tiles are merged once per (key, bin), by range frames over a key's tiles in order; what lies between the bin's start and ts is a running aggregate inside the bin. A hot
 key costs as many tile rows as it has bins, not the product of its queries and events.
 """
 
@@ -19,6 +19,8 @@ from millrace.spec import UNIT_MS, AggregationPart
 
 BIN = 5 * UNIT_MS["m"]
 HOUR, DAY = UNIT_MS["h"], UNIT_MS["d"]
+#: The next larger tile.
+UP = {BIN: HOUR, HOUR: DAY}
 
 
 def floor_to(c: Column, step: int) -> Column:
@@ -74,45 +76,59 @@ def _head(s: Shape, q: DataFrame, keys: list[str], ts: str, strict: bool) -> Dat
     return s.merge_tiles(hit, [*keys, ts], lambda p: None)
 
 
+def _takes(part: AggregationPart, hop: int, b: Column) -> tuple[Column, Column] | None:
+    """First and end of the tiles of one size that a part takes for bin b: coarse ones from its tail on, finer ones for what
+    is left of the current day and hour."""
+    own, tail = part.window.tail_hop(), _tail(part, b)
+    if own == hop:
+        return None if tail is None else (tail, floor_to(b, hop))
+    return (floor_to(b, UP[hop]), floor_to(b, hop)) if own > hop else None
+
+
 def _tiled(s: Shape, q: DataFrame, bins: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Partials of the tiles between each part's tail and the bin, for every query."""
     b = F.col("_bin")
-    bounded = [p for p in s.parts if p.window.millis is not None]
     pieces = []
-
-    def ranges(hop: int) -> list[tuple[AggregationPart, Column, Column]]:
-        """For tiles of one size: parts with the first and the end of the tiles they take."""
-        out = []
-        for p in s.parts:
-            own, tail = p.window.tail_hop(), _tail(p, b)
-            if hop == DAY and own == DAY and tail is not None:
-                out.append((p, tail, floor_to(b, DAY)))
-            elif hop == HOUR and own == DAY:
-                out.append((p, floor_to(b, DAY), floor_to(b, HOUR)))
-            elif hop == HOUR and own == HOUR:
-                out.append((p, tail, floor_to(b, HOUR)))
-            elif hop == BIN:
-                out.append((p, tail if own == BIN else floor_to(b, HOUR), b))
-        return out
-
     for hop in (DAY, HOUR, BIN):
-        takes = ranges(hop)
-        if not takes:
-            continue
-        first = reduce(F.least, [a for _, a, _ in takes]) if len(takes) > 1 else takes[0][1]
-        end = reduce(F.greatest, [e for _, _, e in takes]) if len(takes) > 1 else takes[0][2]
-        tiles = s.tiles(s.frame.withColumn("_start", floor_to(F.col(ts), hop)), [*keys, "_start"])
-        wanted = bins.where(first < end).withColumn("_start", F.explode(F.sequence(first, end - hop, F.lit(hop).cast("long"))))
-        joined = wanted.join(tiles, [*keys, "_start"])
-        limits = {p.name: (F.col("_start") >= a) & (F.col("_start") < e) for p, a, e in takes}
-        merged = s.merge_tiles(joined, [*keys, "_bin"], lambda p, limits=limits: limits.get(p.name, F.lit(False)))
-        pieces.append(merged)
-    if len(bounded) < len(s.parts):
+        parts = [p for p in s.parts if _takes(p, hop, b)]
+        if parts:
+            tiles = s.tiles(s.frame.withColumn("_start", floor_to(F.col(ts), hop)), [*keys, "_start"])
+            aligned = all(p.window.tail_hop() > hop or p.window.millis % hop == 0 for p in parts)
+            pieces.append(_framed(s, parts, tiles, bins, keys, hop) if s.mode == "plain" and aligned else _listed(s, parts, tiles, bins, keys, hop))
+    if any(p.window.millis is None for p in s.parts):
         pieces.append(_before_today(s, bins, keys, ts))
     both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), pieces)
     return q.join(both, [*keys, "_bin"]).drop("_bin")
 
 
+def _framed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: DataFrame, keys: list[str], hop: int) -> DataFrame:
+    """Tiles and the instants that are asked about in one sorted run per key: a range frame of the window's length merges the
+    tiles of its own grid, a frame from the start of the current day or hour the finer ones. Nothing is repeated per query."""
+    marks = bins.withColumn("_start", floor_to(F.col("_bin"), hop))
+    seen = tiles.withColumn("_q", F.lit(False)).unionByName(marks.select(*keys, "_start").distinct().withColumn("_q", F.lit(True)), allowMissingColumns=True)
+    within = lambda p: (
+        Window.partitionBy(*keys).orderBy("_start").rangeBetween(-p.window.millis, -1)
+        if p.window.tail_hop() == hop
+        else Window.partitionBy(*keys, "_up").orderBy("_start").rangeBetween(Window.unboundedPreceding, -1)
+    )
+    if hop in UP:
+        seen = seen.withColumn("_up", floor_to(F.col("_start"), UP[hop]))
+    cols = [c.alias(f"{p.name}__{n}") for p in parts for n, c in s.op(p).merge(s.stored(p, p.base), lambda c, p=p: c.over(within(p))).items()]
+    merged = seen.select(*keys, "_start", "_q", *cols).where("_q").drop("_q")
+    return marks.join(merged, [*keys, "_start"]).drop("_start")
+
+
+def _listed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: DataFrame, keys: list[str], hop: int) -> DataFrame:
+    """The same by listing the tiles that each bin needs and joining them: for buckets and values, which would have to be
+    asked about one by one, and for windows that do not fit their own grid."""
+    ranges = {p.name: _takes(p, hop, F.col("_bin")) for p in parts}
+    first = reduce(F.least, [a for a, _ in ranges.values()]) if len(ranges) > 1 else next(iter(ranges.values()))[0]
+    end = floor_to(F.col("_bin"), hop)
+    wanted = bins.where(first < end).withColumn("_start", F.explode(F.sequence(first, end - hop, F.lit(hop).cast("long"))))
+    limits = {name: (F.col("_start") >= a) & (F.col("_start") < e) for name, (a, e) in ranges.items()}
+    return s.merge_tiles(wanted.join(tiles, [*keys, "_start"]), [*keys, "_bin"], lambda p: limits.get(p.name, F.lit(False)))
+
+
 def _before_today(s: Shape, bins: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Partials of everything before the day of each bin, for unbounded parts: a running merge over the days."""
     parts = [p for p in s.parts if p.window.millis is None]

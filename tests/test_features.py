@@ -52,7 +52,7 @@ def random_events(spark, seed, n=400):
 
 EVERY = [
     *[Aggregation("v", o, ("30m", "1d", "14d", None), k=2) for o in (O.SUM, O.COUNT, O.AVERAGE, O.MIN, O.MAX, O.VARIANCE, O.UNIQUE_COUNT, O.TOP_K, O.BOTTOM_K, O.UNIQUE_TOP_K)],
-    Aggregation("v", O.LAST, ("1d", None)), Aggregation("v", O.FIRST, ("1d",)), Aggregation("v", O.LAST_K, ("1d",), k=2), Aggregation("b", O.HISTOGRAM, ("1d", None)), Aggregation("v", O.SUM, ("1d", None), buckets=("b",)),
+    Aggregation("v", O.SUM, ("300h", "13h", "35m")), Aggregation("v", O.LAST, ("1d", None)), Aggregation("v", O.FIRST, ("1d",)), Aggregation("v", O.LAST_K, ("1d",), k=2), Aggregation("b", O.HISTOGRAM, ("1d", None)), Aggregation("v", O.SUM, ("1d", None), buckets=("b",)),
     Aggregation("l", O.SUM, ("1d", None)), Aggregation("m", O.AVERAGE, ("14d",)), Aggregation("b", O.APPROX_FREQUENT_K, ("1d",), k=1),
 ]
 
