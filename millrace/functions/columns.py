@@ -62,3 +62,14 @@ def newest_version(df: DataFrame, keys: Sequence[str], order: str, content: Sequ
     """
     best = F.max(F.struct(order, *content)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, f"_best.{order}", *[f"_best.{c}" for c in content])
+
+
+def snake_case_columns(df: DataFrame) -> DataFrame:
+    """Columns in camel case renamed to snake case."""
+    import re
+
+    return df.withColumnsRenamed({c: re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", c).lower() for c in df.columns})
+
+
+def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns if c not in keep})

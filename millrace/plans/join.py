@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.dates import PartitionRange, shift
+from millrace.dates import PartitionRange, render, shift
 from millrace.functions.columns import DAY_MS
 from millrace.plans.derive import coalesced_join, derive, derive_over_left, without_skew
 from millrace.plans.mutations import temporal_entities
@@ -26,6 +28,9 @@ def source_frame(catalog: Catalog, source: Source, days: PartitionRange | None,
     partition only. The output of a join can be a source.
     """
     q = source.query
+    if days is not None:  # expressions may use the date macros of staging queries
+        fill = lambda text: render(text, days, days.end) if text and "{{" in text else text
+        q = replace(q, selects={k: fill(v) for k, v in q.selects.items()}, wheres=[fill(w) for w in q.wheres])
     for s in q.setups:
         catalog.spark.sql(s)
     if isinstance(source, JoinSource):
@@ -136,6 +141,19 @@ def bootstrap(catalog: Catalog, join: Join, left: DataFrame, days: PartitionRang
     return out, provided
 
 
+def check_bootstrap(provided: dict[str, str], fields: dict[str, str]) -> None:
+    """Every column that a bootstrap table provides must be a field of the join, of the same type."""
+    wrong = [f"{c} ({kind}, the join has {fields.get(c, 'no such field')})" for c, kind in provided.items() if fields.get(c) != kind]
+    if wrong:
+        raise ValueError(f"bootstrap columns do not fit: {', '.join(wrong)}")
+
+
+def derived_from(expression: str, fields: Sequence[str]) -> list[str]:
+    """Fields whose names occur in an expression as identifiers."""
+    words = set(re.findall(r"[A-Za-z_]\w*", expression))
+    return [f for f in fields if f in words]
+
+
 def compute_join(catalog: Catalog, join: Join, days: PartitionRange | None) -> DataFrame:
     """The left side with the features of every part, external columns (null offline) and derivations.
 
@@ -153,10 +171,17 @@ def compute_join(catalog: Catalog, join: Join, days: PartitionRange | None) -> D
     out = left
     if join.bootstrap_parts:
         out, provided = bootstrap(catalog, join, left, days)
-    for part in join.parts:
+    probes = [compute_part(catalog, left, p, events, days) for p in join.parts] if provided else []
+    if provided:
+        fields = {f.name: f.dataType.simpleString() for probe, _ in probes for f in probe.schema.fields}
+        fields |= {f"ext_{e.source}_{n}": kind for e in join.external_parts for n, kind in e.columns.items()}
+        fields |= {f.name: f.dataType.simpleString() for f in left.schema.fields}
+        derived = {d.name for d in join.derivations}
+        check_bootstrap({f.name: f.dataType.simpleString() for f in out.schema.fields if any(f.name in c for c in provided.values()) and f.name not in derived}, fields)
+    for k, part in enumerate(join.parts):
         asked = out
         if provided:
-            probe, on = compute_part(catalog, left, part, events, days)
+            probe, on = probes[k]
             fields = {c for c in probe.columns if c not in on}
             covering = [h for h, cols in provided.items() if fields <= cols]
             if covering:

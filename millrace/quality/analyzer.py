@@ -13,7 +13,7 @@ from millrace.functions.columns import DAY_MS
 from millrace.plans.join import compute_part, left_frame, source_frame
 from millrace.quality.stats import heavy_keys, timestamp_checks
 from millrace.sources.tables import Catalog
-from millrace.spec import EntitySource, GroupBy, Join, JoinSource
+from millrace.spec import EntitySource, EventSource, GroupBy, Join, JoinSource
 
 
 @dataclass
@@ -46,6 +46,8 @@ def evaluate(catalog: Catalog, join: Join, days: PartitionRange | None = None) -
         if missing:
             r.errors.append(f"{name}: left has no {missing}")
             continue
+        if any(x.window.millis is None for x in p.group_by.parts()) and any(isinstance(s, EventSource) and not s.query.start_partition and not s.is_cumulative for s in p.group_by.sources):
+            r.warnings.append(f"{name}: a window without bound reads all partitions; give its sources a start_partition")
         try:
             for s in p.group_by.sources:
                 right = {f.name: f.dataType for f in source_frame(catalog, s, days).schema.fields}

@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Mapping, Sequence
-from functools import lru_cache
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.dates import PartitionRange
+from millrace.functions.columns import DAY_MS
 from millrace.plans.derive import derive
+from millrace.plans.join import compute_group_by
 from millrace.plans.shapes import Shape, join_groups, shapes
 from millrace.plans.temporal import BIN, floor_to, query_partials
-from millrace.serving.kv import KVStore
+from millrace.serving.kv import KVStore, encoded
+from millrace.sources.tables import Catalog
 from millrace.spec import AggregationPart, Derivation, GroupBy, Join
 
 
@@ -51,13 +55,24 @@ def lambda_merge(queries: DataFrame, events: DataFrame, keys: Sequence[str], par
     return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
 
 
+def upload(catalog: Catalog, g: GroupBy, ds: str) -> DataFrame:
+    """What a store needs to answer for a group by as of the midnight after ds: (key, value, millis) with keys and features as
+    JSON, at that midnight; and under the key `info` the names of keys and features and the day."""
+    day = PartitionRange(ds, ds)
+    features = compute_group_by(catalog, g, day)
+    end = int((date.fromisoformat(ds) - date(1970, 1, 1)).days + 1) * DAY_MS
+    values = [c for c in features.columns if c not in (*g.keys, "ds")]
+    info = json.dumps({"keys": list(g.keys), "values": values, "ds": ds})
+    note = catalog.spark.range(1).select(F.lit("info").alias("key"), F.lit(info).alias("value"), F.lit(end).cast("long").alias("millis"))
+    return encoded(features, list(g.keys), values, end).unionByName(note)
+
+
 class Fetcher:
     """Answers requests from a key-value store that holds finished feature rows per group by (JSON by key)."""
 
     def __init__(self, spark: SparkSession, store: KVStore, joins: Mapping[str, Join] = (), group_bys: Mapping[str, GroupBy] = (), external: Mapping[str, Callable[[dict], dict]] | None = None):
         self.spark, self.store, self.joins, self.group_bys, self.external = spark, store, dict(joins), dict(group_bys), dict(external or {})
         self.log: list[dict] = []
-        self._cached = lru_cache(10_000)(self._read)
 
     def _read(self, dataset: str, key: str) -> str | None:
         found = self.store.get(dataset, key)

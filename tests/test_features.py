@@ -375,3 +375,33 @@ def test_sensors_and_footers(spark, tmp_path):
     old = {"left": "1", "bootstrap": "1", "a": "1", "b": "1", "derivations": "1"}
     assert recompute(old, old) == set() and recompute(old, {**old, "a": "2"}) == {"a", "final"} and recompute(old, {**old, "left": "2"}) == {"a", "b", "final"}
     assert recompute(old, {**old, "c": "1"}) == {"final"} and recompute(old, {k: v for k, v in old.items() if k != "b"}) == {"b", "final"}
+
+
+def test_bootstrap_columns_must_fit(spark):
+    from millrace.plans.join import derived_from
+    from millrace.spec import BootstrapPart
+
+    left = spark.createDataFrame([(1, "a", 24 * HOUR + 5)], "id int, k string, ts long").withColumn("ds", F.lit("1970-01-02"))
+    right = spark.createDataFrame([("a", 100, 2.0)], "k string, ts long, v double")
+    boot = spark.createDataFrame([(1, "1970-01-02", 7.0, 1)], "id int, ds string, g_v_sum_1d double, other int")
+    g = GroupBy("g", [EventSource("right", Query({"k": None, "v": None}, time_column="ts"))], ["k"], [Aggregation("v", O.SUM, ("1d",))])
+    join = lambda *cols: Join("j", EventSource("left", Query({"id": None, "k": None}, time_column="ts")), [JoinPart(g)], row_ids=["id"], bootstrap_parts=[BootstrapPart("boot", Query({"id": None, **dict.fromkeys(cols)}))])
+    c = Catalog(spark, {"left": left, "right": right, "boot": boot})
+    days = PartitionRange("1970-01-02", "1970-01-02")
+    assert [r.g_v_sum_1d for r in compute_join(c, join("g_v_sum_1d"), days).collect()] == [7.0]
+    with pytest.raises(ValueError, match="other"):
+        compute_join(c, join("g_v_sum_1d", "other"), days)
+    assert derived_from("a_1 / nullif(b, 0)", ["a", "a_1", "b"]) == ["a_1", "b"]
+
+
+def test_upload_answers_lookups(spark):
+    from millrace.functions.columns import prefixed, snake_case_columns
+    from millrace.serving.fetcher import upload
+
+    right = spark.createDataFrame([("a", 100, 2.0), ("a", 24 * HOUR + 1, 4.0)], "k string, ts long, v double")
+    g = GroupBy("g", [EventSource("right", Query({"k": None, "v": "v + length({{ start_date }}) - 10"}, time_column="ts"))], ["k"], [Aggregation("v", O.SUM, ("1d", "7d"))])
+    store = MemoryStore()
+    store.bulk_put("g", upload(Catalog(spark, {"right": right}), g, "1970-01-02"))
+    assert Fetcher(spark, store, {}, {"g": g}).fetch_group_by("g", {"k": "a"}) == {"v_sum_1d": 4.0, "v_sum_7d": 6.0}
+    assert '"keys": ["k"]' in store.get("g", "info")[0].value and store.get("g", "info")[0].millis == 48 * HOUR
+    assert prefixed(snake_case_columns(spark.createDataFrame([(1, 2)], "userId int, refundAmt int")), "x", ["user_id"]).columns == ["user_id", "x_refund_amt"]
