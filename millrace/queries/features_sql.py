@@ -151,8 +151,8 @@ SQL = {
     "skew_keys": "SELECT user_id, count(*) AS rows FROM checkouts WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 0.02 * (SELECT count(user_id) FROM checkouts)",
     "timestamp_checks": f"SELECT count(*) AS rows, {count_if('ts IS NULL')} AS null_ts, {count_if('ts < 31536000000 OR ts > 4102473599999')} AS bad_ts FROM checkouts",
     "scalar_functions": f"""WITH {E} SELECT event_id, round(value + 6, 6) AS added, event_id % 7 AS modulo, round(abs(10 - value), 6) AS distance, CAST(trunc(value) AS INTEGER) AS whole, concat_ws('-', event_type, CAST(user_id AS VARCHAR)) AS joined, ascii(event_type) AS first_code,
-        regexp_extract(props, '([0-9]+)', 1) AS number_text, length(props) AS size, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, coalesce(nullif(event_type, 'view'), 'none') AS kind, CASE WHEN value < 10 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS grade,
-        event_type IS NULL AS unknown, json_extract_string(props, '$.k') AS k, event_type AS same, dayofweek(make_timestamp(ts * 1000)) + 1 AS weekday, day(make_timestamp(ts * 1000)) AS day_of_month,
+        regexp_extract(props, '([0-9]+)', 1) AS number_text, CAST(length(props) AS INTEGER) AS size, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, coalesce(nullif(event_type, 'view'), 'none') AS kind, CASE WHEN value < 10 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS grade,
+        event_type IS NULL AS unknown, json_extract_string(props, '$.k') AS k, event_type AS same, CAST(dayofweek(make_timestamp(ts * 1000)) + 1 AS INTEGER) AS weekday, CAST(day(make_timestamp(ts * 1000)) AS INTEGER) AS day_of_month,
         strftime(date_trunc('hour', make_timestamp(ts * 1000)), '%Y-%m-%d %H') AS hour, strftime(CAST(ds AS DATE) + INTERVAL 3 DAY, '%Y-%m-%d') AS later, 60 AS folded, 1 + user_id AS least, 2 AS entries, user_id AS looked_up FROM e""",
     "generators": "SELECT event_id, event_type AS word, 1 AS side FROM events UNION ALL SELECT event_id, reverse(event_type), 2 FROM events",
     "set_functions": "WITH k AS (SELECT user_id, list(DISTINCT event_type) AS kinds FROM events GROUP BY 1) SELECT user_id, array_to_string(list_sort(list_append(kinds, 'extra')), ',') AS added, CAST(list_has_any(kinds, ['purchase', 'error']) AS INTEGER) AS any_of FROM k",
