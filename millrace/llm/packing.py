@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from millrace import runtime
 
 #: Finest division of a capacity in the plan: larger capacities count in units, lengths rounded up.
-UNITS = 2048
+UNITS = 4096
 ROUNDS, STEP, DECAY = 120, 0.25, 3.0
-FILL_ROUNDS = 300
+#: Rounds of filling what rounding left, and how many lengths each considers.
+FILL_ROUNDS, FILL_CLASSES = 300, 250
 #: Items ranked in one group; hotter lengths are cut into salted groups.
 GROUP_ITEMS = 500_000
 
@@ -142,7 +143,12 @@ def plan(sizes: np.ndarray, demand: np.ndarray, units: int) -> list[Config]:
     for _ in range(FILL_ROUNDS):  # prefer long items a little: short ones fit anywhere later
         if not left.any():
             return out
-        a = sack.best(sizes * (1 + 0.1 * sizes / units), left)
+        # Some lengths of each kind fill a container as well as all would: the longest, and others evenly spread.
+        there = np.flatnonzero(left)
+        some = np.zeros(len(sizes), np.int64)
+        chosen = np.r_[there[-FILL_CLASSES // 4 :], there[:: max(1, len(there) // FILL_CLASSES)]]
+        some[chosen] = left[chosen]
+        a = sack.best(sizes * (1 + 0.1 * sizes / units), some)
         k = np.flatnonzero(a)
         use(a, int((left[k] // a[k]).min()))
     while left.any():
