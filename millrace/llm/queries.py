@@ -60,4 +60,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+#: Words of a text as the leak definition reads them.
+_WORDS = r"regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0300}-\x{036F}]', '', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"
+
+SQL: dict[str, str] = {
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        spans AS (SELECT item_id, least(12, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(12, len(w)) + 2), lambda k: array_to_string(w[k:k + least(12, len(w)) - 1], ' '))) AS span FROM i WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT n FROM spans),
+        grams AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS span FROM d, lens WHERE len(w) >= n)
+        SELECT DISTINCT doc_id, item_id FROM grams JOIN spans USING (n, span)""",
+}
