@@ -3,9 +3,10 @@
 The corpus is reduced to a histogram of lengths, which a capacity bounds whatever the number of items. Over it stands the
 configuration linear program: a configuration is a multiset of lengths that fits a container, and each length's items must
 be covered by as few configurations as possible. Multiplicative weights solve it: prices start at the lengths and fall as
-lengths are covered, and each round buys the configuration worth most, found by dynamic programming over the capacity. The
-fractional solution is rounded down; what is left is filled by the same knapsack and then first-fit. Items take their
-places in the plan by rank within their length, in parallel.
+lengths are covered, and each round buys the configuration worth most, found by dynamic programming over the capacity,
+until every length is covered. No solution is below the items' total over the capacity, which tells how good it is. The
+fractional solution is rounded; what is left is filled by the same knapsack to the last item. Items take their places in
+the plan by rank within their length, in parallel.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from millrace import runtime
 
 #: Finest division of a capacity in the plan: larger capacities count in units, lengths rounded up.
 UNITS = 4096
-ROUNDS, STEP, DECAY = 120, 0.25, 3.0
-#: Rounds of filling what rounding left, and how many lengths each considers.
-FILL_ROUNDS, FILL_CLASSES = 300, 250
+#: Purchases by which the step of the fractional solution is scaled, how fast prices fall, and what long items cost more.
+PURCHASES, DECAY, LONG = 1000, 3.0, 1.0
+#: Lengths that a purchase considers first, and the unused share of a container up to which their best is taken.
+ORACLE_CLASSES, GAP = 128, 0.002
 #: Items ranked in one group; hotter lengths are cut into salted groups.
 GROUP_ITEMS = 500_000
 
@@ -115,8 +117,46 @@ class Knapsack:
         return amounts
 
 
-def plan(sizes: np.ndarray, demand: np.ndarray, units: int) -> list[Config]:
-    """Configurations that place exactly demand[k] items of size sizes[k] (1..units) each. Sizes ascend."""
+def fullest(sack: Knapsack, values: np.ndarray, limit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Amounts of the configuration worth most. Those of the classes `first` and of evenly spread others are tried before
+    all: a configuration without more than GAP of unused space is as good as any, to that share."""
+    there = np.flatnonzero(limit)
+    if len(there) > 2 * ORACLE_CLASSES:
+        some = np.zeros(len(limit), np.int64)
+        chosen = np.r_[first[:ORACLE_CLASSES], there[:: -(-len(there) // ORACLE_CLASSES)]]
+        some[chosen] = limit[chosen]
+        a = sack.best(values, some)
+        if a @ sack.sizes >= (1 - GAP) * sack.units:
+            return a
+    return sack.best(values, limit)
+
+
+def cover(sack: Knapsack, demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """The fractional solution: configurations and how often each is used, which together cover every class exactly once.
+
+    Prices start at the lengths, long ones a little above, and fall as a class is covered. A purchase covers a class of its
+    configuration by a step or to the end, so there are at most len(demand) / step of them: PURCHASES, or the classes.
+    """
+    need, bought, step = np.ones(len(demand)), {}, min(1.0, (len(demand) + 1) / PURCHASES)
+    worth = sack.sizes * (1 + LONG * sack.sizes / sack.units)
+    while (need > 0).any():
+        limit = np.where(need > 0, demand, 0)
+        open_ = np.flatnonzero(need > 0)
+        a = fullest(sack, worth * np.exp(DECAY * (need - 1)), limit, open_[np.argsort(-need[open_] * sack.sizes[open_], kind="stable")])
+        k = np.flatnonzero(a)
+        share = a[k] / demand[k]
+        times = min((need[k] / share).min(), (step / share).min())
+        need[k] -= times * share
+        need[need < 1e-9] = 0
+        key = a.tobytes()
+        bought[key] = (a, bought[key][1] + times) if key in bought else (a, times)
+    return list(bought.values())
+
+
+def plan(sizes: np.ndarray, demand: np.ndarray, units: int, shares: dict[str, int] | None = None) -> list[Config]:
+    """Configurations that place exactly demand[k] items of size sizes[k] (1..units) each. Sizes ascend. `shares` receives
+    the units placed by the rounded program (`lp`) and by the knapsack after it (`knapsack`), and the value of the
+    fractional solution in containers (`value`)."""
     sack, left = Knapsack(sizes, units), demand.astype(np.int64).copy()
     out: list[Config] = []
 
@@ -125,39 +165,23 @@ def plan(sizes: np.ndarray, demand: np.ndarray, units: int) -> list[Config]:
         out.append(Config(copies, k, amounts[k]))
         left[k] -= copies * amounts[k]
 
-    covered, bought = np.zeros(len(sizes)), {}
-    for _ in range(ROUNDS if len(sizes) else 0):
-        if covered.min() >= 1:
-            break
-        a = sack.best(sizes * np.exp(-DECAY * covered), demand)
+    bought = cover(sack, left.copy())
+    # Rounding carries the fractions on, so that the rounded uses add up to the fractional ones where items are left.
+    carry = 0.0
+    for a, times in sorted(bought, key=lambda x: -x[1]):
         k = np.flatnonzero(a)
-        times = STEP * (demand[k] / a[k]).min()
-        covered[k] += times * a[k] / demand[k]
-        key = a.tobytes()
-        bought[key] = (a, bought[key][1] + times) if key in bought else (a, times)
-    for a, times in bought.values():
-        k = np.flatnonzero(a)
-        copies = int(min(np.floor(times / max(1.0, covered[k].max())), (left[k] // a[k]).min()))
+        copies = int(min(np.floor(times + carry + 1e-9), (left[k] // a[k]).min()))
+        carry = min(carry + times - copies, 1.0)
         if copies > 0:
             use(a, copies)
-    for _ in range(FILL_ROUNDS):  # prefer long items a little: short ones fit anywhere later
-        if not left.any():
-            return out
-        # Some lengths of each kind fill a container as well as all would: the longest, and others evenly spread.
+    by_lp = int(sizes @ (demand - left))
+    while left.any():  # prefer long items a little: short ones fit anywhere later
         there = np.flatnonzero(left)
-        some = np.zeros(len(sizes), np.int64)
-        chosen = np.r_[there[-FILL_CLASSES // 4 :], there[:: max(1, len(there) // FILL_CLASSES)]]
-        some[chosen] = left[chosen]
-        a = sack.best(sizes * (1 + 0.1 * sizes / units), some)
-        k = np.flatnonzero(a)
-        use(a, int((left[k] // a[k]).min()))
-    while left.any():
-        a, room = np.zeros(len(sizes), np.int64), units
-        for k in np.flatnonzero(left)[::-1]:
-            a[k] = min(left[k], room // sizes[k])
-            room -= int(a[k] * sizes[k])
+        a = fullest(sack, sizes * (1 + 0.1 * sizes / units), left, there[::-1])
         k = np.flatnonzero(a)
         use(a, int((left[k] // a[k]).min()))
+    if shares is not None:
+        shares |= {"lp": by_lp, "knapsack": int(sizes @ demand) - by_lp, "value": sum(t for _, t in bought)}
     return out
 
 

@@ -30,6 +30,18 @@ def test_plan_places_every_item_within_capacity(histogram):
     assert (placed == demand).all()
 
 
+def test_plan_solves_the_program_over_many_lengths():
+    sizes = np.arange(1, 601)
+    demand, shares = np.full(600, 20), {}
+    bound, configs = float(sizes @ demand) / 2000, packing.plan(sizes, demand, 2000, shares)
+    covered = np.zeros(600)
+    for a, times in packing.cover(packing.Knapsack(sizes, 2000), demand):
+        covered += times * a / demand
+    assert covered == pytest.approx(np.ones(600))
+    assert shares["value"] < 1.005 * bound and shares["lp"] > 0.7 * sizes @ demand
+    assert sum(c.copies for c in configs) < 1.01 * bound
+
+
 def test_knapsack_is_optimal():
     rng = random.Random(0)
     for _ in range(30):
