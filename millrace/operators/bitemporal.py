@@ -50,12 +50,12 @@ def rectangles(versions: DataFrame, entity: str, load_day: str, attributes: Sequ
     return flat.select("entity", "v_from", "v_to", "r_from", "r_to", "known_day", *[F.col(f"a.{c}").alias(c) for c in attributes], *[F.col(f"newest.{c}").alias(f"newest_{c}") for c in attributes])
 
 
-def locate(points: DataFrame, entity: str, valid_day: str, known_day: str, rects: DataFrame, bounds: tuple[int, int], grid_days: int = GRID_DAYS) -> DataFrame:
+def locate(points: DataFrame, entity: str, valid_day: str, known_day: str, rects: DataFrame, bounds: tuple[int, int], grid_days: int = GRID_DAYS, keep_all: bool = False) -> DataFrame:
     """Joins each point (entity, valid_day, known_day) to the rectangle that holds it; columns of points come first.
 
     bounds: lowest and highest day of any point; rectangles are listed in the grid cells within. Where valid_day and
     known_day are one column, points lie on the diagonal and only its cells are listed. Points of entities without any
-    rectangle have no row, all others exactly one. A hot entity's points are split by adaptive skew handling of the join:
+    rectangle and points without a day have no row, or with keep_all one row with nulls; all others have exactly one. A hot entity's points are split by adaptive skew handling of the join:
     its rectangles are few (two per load), so copying them to the splits costs nothing.
     """
     lo, hi = bounds[0], bounds[1] + 1
@@ -78,4 +78,4 @@ def locate(points: DataFrame, entity: str, valid_day: str, known_day: str, rects
     if entity == "entity":
         p = p.drop("entity")
         helpers = [c for c in helpers if c != "entity"]
-    return p.join(cells, on & inside).drop(*helpers)
+    return p.join(cells, on & inside, "left" if keep_all else "inner").drop(*helpers)

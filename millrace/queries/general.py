@@ -152,16 +152,18 @@ def p6_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.wide(_typed_returns(spark, d), "user_id", "type", "millis", "refund_amt", sorted(r.k for r in found)).withColumnRenamed("entity", "user_id")
 
 
-def _known(spark: SparkSession, d: str, cases_only: bool) -> DataFrame:
+def _known(spark: SparkSession, d: str, cases_only: bool, keep_all: bool = False) -> DataFrame:
     """Returns of persons with what users held for them at event time: key, day, known_day, email_verified,
-    newest_email_verified. Rectangles that cannot be a case are left out beforehand if only cases are wanted."""
+    newest_email_verified. Rectangles that cannot be a case are left out beforehand if only cases are wanted;
+    keep_all also keeps returns without event time and those of persons without users row, with nulls."""
     u = read_table(spark, d, "users").where(F.col("user_id") >= HOUSE_ACCOUNTS_BELOW).select("user_id", C.day_number(F.col("ds")).alias("load_day"), "email_verified")
     rects = bitemporal.rectangles(u, "user_id", "load_day", ["email_verified"])
     if cases_only:
         rects = rects.where(~F.col("email_verified").eqNullSafe(F.col("newest_email_verified")))
     span = read_table(spark, d, "checkouts").select(C.epoch_day(C.event_millis("ts")).alias("day")).agg(F.min("day"), F.max("day")).head()
-    points = _newest_returns(spark, d, "user_id", "millis", persons=True).where("millis is not null").select("key", F.col("user_id").alias("who"), C.epoch_day(F.col("millis")).alias("day"))
-    return bitemporal.locate(points, "who", "day", "day", rects, (span[0] or 0, span[1] or 0))
+    newest = _newest_returns(spark, d, "user_id", "millis", persons=True)
+    points = (newest if keep_all else newest.where("millis is not null")).select("key", F.col("user_id").alias("who"), C.epoch_day(F.col("millis")).alias("day"))
+    return bitemporal.locate(points, "who", "day", "day", rects, (span[0] or 0, span[1] or 0), keep_all=keep_all)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -173,4 +175,10 @@ def p7_known(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d, cases_only=False).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_daily, p3_found, p3_rolling, p4_found, p4_profile, p4_stability, p5_found, p5_top, p6_found, p6_features, p7_found, p7_known)}
+def p7_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Every return of a person with the email_verified known at its event time, null where nothing was known: no users row
+    by then or at all, or no event time."""
+    return _known(spark, d, cases_only=False, keep_all=True).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_daily, p3_found, p3_rolling, p4_found, p4_profile, p4_stability, p5_found, p5_top, p6_found, p6_features, p7_found, p7_known, p7_returns)}

@@ -381,3 +381,10 @@ def test_diagonal_agrees_with_the_latest_complete_load(spark):
     assert Counter((r.who, r.day, r.known_day, r.flag, r.newest_flag) for r in got.collect()) == want
     assert bitemporal.locate(spark.createDataFrame([], "who long, day int"), "who", "day", "day", rects, (0, 0)).count() == 0
     assert bitemporal.rectangles(spark.createDataFrame([], "u long, load int, flag int"), "u", "load", ["flag"]).count() == 0
+
+
+def test_points_without_versions_or_day_stay_if_all_are_kept(spark):
+    rects = bitemporal.rectangles(spark.createDataFrame([(1, DAY0, 1)], "u long, load int, flag int"), "u", "load", ["flag"])
+    points = spark.createDataFrame([(1, DAY0 + 2), (1, DAY0 - 2), (1, None), (2, DAY0 + 2), (None, DAY0)], "who long, day int")
+    got = bitemporal.locate(points, "who", "day", "day", rects, (DAY0 - 2, DAY0 + 2), keep_all=True)
+    assert Counter((r.who, r.day, r.known_day, r.flag) for r in got.collect()) == Counter([(1, DAY0 + 2, DAY0, 1), (1, DAY0 - 2, None, None), (1, None, None, None), (2, DAY0 + 2, None, None), (None, DAY0, None, None)])
