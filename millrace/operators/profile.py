@@ -16,6 +16,8 @@ from millrace import runtime
 from millrace.functions.multiset import order_statistics
 
 LOAD_ROWS = 30
+#: Cells of a column's values beyond the most common: by range for numbers and dates, by hash for others.
+REST_CELLS = 64
 
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
@@ -72,16 +74,24 @@ def odd_loads(profiled: DataFrame, share_limit: float = 0.25, median_factor: flo
 def stability(counts: DataFrame, bins: int = 20, floor: float = 1e-5) -> DataFrame:
     """Population stability index and chi-square of each load's values against all loads together, per column.
 
-    Cells are the `bins` most common values over all loads, one cell for nulls and one for all other values. Empty
-    shares count as `floor`. One row (load, column_name, psi, chi_square, cells).
+    Cells are the `bins` most common values over all loads, one for nulls, and for all other values REST_CELLS ranges of
+    numbers and dates, cut at quantiles of their distinct values, and REST_CELLS hash cells of what is neither. Empty shares
+    count as `floor`. One row (load, column_name, psi, chi_square, cells).
     """
     from pyspark.sql import Window
 
     overall = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
     ranked = overall.where("value is not null").withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))).where(F.col("r") <= bins)
     tops = ranked.select(F.col("column_name").alias("c"), F.col("value").alias("v"), F.col("r"))
-    cell = F.when(F.col("value").isNull(), 0).otherwise(F.coalesce("r", F.lit(bins + 1)))
-    by_load = counts.join(F.broadcast(tops), (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("v")), "left").groupBy("load", "column_name", cell.alias("cell")).agg(F.sum("n").alias("n"))
+    number = F.expr("coalesce(cast(unix_date(try_to_date(value, 'yyyy-MM-dd')) as double), try_cast(value as double))")
+    steps = [k / REST_CELLS for k in range(1, REST_CELLS)]
+    cuts = overall.where("value is not null").groupBy(F.col("column_name").alias("cc")).agg(F.percentile_approx(number, steps, 10_000).alias("cuts"))
+    # The number is bound once: within the filter it would be parsed again for every cut.
+    ranged = bins + 1 + F.transform(F.array(number), lambda y: F.size(F.filter("cuts", lambda x: x < y)))[0]
+    hashed = bins + 1 + REST_CELLS + F.pmod(F.xxhash64("value"), F.lit(REST_CELLS)).cast("int")
+    cell = F.when(F.col("value").isNull(), 0).otherwise(F.coalesce("r", F.when(number.isNotNull(), ranged), hashed))
+    marked = counts.join(F.broadcast(tops), (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("v")), "left").join(F.broadcast(cuts), F.col("column_name") == F.col("cc"), "left")
+    by_load = marked.groupBy("load", "column_name", cell.alias("cell")).agg(F.sum("n").alias("n"))
     of_all = by_load.groupBy("column_name", "cell").agg(F.sum("n").alias("all_n"))
     loads = by_load.groupBy("load", "column_name").agg(F.sum("n").alias("load_n"))
     sizes = of_all.groupBy("column_name").agg(F.sum("all_n").alias("size"))

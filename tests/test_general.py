@@ -262,6 +262,14 @@ def test_stability_is_zero_for_equal_loads(spark):
     assert s["a"] == pytest.approx(s["b"]) and s["c"] > s["a"]
 
 
+def test_stability_sees_shifts_among_rare_values(spark):
+    day = "date_format(date_add(date'2024-01-01', cast(v as int)), 'yyyy-MM-dd')"
+    df = spark.range(4000).selectExpr("if(id % 4 = 0, 'odd', concat('l', id % 4)) AS load", "if(id % 4 = 0, id + 9000, id) AS v").selectExpr("load", "v", f"{day} AS s", "concat('t', if(load = 'odd', 0, v % 900)) AS t")
+    psi = {(r.column_name, r.load): r.psi for r in profile.stability(profile.value_counts(df, "load", ["v", "s", "t"])).collect()}
+    assert all(psi[c, "odd"] > 2 and psi[c, "odd"] > psi[c, "l1"] for c in ("v", "s"))
+    assert len(psi) == 12
+
+
 # --- 5
 
 
