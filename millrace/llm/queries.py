@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from millrace.llm import leakage, packing, textstats
 from millrace.runtime import read_table
 
+#: Kinds of containers that are planned in one run.
+MAX_KINDS = 100
+
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    kinds = read_table(spark, d, "containers").where("container_kind is not null and capacity_tokens is not null").limit(100).collect()
+    kinds = read_table(spark, d, "containers").where("container_kind is not null and capacity_tokens is not null").limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError("too many kinds of containers")
     sizes = packing.token_sizes(read_table(spark, d, "documents"), "doc_id", "text", packing.default_tokenizer())
     return packing.pack(sizes, {r.container_kind: r.capacity_tokens for r in kinds})
 

@@ -81,6 +81,12 @@ def test_pack_small_tables_with_nulls_repeats_and_giants(spark):
         packing.pack(df, {"none": 0})
 
 
+def test_too_many_kinds_of_containers_are_an_error(spark, tmp_path):
+    spark.range(101).selectExpr("cast(id as string) AS container_kind", "id + 1 AS capacity_tokens").write.parquet(f"{tmp_path}/containers.parquet")
+    with pytest.raises(ValueError):
+        queries.p8_packing(spark, str(tmp_path))
+
+
 def test_hot_lengths_are_ranked_in_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ITEMS", 20)
     items = [(k, 3) for k in range(500)] + [(k, 4) for k in range(500, 560)]
