@@ -14,11 +14,14 @@ plane, events look into the one cell that holds their point, and a comparison wi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID_DAYS = 16
+#: Most cells that are told apart as occupied, and points of one entity in one cell that stay together.
+MAX_CELLS, HOT_POINTS = 1000, 500_000
 #: Beyond any day: open ends of rectangles.
 FAR = 10_000_000
 
@@ -50,32 +53,52 @@ def rectangles(versions: DataFrame, entity: str, load_day: str, attributes: Sequ
     return flat.select("entity", "v_from", "v_to", "r_from", "r_to", "known_day", *[F.col(f"a.{c}").alias(c) for c in attributes], *[F.col(f"newest.{c}").alias(f"newest_{c}") for c in attributes])
 
 
-def locate(points: DataFrame, entity: str, valid_day: str, known_day: str, rects: DataFrame, bounds: tuple[int, int], grid_days: int = GRID_DAYS, keep_all: bool = False) -> DataFrame:
+def occupied(points: DataFrame, entity: str, valid_day: str, known_day: str, bounds: tuple[int, int], grid_days: int) -> tuple[list[tuple[int, int]] | None, dict]:
+    """The grid cells that hold points, or None if they are more than MAX_CELLS; and the entities with more than HOT_POINTS
+    points in a cell, with how many. One pass; points combine before they move."""
+    at = lambda c: F.floor(_within(F.col(c), bounds) / grid_days).cast("int")
+    per = points.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("e"), at(valid_day).alias("v"), at(known_day).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.collect_list(F.when(F.col("n") > HOT_POINTS, F.struct("e", "n")))  # at most rows / HOT_POINTS in all
+    rows = per.where("v is not null and r is not null").groupBy("v", "r").agg(hot.alias("hot")).limit(MAX_CELLS + 1).collect()
+    most: dict = {}
+    for r in rows:
+        for x in r.hot:
+            most[x.e] = max(most.get(x.e, 0), x.n)
+    return (None if len(rows) > MAX_CELLS else [(r.v, r.r) for r in rows]), most
+
+
+def _within(day: Column, bounds: tuple[int, int]) -> Column:
+    """Beyond the first and last day on which any rectangle ends, all days are alike: they count as the day next to them."""
+    return F.greatest(F.lit(bounds[0] - 1), F.least(F.lit(bounds[1] + 1), day))
+
+
+def locate(points: DataFrame, entity: str, valid_day: str, known_day: str, rects: DataFrame, bounds: tuple[int, int], spread: Sequence[str], grid_days: int = GRID_DAYS) -> DataFrame:
     """Joins each point (entity, valid_day, known_day) to the rectangle that holds it; columns of points come first.
 
-    bounds: lowest and highest day of any point; rectangles are listed in the grid cells within. Where valid_day and
-    known_day are one column, points lie on the diagonal and only its cells are listed. Points of entities without any
-    rectangle and points without a day have no row, or with keep_all one row with nulls; all others have exactly one. A hot entity's points are split by adaptive skew handling of the join:
-    its rectangles are few (two per load), so copying them to the splits costs nothing.
+    bounds: lowest and highest load day of any version. Rectangles are listed in the cells of a grid over both axes that hold
+    points (all cells if those are more than MAX_CELLS). Every point has one row; those without entity or day, and those of
+    entities without any rectangle, have nulls. The points of a hot entity are spread over groups by a hash of the columns
+    `spread`, its rectangles (a few per load) are copied to each group. A column of points that has the name of one of rects
+    comes out as `point_<name>`.
     """
-    lo, hi = bounds[0], bounds[1] + 1
-    cell = lambda c: F.floor(F.col(c) / grid_days).cast("int")
-    span = lambda a, b: F.sequence(F.floor(a / grid_days).cast("int"), F.floor((b - 1) / grid_days).cast("int"))
-    clip = lambda a, b: (F.greatest(F.col(a), F.lit(lo)), F.least(F.col(b), F.lit(hi)))
-    (va, vb), (ra, rb) = clip("v_from", "v_to"), clip("r_from", "r_to")
-    p = points.withColumns({"_cv": cell(valid_day), "_e": F.col(entity)})
-    if valid_day == known_day:
-        a, b = F.greatest(va, ra), F.least(vb, rb)
-        cells = rects.where(a < b).withColumn("_rcv", F.explode(span(a, b)))
-        on = (F.col("_e") == F.col("entity")) & (F.col("_cv") == F.col("_rcv"))
-        helpers = ["_cv", "_e", "_rcv", "entity"]
+    cells, hot = occupied(points, entity, valid_day, known_day, bounds, grid_days)
+    at = lambda c: F.floor(_within(c, bounds) / grid_days).cast("int")
+    span = lambda a, b: (at(F.col(a)), at(F.col(b) - 1))
+    (va, vb), (ra, rb) = span("v_from", "v_to"), span("r_from", "r_to")
+    if cells is None:
+        listed = F.flatten(F.transform(F.sequence(va, vb), lambda v: F.transform(F.sequence(ra, rb), lambda r: F.struct(v.alias("v"), r.alias("r")))))
     else:
-        p = p.withColumn("_cr", cell(known_day))
-        cells = rects.where((va < vb) & (ra < rb)).withColumn("_rcv", F.explode(span(va, vb))).withColumn("_rcr", F.explode(span(ra, rb)))
-        on = (F.col("_e") == F.col("entity")) & (F.col("_cv") == F.col("_rcv")) & (F.col("_cr") == F.col("_rcr"))
-        helpers = ["_cv", "_cr", "_e", "_rcv", "_rcr", "entity"]
+        known = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(r).alias("r")) for v, r in cells]).cast("array<struct<v:int,r:int>>")
+        listed = F.filter(known, lambda c: (c["v"] >= va) & (c["v"] <= vb) & (c["r"] >= ra) & (c["r"] <= rb))
+    parts = lambda c: reduce(lambda w, e: w.when(c == F.lit(e), -(-hot[e] // HOT_POINTS)), hot, F.when(F.lit(False), 1)).otherwise(1)
+    copies = F.explode(F.sequence(F.lit(0), parts(F.col("entity")) - 1)) if hot else F.lit(0)
+    index = rects.withColumn("_cell", F.explode(listed)).withColumn("_salt", copies)
+    carried = [c for c in rects.columns if c != "entity"]
+    index = index.select(F.col("entity").alias("_entity"), F.col("_cell.v").alias("_rv"), F.col("_cell.r").alias("_rr"), F.col("_salt").alias("_rs"), *carried)
+    clash = {c: f"point_{c}" for c in points.columns if c in carried}
+    entity, valid_day, known_day = (clash.get(c, c) for c in (entity, valid_day, known_day))
+    salt = F.pmod(F.xxhash64(*[clash.get(c, c) for c in spread]), parts(F.col(entity))).cast("int") if hot else F.lit(0)
+    p = points.withColumnsRenamed(clash).withColumns({"_v": at(F.col(valid_day)), "_r": at(F.col(known_day)), "_s": salt})
+    on = (F.col(entity) == F.col("_entity")) & (F.col("_v") == F.col("_rv")) & (F.col("_r") == F.col("_rr")) & (F.col("_s") == F.col("_rs"))
     inside = (F.col(valid_day) >= F.col("v_from")) & (F.col(valid_day) < F.col("v_to")) & (F.col(known_day) >= F.col("r_from")) & (F.col(known_day) < F.col("r_to"))
-    if entity == "entity":
-        p = p.drop("entity")
-        helpers = [c for c in helpers if c != "entity"]
-    return p.join(cells, on & inside, "left" if keep_all else "inner").drop(*helpers)
+    return p.join(index, on & inside, "left").drop("_v", "_r", "_s", "_entity", "_rv", "_rr", "_rs")

@@ -41,24 +41,37 @@ def adjustments(versions: DataFrame, key: Sequence[str], load: str, period: str,
         x["load_day"].alias("load_day"), p.alias("period"), val.alias("value"), F.lit(n).cast("long").alias("n"), verdict(x, p).alias("verdict"), first.alias("first")
     )
 
-    # A version beyond the cut-off changes nothing, so the value to take out is the one of the last version within it.
-    def within(x):
-        return x["load_day"] - x["period"] <= cutoff_days
+    # A version beyond the cut-off changes nothing, so the value to take out is the one of the last version within it: it is
+    # carried along the history in order, one step per version.
+    kind = "array<struct<load_day:int,period:int,value:bigint,n:bigint,verdict:string,first:boolean>>"
 
-    def step(x, i):
-        earlier = F.filter(F.slice("h", F.lit(1), i), within)
-        old = F.try_element_at(earlier, F.lit(-1))
+    def step(state, x):
+        old = state["live"]
+        counts = x["load_day"] - x["period"] <= cutoff_days
         same = old.isNotNull() & old["period"].eqNullSafe(x["period"]) & old["value"].eqNullSafe(x["value"])
-        put = row(x, x["period"], x["value"], 1, i == 0)
+        put = row(x, x["period"], x["value"], 1, F.size(state["out"]) == 0)
         take = row(x, old["period"], old["value"], -1, F.lit(False))
-        return F.when(same, F.array().cast("array<struct<load_day:int,period:int,value:bigint,n:bigint,verdict:string,first:boolean>>")).when(old.isNotNull() & within(x), F.array(put, take)).otherwise(F.array(put))
+        added = F.when(same, F.array().cast(kind)).when(old.isNotNull() & counts, F.array(put, take)).otherwise(F.array(put))
+        return F.struct(F.when(counts, x).otherwise(old).alias("live"), F.concat(state["out"], added).alias("out"))
 
-    return history.select(*key, F.inline(F.flatten(F.transform("h", step))))
+    nothing = F.struct(F.lit(None).cast("struct<load_day:int,period:int,value:bigint>").alias("live"), F.array().cast(kind).alias("out"))
+    return history.select(*key, F.inline(F.aggregate("h", nothing, step, lambda state: state["out"])))
 
 
 def multiset(adjusted: DataFrame) -> DataFrame:
-    """The state: net count changes by (period, value, load_day), without what came too late."""
-    return adjusted.where("verdict <> 'too_late'").groupBy("period", "value", "load_day").agg(F.sum("n").alias("n")).where("n <> 0")
+    """The state: net count changes n by (period, value, load_day, verdict), and how many of them are first arrivals. Cells
+    with the verdict `too_late` are kept to be reported; no aggregate counts them."""
+    cells = adjusted.groupBy("period", "value", "load_day", "verdict").agg(F.sum("n").alias("n"), F.sum(F.col("first").cast("long")).alias("arrivals"))
+    return cells.where("n <> 0 or arrivals > 0")
+
+
+def late_arrivals(adjusted: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, period, load_day, value, verdict) of the records behind the state's cells of late first arrivals: those that
+    correct a period, and those that came too late to. The cells are few (periods x values x loads), the records of a hot
+    cell stay where they are if the cells can be broadcast; else adaptive skew handling splits the cell."""
+    cells = state.where("verdict <> 'on_time' and arrivals > 0").select(F.col("period").alias("_p"), F.col("value").alias("_v"), F.col("load_day").alias("_l"), F.col("verdict").alias("_w"))
+    cell = (F.col("period") == F.col("_p")) & F.col("value").eqNullSafe(F.col("_v")) & (F.col("load_day") == F.col("_l")) & (F.col("verdict") == F.col("_w"))
+    return adjusted.where("first and verdict <> 'on_time'").join(runtime.broadcast_if_small(cells), cell, "left_semi").select(*key, "period", "load_day", "value", "verdict")
 
 
 def corrected_aggregates(state: DataFrame) -> DataFrame:
@@ -67,8 +80,9 @@ def corrected_aggregates(state: DataFrame) -> DataFrame:
     Null values count in `records` only. A period has at most as many versions as loads touch it, so the state grows by
     that factor at most.
     """
+    state = state.where("verdict <> 'too_late' and n <> 0").groupBy("period", "value", "load_day").agg(F.sum("n").alias("n")).where("n <> 0")
     loads = state.select("period", F.col("load_day").alias("as_of")).distinct()
-    seen = state.join(loads, "period").where("load_day <= as_of").groupBy("period", "as_of", "value").agg(F.sum("n").alias("n")).where("n > 0")
+    seen = state.join(runtime.broadcast_if_small(loads), "period").where("load_day <= as_of").groupBy("period", "as_of", "value").agg(F.sum("n").alias("n")).where("n > 0")
     seen = runtime.persist_table(seen, "multiset-versions")
     counts = seen.groupBy("period", "as_of").agg(F.sum("n").alias("records"))
     stats = order_statistics(seen, ["period", "as_of"])
@@ -86,7 +100,8 @@ class PeriodStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def apply(self, adjusted: DataFrame, load_day: int) -> None:
-        delta = multiset(adjusted.where(F.col("load_day") == load_day)).select("period", "value", "n")
+        delta = multiset(adjusted.where(F.col("load_day") == load_day)).where("verdict <> 'too_late'")
+        delta = delta.groupBy("period", "value").agg(F.sum("n").alias("n")).where("n <> 0")
         delta.write.mode("overwrite").parquet(f"{self.root}/load_day={load_day}")
 
     def state(self) -> DataFrame:

@@ -8,12 +8,14 @@ window - 1 days after it; only those are recomputed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import runtime
+from millrace.sources.versions import VersionedFolder
 
 WINDOWS = (7, 30)
 
@@ -24,23 +26,25 @@ def daily_amounts(events: DataFrame, entity: str, day: str, amount: str) -> Data
     return e.groupBy(F.col(entity).alias("entity"), F.col(day).alias("day")).agg(F.sum(F.coalesce(amount, F.lit(0)).cast("long")).alias("amount"), F.count(F.lit(1)).alias("n"))
 
 
-def rolling_state(daily: DataFrame, last_day: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """State rows (entity, window_days, day, until, total, n) at the days on which a total changes, up to last_day.
+def advance(yesterday: DataFrame | None, daily: DataFrame, first: int, last: int, windows: Sequence[int] = WINDOWS, since: int | None = None) -> DataFrame:
+    """State rows (entity, window_days, day, until, total, n) of the days first to last, at the days on which a total changes.
 
-    Today's arrivals and the expiring amounts meet by (entity, window, day); each state is the one before plus their
-    difference. `until` is the last day for which the row holds. An entity has at most as many rows as there are days,
-    whatever the number of its events.
+    yesterday: totals (entity, window_days, total, n) at the end of the day before first, None for nothing. To them come, day
+    by day, that day's arrivals less what expires on it: the three meet by (entity, window, day), and each state is the one
+    before plus their difference. `until` is the last day for which a row holds, so a span of one day is the plain step from
+    yesterday to today. Entities stay in the state once they are in it. Arrivals before `since` never counted, so they do
+    not expire. An entity has at most as many rows as there are days, whatever the number of its events.
     """
-    d = daily.where(F.col("day") <= last_day)
-    moves = d.select(
-        "entity",
-        F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), day, (F.col("amount") * sign).alias("amount"), (F.col("n") * sign).alias("n")) for w in windows for day, sign in ((F.col("day").alias("day"), 1), ((F.col("day") + w).alias("day"), -1))])).alias("m"),
-    ).select("entity", "m.*")
-    met = moves.where(F.col("day") <= last_day).groupBy("entity", "window_days", "day").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
+    counted = daily if since is None else daily.where(F.col("day") >= since)
+    sides = F.array(*[F.struct(F.lit(w).alias("window_days"), (F.col("day") + shift).alias("day"), (F.col("amount") * sign).alias("amount"), (F.col("n") * sign).alias("n")) for w in windows for shift, sign in ((0, 1), (w, -1))])
+    moves = counted.where((F.col("day") <= last) & (F.col("day") >= first - max(windows))).select("entity", F.explode(sides).alias("m")).select("entity", "m.*").where((F.col("day") >= first) & (F.col("day") <= last))
+    if yesterday is not None:
+        moves = moves.unionByName(yesterday.select("entity", "window_days", F.lit(first).alias("day"), F.col("total").alias("amount"), "n"))
+    met = moves.groupBy("entity", "window_days", "day").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
     w = Window.partitionBy("entity", "window_days").orderBy("day")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return met.select(
-        "entity", "window_days", "day", (F.coalesce(F.lead("day").over(w), F.lit(last_day + 1)) - 1).alias("until"),
+        "entity", "window_days", "day", (F.coalesce(F.lead("day").over(w), F.lit(last + 1)) - 1).alias("until"),
         F.sum("amount").over(run).alias("total"), F.sum("n").over(run).alias("n"),
     )
 
@@ -57,45 +61,57 @@ def first_peak(state: DataFrame) -> DataFrame:
     return state.groupBy("entity", "window_days").agg(F.max(F.struct("total", (-F.col("day")).alias("d"))).alias("m")).select("entity", "window_days", (-F.col("m.d")).alias("day"))
 
 
-def advance(yesterday: DataFrame, arrivals: DataFrame, expiring: DataFrame) -> DataFrame:
-    """One step for one window: totals (entity, total, n) of today from yesterday's, today's arrivals and the amounts
-    that expire today, both (entity, amount, n). Entities stay in the state once they are in it."""
-    moved = arrivals.select("entity", F.col("amount").alias("total"), "n").unionByName(expiring.select("entity", (-F.col("amount")).alias("total"), (-F.col("n")).alias("n")))
-    return yesterday.select("entity", "total", "n").unionByName(moved).groupBy("entity").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-
-
 class RollingStore:
-    """Versioned daily state on disk: `v<N>/day=<d>/` holds (entity, window_days, total, n) of all entities seen.
+    """Versioned state on disk, carried on span by span (a day, or as many as have come in).
 
-    extend() adds the next day by `advance`; correct() takes changed daily amounts and rewrites only the days they touch
-    into a new version, which lists for each day the version that holds it.
+    `<root>/v<N>/span=<first>-<last>/` holds the state rows of a span that version N wrote, `v<N>/manifest` the spans of
+    version N with the versions that hold them. A version comes into force by one rename. extend() adds the days after the
+    last span from the totals at its end; correct() takes changed daily amounts and writes the spans they touch anew.
     """
 
     def __init__(self, spark: SparkSession, root: str, windows: Sequence[int] = WINDOWS):
         self.spark, self.root, self.windows = spark, root.rstrip("/"), tuple(windows)
-        self.where: dict[int, str] = {}
-        self.version = 0
-
-    def day(self, d: int) -> DataFrame | None:
-        return self.spark.read.parquet(self.where[d]) if d in self.where else None
-
-    def extend(self, daily: DataFrame, d: int) -> None:
-        old = self.day(d - 1)
-        parts = []
-        for w in self.windows:
-            arrivals, expiring = daily.where(F.col("day") == d), daily.where(F.col("day") == d - w)
-            known = old.where(F.col("window_days") == w) if old is not None else arrivals.limit(0).select("entity", F.col("amount").alias("total"), "n")
-            parts.append(advance(known, arrivals, expiring).withColumn("window_days", F.lit(w)))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        path = f"{self.root}/v{self.version}/day={d}"
-        runtime.persist_table(rows, "rolling", path)
-        self.where[d] = path
+        self._folder = VersionedFolder(spark, root)
+
+    def spans(self) -> list[tuple[int, int, int]]:
+        """(first day, last day, version that holds it) in order, of the version in force."""
+        n = self._folder.version()
+        return [tuple(x) for x in json.loads(self._folder.read(f"v{n}/manifest"))] if n else []
+
+    def _path(self, span: tuple[int, int, int]) -> str:
+        first, last, version = span
+        return f"{self.root}/v{version}/span={first}-{last}"
+
+    def state(self, first: int | None = None, last: int | None = None) -> DataFrame | None:
+        """Rows of the spans that hold days from first to last; None before anything is published."""
+        paths = [self._path(s) for s in self.spans() if (last is None or s[0] <= last) and (first is None or s[1] >= first)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _span(self, daily: DataFrame, first: int, last: int, before: list[tuple[int, int, int]], version: int) -> tuple[int, int, int]:
+        yesterday = self.spark.read.parquet(self._path(before[-1])).where(F.col("until") == first - 1) if before else None
+        rows = advance(yesterday, daily, first, last, self.windows, before[0][0] if before else first)
+        span = (first, last, version)
+        runtime.persist_table(rows, "rolling", self._path(span))
+        return span
+
+    def _publish(self, spans: list[tuple[int, int, int]], version: int) -> None:
+        self._folder.write(f"v{version}/manifest", json.dumps(spans))
+        self._folder.publish(version)
+
+    def extend(self, daily: DataFrame, last: int, first: int | None = None) -> None:
+        """Adds the days up to last: those after the last span, or in an empty store from first on, which is by default the
+        first day of daily. Nothing to add changes nothing."""
+        spans = self.spans()
+        start = spans[-1][1] + 1 if spans else first if first is not None else daily.agg(F.min("day")).first()[0]
+        if start is None or start > last:
+            return
+        version = self._folder.version() + 1
+        self._publish([*spans, self._span(daily, start, last, spans, version)], version)
 
     def correct(self, daily: DataFrame, changed_days: Sequence[int]) -> None:
-        """Recomputes the days that the changed ones touch, from the corrected daily amounts."""
-        self.version += 1
-        touched = sorted({d + k for d in changed_days for k in range(max(self.windows)) if d + k in self.where})
-        for d in touched:
-            self.extend(daily, d)
+        """Writes anew the spans that changed daily amounts touch: from the changed day to the last on which it counts."""
+        version, out = self._folder.version() + 1, []
+        for first, last, held in self.spans():
+            touched = any(d <= last and d + max(self.windows) >= first for d in changed_days)
+            out.append(self._span(daily, first, last, out, version) if touched else (first, last, held))
+        self._publish(out, version)

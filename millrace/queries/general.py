@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import bitemporal, entity_features, heavy_hitters, incremental, late_events, profile, rolling
-from millrace.runtime import persist_table, read_table
+from millrace.runtime import broadcast_if_small, own_path, persist_table, read_table
 
 HOUSE_ACCOUNTS_BELOW = 10
 LAST_DAY = 19_813  # 2024-03-31
@@ -30,32 +30,37 @@ def _newest_returns(spark: SparkSession, d: str, *content: str, persons: bool =
 
 
 def _record_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of the records of both tables: table_name, record_key, ds, content (digest)."""
-    r = _returns(spark, d)
-    u = read_table(spark, d, "users")
-    returns = r.select(F.lit("checkouts").alias("table_name"), F.col("key").alias("record_key"), "ds", C.fingerprint([F.col(c) for c in RETURN_CONTENT]).alias("content"))
-    users = u.where("user_id is not null").select(F.lit("users").alias("table_name"), F.col("user_id").cast("string").alias("record_key"), "ds", C.fingerprint([F.col("account_created_ds"), F.col("email_verified")]).alias("content"))
-    return returns.unionByName(users)
+    """Versions of the records of both tables: table_name, record_key (as bytes), load (day as a number), content (digest),
+    done. The digits of a return are packed two to a byte behind a mark of their parity, as all versions are shuffled."""
+    done = broadcast_if_small(persist_table(_done_loads(spark, d), "done-loads"))
+    digits = F.col("key")
+    packed = F.unhex(F.when(F.length(digits) % 2 == 0, F.concat(F.lit("00"), digits)).otherwise(F.concat(F.lit("1"), digits)))
+    returns = _returns(spark, d).select(F.lit("checkouts").alias("table_name"), packed.alias("record_key"), "ds", C.fingerprint([F.col(c) for c in RETURN_CONTENT]).alias("content"))
+    u = read_table(spark, d, "users").where("user_id is not null")
+    users = u.select(F.lit("users").alias("table_name"), F.col("user_id").cast("string").cast("binary").alias("record_key"), "ds", C.fingerprint([F.col("account_created_ds"), F.col("email_verified")]).alias("content"))
+    return returns.unionByName(users).join(done.withColumn("done", F.lit(True)), ["table_name", "ds"], "left").select("table_name", "record_key", C.day_number(F.col("ds")).alias("load"), "content", F.coalesce("done", F.lit(False)).alias("done"))
 
 
-def _marked_versions(spark: SparkSession, d: str) -> DataFrame:
-    from millrace.runtime import broadcast_if_small
+def _done_loads(spark: SparkSession, d: str) -> DataFrame:
+    loads = [read_table(spark, d, t).select(F.lit(t).alias("table_name"), "ds").distinct() for t in ("checkouts", "users")]
+    return incremental.processed_loads(loads[0].unionByName(loads[1]), "ds", read_table(spark, d, "run_log"))
 
-    v = _record_versions(spark, d)
-    loads = v.select("table_name", "ds").distinct()
-    done = incremental.processed_loads(loads, "ds", read_table(spark, d, "run_log")).withColumn("done", F.lit(True))
-    return v.join(broadcast_if_small(done), ["table_name", "ds"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, record_key as text, change) of the next run."""
+    found = incremental.pending_changes(_record_versions(spark, d), ["table_name", "record_key"], "load", ["content"], "done")
+    digits = F.lower(F.hex("record_key"))
+    text = F.when(F.col("table_name") == "users", F.col("record_key").cast("string")).otherwise(F.when(digits.startswith("0"), F.substring(digits, 3, 1 << 30)).otherwise(F.substring(digits, 2, 1 << 30)))
+    return found.select("table_name", text.alias("record_key"), "change")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = incremental.pending_changes(_marked_versions(spark, d), ["table_name", "record_key"], "ds", ["content"], "done")
-    return found.where("change <> 'removed'").select("table_name", "record_key")
+    return _changed(spark, d).where("change <> 'removed'").select("table_name", "record_key")
 
 
 def p1_changes(spark: SparkSession, d: str) -> DataFrame:
     """How many records of each table are new or changed."""
-    found = incremental.pending_changes(_marked_versions(spark, d), ["table_name", "record_key"], "ds", ["content"], "done")
-    return found.groupBy("table_name", "change").agg(F.count(F.lit(1)).alias("records"))
+    return _changed(spark, d).groupBy("table_name", "change").agg(F.count(F.lit(1)).alias("records"))
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -64,13 +69,15 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    late = _arrivals(spark, d).where("first and verdict <> 'on_time'")
+    adjusted = persist_table(_arrivals(spark, d), "adjustments")
+    state = persist_table(late_events.multiset(adjusted), "multiset")
+    late = late_events.late_arrivals(adjusted, state, ["key"])
     return late.select(F.col("key").alias("return_id"), C.day_string(F.col("period")).alias("event_ds"), "verdict")
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     """Refund figures of each event day after each load that changed it."""
-    a = late_events.corrected_aggregates(late_events.multiset(_arrivals(spark, d)))
+    a = late_events.corrected_aggregates(persist_table(late_events.multiset(_arrivals(spark, d)), "multiset"))
     return a.select(
         C.day_string(F.col("period")).alias("event_ds"), C.day_string(F.col("as_of")).alias("as_of_ds"), "records", F.col("total").alias("refund_total"), F.col("median").alias("refund_median"),
         F.col("distincts").alias("refund_distincts"), F.col("lowest").alias("refund_lowest"), F.col("highest").alias("refund_highest"),
@@ -78,8 +85,14 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    """State of all days from a store: the days up to the last month as one span, then that month carried on from it."""
     r = _newest_returns(spark, d, "user_id", "refund_amt", "millis", persons=True).withColumn("day", C.epoch_day(F.col("millis")))
-    return rolling.rolling_state(rolling.daily_amounts(r, "user_id", "day", "refund_amt"), LAST_DAY)
+    daily = persist_table(rolling.daily_amounts(r, "user_id", "day", "refund_amt"), "daily")
+    store = rolling.RollingStore(spark, own_path(spark, "rolling"))
+    for last in (LAST_DAY - 31, LAST_DAY):
+        store.extend(daily, last)
+    found = store.state()
+    return rolling.advance(None, daily, LAST_DAY, LAST_DAY).limit(0) if found is None else found
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,27 +105,29 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     return days.select(F.col("entity").alias("user_id"), "window_days", C.day_string(F.col("day")).alias("ds"), F.col("total").alias("refund_total"), F.col("n").alias("returns"), F.round("average", 6).alias("refund_average"))
 
 
-def _profiles(spark: SparkSession, d: str, found_only: bool) -> DataFrame:
-    """Profiles of checkouts and users per load: of all columns, or of the three that p4_found names."""
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of all columns of checkouts and users per load."""
     checks = {"refund_amt": F.expr("try_cast(value as bigint) not between 0 and 10000"), "email_verified": ~F.col("value").isin("0", "1"), "account_created_ds": ~C.valid_date(F.col("value"))}
     parts = []
     for table, numeric in (("checkouts", ["refund_amt"]), ("users", [])):
         t = read_table(spark, d, table)
-        cols = [c for c in t.columns if c != "ds" and (not found_only or c in checks)]
+        cols = [c for c in t.columns if c != "ds"]
         counts = profile.value_counts(t, "ds", cols)
         parts.append(profile.profile(counts, {c: x for c, x in checks.items() if c in cols}, numeric).withColumn("table_name", F.lit(table)))
     return parts[0].unionByName(parts[1])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    odd = profile.odd_loads(_profiles(spark, d, found_only=True))
-    table = F.when(F.col("column_name") == "refund_amt", "checkouts").otherwise("users")
-    return odd.select(table.alias("table_name"), "column_name", F.col("load").alias("ds")).distinct()
+    profiled = persist_table(_profiles(spark, d), "profiles")
+    odd = profile.odd_loads(profiled.withColumn("column_name", F.concat_ws(".", "table_name", "column_name")))
+    named = odd.select(F.split_part("column_name", F.lit("."), F.lit(1)).alias("table_name"), F.split_part("column_name", F.lit("."), F.lit(2)).alias("column_name"), F.col("load").alias("ds"))
+    asked = (F.col("table_name") == "checkouts") & (F.col("column_name") == "refund_amt") | (F.col("table_name") == "users") & F.col("column_name").isin("account_created_ds", "email_verified")
+    return named.where(asked).distinct()
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     """Exact profile of every column of both tables per load."""
-    return _profiles(spark, d, found_only=False).select("table_name", "column_name", F.col("load").alias("ds"), "rows", "nulls", "distincts", "lowest", "highest", "invalid", "top", "median")
+    return _profiles(spark, d).select("table_name", "column_name", F.col("load").alias("ds"), "rows", "nulls", "distincts", "lowest", "highest", "invalid", "top", "median")
 
 
 def p4_stability(spark: SparkSession, d: str) -> DataFrame:
@@ -153,33 +168,32 @@ def p6_features(spark: SparkSession, d: str) -> DataFrame:
     return entity_features.wide(_typed_returns(spark, d), "user_id", "type", "millis", "refund_amt", sorted(r.k for r in found)).withColumnRenamed("entity", "user_id")
 
 
-def _known(spark: SparkSession, d: str, cases_only: bool, keep_all: bool = False) -> DataFrame:
-    """Returns of persons with what users held for them at event time: key, day, known_day, email_verified,
-    newest_email_verified. Rectangles that cannot be a case are left out beforehand if only cases are wanted;
-    keep_all also keeps returns without event time and those of persons without users row, with nulls."""
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Returns of persons with what users held for them at event time: key, day, seen_day, known_day, email_verified,
+    newest_email_verified; null where nothing was known, for returns without event time and for persons without users row.
+    What is asked for is what held on the event day (day) as known on that day (seen_day)."""
     u = read_table(spark, d, "users").where(F.col("user_id") >= HOUSE_ACCOUNTS_BELOW).select("user_id", C.day_number(F.col("ds")).alias("load_day"), "email_verified")
     rects = bitemporal.rectangles(u, "user_id", "load_day", ["email_verified"])
-    if cases_only:
-        rects = rects.where(~F.col("email_verified").eqNullSafe(F.col("newest_email_verified")))
-    span = read_table(spark, d, "checkouts").select(C.epoch_day(C.event_millis("ts")).alias("day")).agg(F.min("day"), F.max("day")).head()
-    newest = _newest_returns(spark, d, "user_id", "millis", persons=True)
-    points = (newest if keep_all else newest.where("millis is not null")).select("key", F.col("user_id").alias("who"), C.epoch_day(F.col("millis")).alias("day"))
-    return bitemporal.locate(points, "who", "day", "day", rects, (span[0] or 0, span[1] or 0), keep_all=keep_all)
+    loads = u.agg(F.min("load_day"), F.max("load_day")).first()
+    newest = _newest_returns(spark, d, "user_id", "millis", persons=True).withColumn("day", C.epoch_day(F.col("millis")))
+    points = persist_table(newest.select("key", F.col("user_id").alias("who"), "day", F.col("day").alias("seen_day")), "points")
+    return bitemporal.locate(points, "who", "day", "seen_day", rects, (loads[0] or 0, loads[1] or 0), ["key"])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _known(spark, d, cases_only=True).select(F.col("key").alias("return_id"), F.coalesce(C.day_string(F.col("known_day")), F.lit("none")).alias("known_ds"))
+    cases = _known(spark, d).where(F.col("day").isNotNull() & ~F.col("email_verified").eqNullSafe(F.col("newest_email_verified")))
+    return cases.select(F.col("key").alias("return_id"), F.coalesce(C.day_string(F.col("known_day")), F.lit("none")).alias("known_ds"))
 
 
 def p7_known(spark: SparkSession, d: str) -> DataFrame:
-    """Every return of a person who has a users row, with the email_verified known at its event time."""
-    return _known(spark, d, cases_only=False).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
+    """Every return of a person that has an event time, with the email_verified known then."""
+    return _known(spark, d).where("day is not null").select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
 
 
 def p7_returns(spark: SparkSession, d: str) -> DataFrame:
     """Every return of a person with the email_verified known at its event time, null where nothing was known: no users row
     by then or at all, or no event time."""
-    return _known(spark, d, cases_only=False, keep_all=True).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
+    return _known(spark, d).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_daily, p3_found, p3_rolling, p4_found, p4_profile, p4_stability, p5_found, p5_top, p6_found, p6_features, p7_found, p7_known, p7_returns)}

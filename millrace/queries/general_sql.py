@@ -102,9 +102,9 @@ P7 = f"""
 WITH {RETURNS},
 v AS (SELECT DISTINCT user_id, ds, date_diff('day', DATE '1970-01-01', CAST(ds AS DATE)) AS load_day, email_verified FROM users),
 last AS (SELECT user_id, arg_max(struct_pack(e := email_verified), load_day).e AS newest FROM v GROUP BY 1),
-r AS (SELECT n.key, n.user_id, n.day, l.newest FROM newest n JOIN last l ON l.user_id = n.user_id WHERE n.user_id >= 10 AND n.day IS NOT NULL),
+r AS (SELECT n.key, n.user_id, n.day, l.newest FROM newest n LEFT JOIN last l ON l.user_id = n.user_id WHERE n.user_id >= 10),
 best AS (
-  SELECT r.key, any_value(r.newest) AS newest, max(v.load_day) AS load_day, arg_max(struct_pack(e := v.email_verified), v.load_day).e AS known
+  SELECT r.key, any_value(r.day) AS day, any_value(r.newest) AS newest, max(v.load_day) AS load_day, arg_max(struct_pack(e := v.email_verified), v.load_day).e AS known
   FROM r LEFT JOIN v ON v.user_id = r.user_id AND v.load_day < r.day GROUP BY r.key)
 """
 
@@ -132,6 +132,7 @@ SQL = {
           UNION ALL SELECT user_id, 'recency', type, row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, type) FROM r
           UNION ALL SELECT user_id, 'total', type, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, type) FROM r)
         SELECT user_id, feature, type AS return_type FROM ranked WHERE rn = 1""",
-    "p7_found": f"""{P7} SELECT key AS return_id, coalesce({DAY.format("load_day")}, 'none') AS known_ds FROM best WHERE known IS DISTINCT FROM newest""",
-    "p7_known": f"""{P7} SELECT key AS return_id, {DAY.format("load_day")} AS known_ds, known AS email_verified FROM best""",
+    "p7_found": f"""{P7} SELECT key AS return_id, coalesce({DAY.format("load_day")}, 'none') AS known_ds FROM best WHERE day IS NOT NULL AND known IS DISTINCT FROM newest""",
+    "p7_known": f"""{P7} SELECT key AS return_id, {DAY.format("load_day")} AS known_ds, known AS email_verified FROM best WHERE day IS NOT NULL""",
+    "p7_returns": f"""{P7} SELECT key AS return_id, {DAY.format("load_day")} AS known_ds, known AS email_verified FROM best""",
 }

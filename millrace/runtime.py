@@ -57,12 +57,17 @@ def drop_tables(spark: SparkSession | None = None) -> None:
 atexit.register(drop_tables)
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that drop_tables deletes."""
+    path = fresh_path(spark, name)
+    _written.append((spark, path))
+    return path
+
+
 def persist_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    if path is None:
-        path = fresh_path(spark, name)
-        _written.append((spark, path))
+    path = path or own_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

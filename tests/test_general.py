@@ -60,7 +60,7 @@ def test_order_statistics_against_plain_medians(spark):
 
 
 def versions(spark, data):
-    return spark.createDataFrame(data, "k string, ds string, a long, b string, done boolean, _leaf int, node string, digest string, saved int")
+    return spark.createDataFrame(data, "k string, ds int, a long, b string, done boolean, _place int, node string, _digest string, saved int")
 
 
 def brute_changes(data):
@@ -79,11 +79,11 @@ def brute_changes(data):
 
 def test_pending_changes_match_brute_force_with_clashing_columns(spark):
     rng = random.Random(1)
-    done = {f"d{i}": rng.random() < 0.6 for i in range(8)}
+    done = {i: rng.random() < 0.6 for i in range(8)}
     content = {}
     data = []
     for _ in range(1500):
-        k, ds = rng.choice([None, "hot", *map(str, range(300))]), f"d{rng.randrange(8)}"
+        k, ds = rng.choice([None, "hot", *map(str, range(300))]), rng.randrange(8)
         a, b = content.setdefault((k, ds), (rng.choice([None, 1, 2]), rng.choice([None, "x"])))
         data += [(k, ds, a, b, done[ds], 1, "n", "d", 2)] * (400 if k == "hot" and rng.random() < 0.2 else 1)
     found = incremental.pending_changes(versions(spark, data), ["k"], "ds", ["a", "b"], "done")
@@ -94,20 +94,41 @@ def test_pending_changes_of_nothing(spark):
     assert incremental.pending_changes(versions(spark, []), ["k"], "ds", ["a", "b"], "done").count() == 0
 
 
-def test_trees_find_new_changed_and_removed(spark):
-    a = spark.createDataFrame([(str(i), i) for i in range(500)], "k string, digest long")
-    b = spark.createDataFrame([(str(i), -1 if i == 7 else i) for i in range(1, 502)], "k string, digest long")
-    for bits in (1, 5, 9):
-        assert rows(incremental.changes(a, b, ["k"], "digest", bits)) == Counter([("0", "removed"), ("7", "changed"), ("500", "new"), ("501", "new")])
-    assert incremental.changes(a, a, ["k"], "digest").count() == 0
-    assert incremental.changes(a.limit(0), a, ["k"], "digest").where("change = 'new'").count() == 500
-
-
-def test_equal_trees_descend_nowhere(spark):
-    a = spark.createDataFrame([(str(i), i) for i in range(300)], "k string, digest long")
-    t = incremental.tree(a, ["k"], "digest", 5)
-    assert incremental.differing_leaves(t, t, 5).count() == 0
-    assert {r.level: r.records for r in t.groupBy("level").agg(F.sum("records").alias("records")).collect()} == {5: 300, 1: 300, 0: 300}
+def test_trees_find_new_changed_and_removed(spark, tmp_path, monkeypatch):
+    data = [(str(i), i % 40, i) for i in range(2000)]
+    a = spark.createDataFrame(data, "k string, r int, v long")
+    b = spark.createDataFrame([(k, 39 if k == "3" else r, -1 if k == "7" else v) for k, r, v in data[1:]] + [("2000", 5, 1), (None, None, 1)], "k string, r int, v long")
+    store = incremental.IncrementalStore(spark, str(tmp_path / "s"), ["k"])
+    store.seed(a, ["v"], "r")
+    want = Counter([("0", "removed", None), ("7", "changed", -1), ("2000", "new", 1), (None, "new", 1)])
+    assert rows(store.run(b, ["v"], "r")) == want
+    # Only leaves with a change are read: that of the record that moved, of those gone, changed and next to new ones.
+    assert store.report["leaves"] > 100 and store.report["leaves read"] <= 6
+    assert store.run(b, ["v"], "r").count() == 0 and store.report["leaves read"] == 0
+    # Back to the old state, with leaves of three versions side by side, and laid out anew.
+    back = Counter([("0", "new", 0), ("7", "changed", 7), ("2000", "removed", None), (None, "removed", None)])
+    assert rows(store.run(a, ["v"], "r")) == back
+    monkeypatch.setattr(incremental, "LIVE_VERSIONS", 1)
+    assert rows(store.run(b, ["v"], "r")) == want
+    monkeypatch.setattr(incremental, "GROWN_BITS", -1)
+    assert rows(store.run(a, ["v"], "r")) == back and rows(store.run(b, ["v"], "r")) == want
+
+
+def test_the_tree_decides_what_is_read(spark, tmp_path, monkeypatch):
+    a = spark.createDataFrame([(i, i % 20, i) for i in range(1000)], "k int, r int, v long")
+    b = a.withColumn("v", F.expr("if(k in (3, 5), -1, v)"))
+    store = incremental.IncrementalStore(spark, str(tmp_path / "s"), ["k"])
+    store.seed(a, ["v"], "r")
+    for part in (tmp_path / "s/v1/records").glob("_part=*"):
+        if part.name not in ("_part=3", "_part=5"):
+            for f in part.glob("*.parquet"):
+                f.write_bytes(b"not to be read")
+            for f in part.glob(".*.crc"):
+                f.unlink()
+    n = store.stage(b, ["v"], "r")
+    assert rows(store.output(n)) == Counter([(3, "changed", -1), (5, "changed", -1)])
+    monkeypatch.setattr(incremental, "differing_leaves", lambda *_: None)
+    assert store.output(store.stage(b, ["v"], "r")).count() == 0
 
 
 def test_store_survives_a_run_that_dies_before_it_publishes(spark, tmp_path):
@@ -177,6 +198,14 @@ def test_late_events_of_nothing_and_bad_loads(spark):
     assert late_events.adjustments(arrivals(spark, [("a", "no date", DAY0, 1), ("b", None, DAY0, 1), ("c", ds(0), None, 1)]), ["key"], "ds", "period", "value").count() == 0
 
 
+def test_late_arrivals_come_from_the_state(spark):
+    data = [("a", ds(0), DAY0, 10), ("b", ds(2), DAY0, 10), ("b", ds(3), DAY0, 4), ("c", ds(9), DAY0, None), ("c", ds(9), DAY0, None), (None, ds(4), DAY0 + 4, 1), ("d", ds(8), DAY0 + 1, 7)]
+    adjusted = late_events.adjustments(arrivals(spark, data), ["key"], "ds", "period", "value")
+    state = late_events.multiset(adjusted)
+    assert rows(late_events.late_arrivals(adjusted, state, ["key"]).select("key", "period", "verdict")) == Counter([("b", DAY0, "corrects"), ("c", DAY0, "too_late"), ("d", DAY0 + 1, "corrects")])
+    assert rows(late_events.late_arrivals(adjusted, state.where("value is not null"), ["key"]).select("key")) == Counter([("b",), ("d",)])
+
+
 def test_period_store_repeats_a_load_without_doubling(spark, tmp_path):
     data = [("a", ds(0), DAY0, 10), ("b", ds(0), DAY0, 20), ("a", ds(2), DAY0, 40), ("c", ds(3), DAY0, 5), ("d", ds(9), DAY0, 999)]
     adjusted = late_events.adjustments(arrivals(spark, data), ["key"], "ds", "period", "value")
@@ -196,7 +225,7 @@ def test_rolling_matches_brute_force(spark):
     last = DAY0 + 50
     data = [(rng.choice([None, 1, 2, 3]), rng.choice([None, *[DAY0 + rng.randrange(60)] * 9]), rng.choice([None, -5, 0, 3, 10])) for _ in range(150)] + [(9, DAY0 + 2, -7), (9, DAY0 + 2, -7)]
     daily = rolling.daily_amounts(spark.createDataFrame(data, "user long, d int, amt long"), "user", "d", "amt")
-    state = rolling.rolling_state(daily, last, (7, 30))
+    state = rolling.advance(None, daily, DAY0, last, (7, 30))
     got = {(r.entity, r.window_days, r.day): (r.total, r.n) for r in rolling.every_day(state).collect()}
     expected, peaks = {}, {}
     for u in {d[0] for d in data if d[0] is not None and d[1] is not None and d[1] <= last}:
@@ -209,7 +238,7 @@ def test_rolling_matches_brute_force(spark):
             peaks[u, w] = min(days, key=lambda k: (-expected[k][0], k[2]))[2]
     assert got == expected
     assert {(r.entity, r.window_days): r.day for r in rolling.first_peak(state).collect()} == peaks
-    assert rolling.rolling_state(daily.limit(0), last).count() == 0
+    assert rolling.advance(None, daily.limit(0), DAY0, last).count() == 0
 
 
 def test_rolling_store_steps_and_corrects(spark, tmp_path):
@@ -217,16 +246,34 @@ def test_rolling_store_steps_and_corrects(spark, tmp_path):
     data = [(rng.randrange(3), DAY0 + rng.randrange(12), rng.randrange(50)) for _ in range(40)]
     daily = rolling.daily_amounts(spark.createDataFrame(data, "user long, d int, amt long"), "user", "d", "amt")
     store = rolling.RollingStore(spark, str(tmp_path / "r"), (3,))
-    for d in range(DAY0, DAY0 + 12):
-        store.extend(daily, d)
-    changed = rolling.daily_amounts(spark.createDataFrame([*data, (1, DAY0 + 4, 1000)], "user long, d int, amt long"), "user", "d", "amt")
-    before = {d: p for d, p in store.where.items()}
+    assert store.state() is None
+    store.extend(daily.limit(0), DAY0 + 1)
+    for d in range(DAY0, DAY0 + 8):
+        store.extend(daily, d, first=DAY0)
+    store.extend(daily, DAY0 + 11)
+    store.extend(daily, DAY0 + 11)
+    changed = rolling.daily_amounts(spark.createDataFrame([*data, (1, DAY0 + 4, 1000), (2, DAY0 - 9, 5)], "user long, d int, amt long"), "user", "d", "amt")
+    before = store.spans()
     store.correct(changed, [DAY0 + 4])
-    assert [d - DAY0 for d in store.where if store.where[d] != before[d]] == [4, 5, 6]
-    state = {(r.entity, r.day): r.total for r in rolling.every_day(rolling.rolling_state(changed, DAY0 + 11, (3,))).collect()}
-    for d in range(DAY0, DAY0 + 12):
-        for r in store.day(d).collect():
-            assert r.total == state.get((r.entity, d), 0)
+    again = rolling.RollingStore(spark, str(tmp_path / "r"), (3,))  # another process
+    moved = [a[0] - DAY0 for a, b in zip(again.spans(), before, strict=True) if a != b]
+    assert moved == [4, 5, 6, 7] and [s[:2] for s in before] == [*[(DAY0 + k, DAY0 + k) for k in range(8)], (DAY0 + 8, DAY0 + 11)]
+    plain = rolling.daily_amounts(spark.createDataFrame([*data, (1, DAY0 + 4, 1000)], "user long, d int, amt long"), "user", "d", "amt")
+    want = {(r.entity, r.day): (r.total, r.n) for r in rolling.every_day(rolling.advance(None, plain, DAY0, DAY0 + 11, (3,))).collect()}
+    assert {(r.entity, r.day): (r.total, r.n) for r in rolling.every_day(again.state()).collect()} == want
+
+
+def test_rolling_store_that_dies_keeps_its_version(spark, tmp_path, monkeypatch):
+    daily = spark.createDataFrame([(1, DAY0, 5, 1)], "entity long, day int, amount long, n long")
+    store = rolling.RollingStore(spark, str(tmp_path / "r"), (3,))
+    store.extend(daily, DAY0)
+    monkeypatch.setattr(store, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.extend(daily, DAY0 + 5)
+    again = rolling.RollingStore(spark, str(tmp_path / "r"), (3,))
+    assert [s[1] for s in again.spans()] == [DAY0]
+    again.extend(daily, DAY0 + 5)
+    assert [(r.day, r.until, r.total) for r in again.state().orderBy("day").collect()] == [(DAY0, DAY0, 5), (DAY0 + 1, DAY0 + 2, 5), (DAY0 + 3, DAY0 + 5, 0)]
 
 
 # --- 4
@@ -365,9 +412,10 @@ def test_every_point_lies_in_one_rectangle(spark):
     versions_ = spark.createDataFrame(v + v, "u long, load int, flag int, known_day int")
     rects = bitemporal.rectangles(versions_, "u", "load", ["flag"])
     points = spark.createDataFrame([(u, DAY0 + a, DAY0 + b) for u in (1, 2, 3, 99) for a in range(-3, 45, 4) for b in range(-3, 45, 5)], "entity long, valid int, known int")
-    got = bitemporal.locate(points, "entity", "valid", "known", rects, (DAY0 - 3, DAY0 + 45), grid_days=7)
-    found = {(r.valid, r.known, r.known_day, r.flag, r.newest_flag): 1 for r in got.collect()}
-    assert got.count() == 3 * len(range(-3, 45, 4)) * len(range(-3, 45, 5))
+    got = bitemporal.locate(points, "entity", "valid", "known", rects, (DAY0, DAY0 + 40), ["valid", "known"], grid_days=7)
+    found = {(r.valid, r.known, r.known_day, r.flag, r.newest_flag): 1 for r in got.where("entity <> 99").collect()}
+    assert got.where("entity = 99 and known_day is null").count() == len(range(-3, 45, 4)) * len(range(-3, 45, 5))
+    assert got.where("entity <> 99").count() == 3 * len(range(-3, 45, 4)) * len(range(-3, 45, 5))
     for (valid, known, known_day, flag, newest), _ in found.items():
         assert known_day is None or (known_day <= valid and known_day < known)
         assert any(u is not None and newest == f for u, d, f, _ in v)
@@ -379,20 +427,36 @@ def test_diagonal_agrees_with_the_latest_complete_load(spark):
     v = [(u, DAY0 + d, rng.choice([None, 0, 1])) for u in range(5) for d in rng.sample(range(40), rng.randrange(1, 5))]
     rects = bitemporal.rectangles(spark.createDataFrame(v, "u long, load int, flag int"), "u", "load", ["flag"])
     pts = [(u if u < 6 else 0, DAY0 + d) for u in range(60) for d in range(-2, 42, 3)]
-    got = bitemporal.locate(spark.createDataFrame(pts, "who long, day int"), "who", "day", "day", rects, (DAY0 - 2, DAY0 + 42))
+    got = bitemporal.locate(spark.createDataFrame(pts, "who long, day int"), "who", "day", "day", rects, (DAY0, DAY0 + 40), ["day"])
     want = Counter()
     for u, day in pts:
         own = sorted((d, f) for w, d, f in v if w == u)
-        if own:
-            before = [x for x in own if x[0] < day]
-            want[u, day, *(before[-1] if before else (None, None)), own[-1][1]] += 1
+        before = [x for x in own if x[0] < day]
+        want[u, day, *(before[-1] if before else (None, None)), own[-1][1] if own else None] += 1
     assert Counter((r.who, r.day, r.known_day, r.flag, r.newest_flag) for r in got.collect()) == want
-    assert bitemporal.locate(spark.createDataFrame([], "who long, day int"), "who", "day", "day", rects, (0, 0)).count() == 0
+    assert bitemporal.locate(spark.createDataFrame([], "who long, day int"), "who", "day", "day", rects, (0, 0), ["day"]).count() == 0
     assert bitemporal.rectangles(spark.createDataFrame([], "u long, load int, flag int"), "u", "load", ["flag"]).count() == 0
 
 
 def test_points_without_versions_or_day_stay_if_all_are_kept(spark):
     rects = bitemporal.rectangles(spark.createDataFrame([(1, DAY0, 1)], "u long, load int, flag int"), "u", "load", ["flag"])
     points = spark.createDataFrame([(1, DAY0 + 2), (1, DAY0 - 2), (1, None), (2, DAY0 + 2), (None, DAY0)], "who long, day int")
-    got = bitemporal.locate(points, "who", "day", "day", rects, (DAY0 - 2, DAY0 + 2), keep_all=True)
+    got = bitemporal.locate(points, "who", "day", "day", rects, (DAY0, DAY0), ["day"])
     assert Counter((r.who, r.day, r.known_day, r.flag) for r in got.collect()) == Counter([(1, DAY0 + 2, DAY0, 1), (1, DAY0 - 2, None, None), (1, None, None, None), (2, DAY0 + 2, None, None), (None, DAY0, None, None)])
+
+
+@pytest.mark.parametrize("cells,hot", [(1000, 20), (2, 500_000), (2, 20)])
+def test_grid_and_groups_change_nothing(spark, monkeypatch, cells, hot):
+    monkeypatch.setattr(bitemporal, "MAX_CELLS", cells)
+    monkeypatch.setattr(bitemporal, "HOT_POINTS", hot)
+    rng = random.Random(10)
+    v = [(u, DAY0 + d, rng.choice([None, 0, 1])) for u in range(4) for d in rng.sample(range(40), 3)]
+    rects = bitemporal.rectangles(spark.createDataFrame(v, "u long, load int, flag int"), "u", "load", ["flag"])
+    pts = [(k, 0 if k % 3 else k % 7, DAY0 + rng.randrange(-400, 400), DAY0 + rng.randrange(-400, 400), "x") for k in range(400)]
+    got = bitemporal.locate(spark.createDataFrame(pts, "id int, who long, valid int, known int, flag string"), "who", "valid", "known", rects, (DAY0, DAY0 + 40), ["id"])
+    assert {"point_flag", "flag"} <= set(got.columns)
+    want = {}
+    for k, u, valid, known, _ in pts:
+        own = [(d, f) for w, d, f in v if w == u and d <= valid and d < known]
+        want[k] = max(own, key=lambda x: x[0]) if own else (None, None)
+    assert {r.id: (r.known_day, r.flag) for r in got.collect()} == want and got.count() == 400
