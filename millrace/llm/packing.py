@@ -12,11 +12,14 @@ the plan by rank within their length, in parallel.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ UNITS = 4096
 #: Purchases by which the step of the fractional solution is scaled, how fast prices fall, and what long items cost more.
 PURCHASES, DECAY, LONG = 1000, 3.0, 1.0
 #: Lengths that a purchase considers first, and the unused share of a container up to which their best is taken.
-ORACLE_CLASSES, GAP = 128, 0.002
+ORACLE_CLASSES, GAP = (24, 96), 0.002
 #: Items ranked in one group; hotter lengths are cut into salted groups.
 GROUP_ITEMS = 500_000
 
@@ -38,10 +41,7 @@ def load_tokenizer(path: str, pattern: str | None = None):
     if path.endswith(".tiktoken"):
         import tiktoken
 
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
+        pattern = pattern or default_pattern()
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -58,15 +58,21 @@ def load_tokenizer(path: str, pattern: str | None = None):
     return lambda texts: [len(ids) for ids in p.encode(texts, num_threads=1)]
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _count(path: str):
+def _count(name: str, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = load_tokenizer(path)
+        count = load_tokenizer(SparkFiles.get(name), pattern)
         for b in batches:
             sizes = count([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["item", "size"])
@@ -75,8 +81,11 @@ def _count(path: str):
 
 
 def token_sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
-    """(item, size) of each row: its id and tokens of the whole text; null texts have none."""
-    return runtime.map_arrow(docs.select(F.col(doc_id).cast("long").alias("item"), F.col(text).cast("string").alias("text")), _count(tokenizer), "item long, size long", runtime.TEXT_ROWS)
+    """(item, size) of each row: its id and tokens of the whole text; null texts have none. The driver's tokenizer file is sent
+    to the executors."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name, pattern = os.path.basename(tokenizer), default_pattern() if tokenizer.endswith(".tiktoken") else None
+    return runtime.map_arrow(docs.select(F.col(doc_id).cast("long").alias("item"), F.col(text).cast("string").alias("text")), _count(name, pattern), "item long, size long", runtime.TEXT_ROWS)
 
 
 @dataclass
@@ -95,51 +104,71 @@ class Knapsack:
         self.sizes, self.units = sizes, units
 
     def best(self, values: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Amount of each class, at most limit[k] of class k."""
-        worth, taken, parts = np.zeros(self.units + 1), [], []
-        for k in np.flatnonzero((limit > 0) & (values > 0)):
-            w = int(self.sizes[k])
-            left, chunk = int(min(limit[k], self.units // w)), 1
+        """Amount of each class, at most limit[k] of class k. Amounts are put together from powers of two of a class."""
+        parts = []
+        for k in np.flatnonzero((limit > 0) & (values > 0)).tolist():
+            left, chunk = min(int(limit[k]), self.units // int(self.sizes[k])), 1
             while left > 0:
-                c = min(chunk, left)
-                new = worth[: self.units + 1 - c * w] + c * values[k]
-                better = new > worth[c * w :]
-                worth[c * w :][better] = new[better]
-                taken.append(better)
-                parts.append((k, c))
-                left, chunk = left - c, chunk * 2
+                parts.append((k, min(chunk, left)))
+                left, chunk = left - chunk, chunk * 2
+        worth, sums = np.zeros(self.units + 1, np.float32), np.empty(self.units + 1, np.float32)
+        taken = np.zeros((len(parts), self.units + 1), bool)
+        for row, (k, c) in zip(taken, parts, strict=True):
+            w = c * int(self.sizes[k])
+            rest, above = sums[: self.units + 1 - w], worth[w:]
+            np.add(worth[: self.units + 1 - w], np.float32(c * values[k]), out=rest)
+            np.greater(rest, above, out=row[w:])
+            np.maximum(rest, above, out=above)
         amounts, at = np.zeros(len(self.sizes), np.int64), self.units
-        for (k, c), better in zip(reversed(parts), reversed(taken), strict=True):
-            start = at - c * int(self.sizes[k])
-            if start >= 0 and better[start]:
+        for row, (k, c) in zip(taken[::-1], parts[::-1], strict=True):
+            if row[at]:
                 amounts[k] += c
-                at = start
+                at -= c * int(self.sizes[k])
         return amounts
 
 
 def fullest(sack: Knapsack, values: np.ndarray, limit: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Amounts of the configuration worth most. Those of the classes `first` and of evenly spread others are tried before
-    all: a configuration without more than GAP of unused space is as good as any, to that share."""
+    all, a few at first: a configuration without more than GAP of unused space is as good as any, to that share."""
     there = np.flatnonzero(limit)
-    if len(there) > 2 * ORACLE_CLASSES:
-        some = np.zeros(len(limit), np.int64)
-        chosen = np.r_[first[:ORACLE_CLASSES], there[:: -(-len(there) // ORACLE_CLASSES)]]
-        some[chosen] = limit[chosen]
-        a = sack.best(values, some)
-        if a @ sack.sizes >= (1 - GAP) * sack.units:
-            return a
+    for n in ORACLE_CLASSES:
+        if len(there) > 2 * n:
+            some = np.zeros(len(limit), np.int64)
+            chosen = np.r_[first[:n], there[:: -(-len(there) // n)]]
+            some[chosen] = limit[chosen]
+            a = sack.best(values, some)
+            if a @ sack.sizes >= (1 - GAP) * sack.units:
+                return a
     return sack.best(values, limit)
 
 
-def cover(sack: Knapsack, demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
+def least_containers(sack: Knapsack, demand: np.ndarray, prices: list[np.ndarray]) -> float:
+    """A lower bound on the containers of any packing, fractional ones included: the items' total over the capacity, dual
+    feasible functions for items beyond a half, a third and so on of it, and duals from prices: what all items are worth over
+    what a container can hold of it."""
+    part = sack.sizes / sack.units
+    bounds = [float(demand @ part)]
+    for k in range(1, 8):
+        up = (k + 1) * part
+        bounds.append(float(demand @ np.where(up == np.floor(up), part, np.floor(up) / k)))
+    for p in prices:
+        bounds.append(float(p @ demand) / float(p @ sack.best(p, demand)) * (1 - 1e-5))
+    return max(bounds)
+
+
+def cover(sack: Knapsack, demand: np.ndarray, prices: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
     """The fractional solution: configurations and how often each is used, which together cover every class exactly once.
+    `prices` receives the weights at a quarter, a half and three quarters of the way, for bounds.
 
     Prices start at the lengths, long ones a little above, and fall as a class is covered. A purchase covers a class of its
     configuration by a step or to the end, so there are at most len(demand) / step of them: PURCHASES, or the classes.
     """
     need, bought, step = np.ones(len(demand)), {}, min(1.0, (len(demand) + 1) / PURCHASES)
     worth = sack.sizes * (1 + LONG * sack.sizes / sack.units)
+    bulk = demand * sack.sizes / max(1, int(demand @ sack.sizes))
     while (need > 0).any():
+        if len(prices) < 3 and 1 - need @ bulk >= (len(prices) + 1) / 4:
+            prices.append(worth * np.exp(DECAY * (need - 1)))
         limit = np.where(need > 0, demand, 0)
         open_ = np.flatnonzero(need > 0)
         a = fullest(sack, worth * np.exp(DECAY * (need - 1)), limit, open_[np.argsort(-need[open_] * sack.sizes[open_], kind="stable")])
@@ -153,10 +182,10 @@ def cover(sack: Knapsack, demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
     return list(bought.values())
 
 
-def plan(sizes: np.ndarray, demand: np.ndarray, units: int, shares: dict[str, int] | None = None) -> list[Config]:
+def plan(sizes: np.ndarray, demand: np.ndarray, units: int, shares: dict[str, float] | None = None) -> list[Config]:
     """Configurations that place exactly demand[k] items of size sizes[k] (1..units) each. Sizes ascend. `shares` receives
-    the units placed by the rounded program (`lp`) and by the knapsack after it (`knapsack`), and the value of the
-    fractional solution in containers (`value`)."""
+    the units placed by the rounded program (`lp`) and by the knapsack after it (`knapsack`), the value of the fractional
+    solution in containers (`value`) and a bound below which no solution is (`bound`)."""
     sack, left = Knapsack(sizes, units), demand.astype(np.int64).copy()
     out: list[Config] = []
 
@@ -165,7 +194,8 @@ def plan(sizes: np.ndarray, demand: np.ndarray, units: int, shares: dict[str, in
         out.append(Config(copies, k, amounts[k]))
         left[k] -= copies * amounts[k]
 
-    bought = cover(sack, left.copy())
+    prices: list[np.ndarray] = []
+    bought = cover(sack, left.copy(), prices)
     # Rounding carries the fractions on, so that the rounded uses add up to the fractional ones where items are left.
     carry = 0.0
     for a, times in sorted(bought, key=lambda x: -x[1]):
@@ -181,7 +211,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, units: int, shares: dict[str, in
         k = np.flatnonzero(a)
         use(a, int((left[k] // a[k]).min()))
     if shares is not None:
-        shares |= {"lp": by_lp, "knapsack": int(sizes @ demand) - by_lp, "value": sum(t for _, t in bought)}
+        shares |= {"lp": by_lp, "knapsack": int(sizes @ demand) - by_lp, "value": float(sum(t for _, t in bought)), "bound": least_containers(sack, demand, prices) if len(demand) else 0.0}
     return out
 
 
@@ -198,35 +228,61 @@ def _layout(configs: list[Config]) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def pack(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
+LAYOUT = "container_kind string, class int, rank_from long, rank_to long, first_container long, per_container long, containers long, lp_share double, lp_value double, at_least double"
+
+
+def _planned(key: tuple, histogram: pd.DataFrame) -> pd.DataFrame:
+    """Layout rows of one kind of container from its histogram (class, n)."""
+    kind, capacity = key
+    own = histogram.sort_values("class")
+    sizes, shares = own["class"].to_numpy(np.int64), {}
+    configs = plan(sizes, own["n"].to_numpy(np.int64), int(capacity) // -(-int(capacity) // UNITS), shares)
+    rows = pd.DataFrame(_layout(configs), columns=["class", "rank_from", "rank_to", "first_container", "per_container"])
+    rows["class"] = sizes[rows["class"].to_numpy(np.int64)]
+    placed = shares["lp"] + shares["knapsack"]
+    return rows.assign(container_kind=kind, containers=sum(c.copies for c in configs), lp_share=shares["lp"] / max(placed, 1), lp_value=shares["value"], at_least=shares["bound"])[[x.split()[0] for x in LAYOUT.split(", ")]]
+
+
+def pieces_of(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """(container_kind, capacity, item, piece, size, class) of the items' pieces for each kind; items without size have none."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity"), F.lit(-(-c // UNITS)).cast("long").alias("unit")) for k, c in capacities.items()]))
+    held = items.where("size > 0").select("item", "size", kinds.alias("k")).select("item", "size", "k.*")
+    cuts = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(size - 1) div capacity"))).alias("piece"))
+    pieces = cuts.select("container_kind", "capacity", "item", "piece", F.least(F.col("capacity"), F.col("size") - F.col("piece") * F.col("capacity")).alias("size"), "unit")
+    # A piece longer than the whole units of its container fills them all.
+    return pieces.withColumn("class", F.expr("least((size + unit - 1) div unit, capacity div unit)").cast("int")).drop("unit")
+
+
+def layouts(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """The plans of all kinds: which ranks of which class go where, the containers used, the share of units that the rounded
+    program places, the value of its fractional solution and the bound below it. Each kind is planned by one task from its
+    histogram, which has at most UNITS rows."""
+    runtime.send_package(items.sparkSession)
+    histogram = pieces_of(items, capacities).groupBy("container_kind", "capacity", "class").agg(F.count(F.lit(1)).alias("n"))
+    planned = histogram.repartition(len(capacities), "container_kind").groupBy("container_kind", "capacity").applyInPandas(_planned, LAYOUT)
+    return runtime.persist_table(planned, "pack-layout")
+
+
+def sized(items: DataFrame) -> DataFrame:
+    return runtime.persist_table(items.select("item", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "pack-items")
+
+
+def pack(items: DataFrame, capacities: dict[str, int], layout: DataFrame | None = None) -> DataFrame:
     """(container_kind, container_id, item, piece, size) of items (item, size) for each kind of container.
 
     An item longer than the capacity is cut into full pieces and a rest; no other is cut. Items of size 0 or null need no
     container: they have one row with null container_id, piece 0 and size 0. Rows that repeat are items of their own.
-    Capacities below 1 are an error.
+    Capacities below 1 are an error. layout: that of the same items, if it is there already.
     """
-    spark = items.sparkSession
     if any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be at least 1")
     if not capacities:
         return items.select(F.lit("").alias("container_kind"), F.lit(None).cast("long").alias("container_id"), "item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("size")).limit(0)
-    items = runtime.persist_table(items.select("item", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "pack-items")
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity"), F.lit(-(-c // UNITS)).cast("long").alias("unit")) for k, c in capacities.items()]))
-    held = items.where("size > 0").select("item", "size", kinds.alias("k")).select("item", "size", "k.*")
-    cuts = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(size - 1) div capacity"))).alias("piece"))
-    pieces = cuts.select("container_kind", "item", "piece", F.least(F.col("capacity"), F.col("size") - F.col("piece") * F.col("capacity")).alias("size"), "unit", "capacity")
-    # A piece longer than the whole units of its container fills them all.
-    pieces = pieces.withColumn("class", F.expr("least((size + unit - 1) div unit, capacity div unit)").cast("int")).drop("unit", "capacity")
-
-    histogram = pieces.groupBy("container_kind", "class").agg(F.count(F.lit(1)).alias("n")).collect()  # at most UNITS per kind
-    rows, hottest = [], 1
-    for kind, c in capacities.items():
-        own = sorted((r["class"], r.n) for r in histogram if r.container_kind == kind)
-        sizes, demand = np.array([s for s, _ in own], np.int64), np.array([n for _, n in own], np.int64)
-        hottest = max(hottest, int(demand.max(initial=1)))
-        unit = -(-c // UNITS)
-        rows += [(kind, int(sizes[k]), *r) for k, *r in _layout(plan(sizes, demand, c // unit))]
-    layout = spark.createDataFrame(rows or [("", 0, 0, 0, 0, 0)], "k string, c int, rank_from long, rank_to long, first_container long, per_container long")
+    if layout is None:
+        items = sized(items)
+        layout = layouts(items, capacities)
+    pieces = pieces_of(items, capacities).drop("capacity")
+    hottest = layout.groupBy("container_kind", "class").agg(F.max("rank_to").alias("n")).agg(F.max("n")).first()[0] or 1
 
     salt = F.pmod(F.xxhash64("item", "piece"), F.lit(-(-hottest // GROUP_ITEMS))).cast("int")
     group = ["container_kind", "class", "salt"]
@@ -236,7 +292,9 @@ def pack(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
     offsets = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     local = salted.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("item", "piece")) - 1)
     ranked = local.join(offsets, group).select("container_kind", "class", "item", "piece", "size", (F.col("r") + F.col("offset")).alias("rank"))
+    places = layout.select(F.col("container_kind").alias("k"), F.col("class").alias("c"), "rank_from", "rank_to", "first_container", "per_container")
     on = (F.col("container_kind") == F.col("k")) & (F.col("class") == F.col("c")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    placed = ranked.join(runtime.broadcast_if_small(layout), on).select("container_kind", (F.col("first_container") + F.expr("(rank - rank_from) div per_container")).alias("container_id"), "item", "piece", "size")
-    nothing = items.where("size <= 0").select(kinds.alias("k"), "item").select("k.container_kind", F.lit(None).cast("long").alias("container_id"), "item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("size"))
+    placed = ranked.join(runtime.broadcast_if_small(places), on).select("container_kind", (F.col("first_container") + F.expr("(rank - rank_from) div per_container")).alias("container_id"), "item", "piece", "size")
+    kinds = F.explode(F.array(*[F.lit(k) for k in capacities]))
+    nothing = items.where(F.coalesce("size", F.lit(0)) <= 0).select(kinds.alias("container_kind"), F.lit(None).cast("long").alias("container_id"), "item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("size"))
     return placed.unionByName(nothing)

@@ -6,30 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import leakage, packing, textstats
-from millrace.runtime import read_table
+from millrace.runtime import persist_table, read_table
 
 #: Kinds of containers that are planned in one run.
 MAX_KINDS = 100
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
     kinds = read_table(spark, d, "containers").where("container_kind is not null and capacity_tokens is not null").limit(MAX_KINDS + 1).collect()
     if len(kinds) > MAX_KINDS:
         raise ValueError("too many kinds of containers")
-    sizes = packing.token_sizes(read_table(spark, d, "documents"), "doc_id", "text", packing.default_tokenizer())
-    return packing.pack(sizes, {r.container_kind: r.capacity_tokens for r in kinds})
+    return {r.container_kind: r.capacity_tokens for r in kinds}
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return packing.sized(packing.token_sizes(read_table(spark, d, "documents"), "doc_id", "text", packing.default_tokenizer()))
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in containers of each kind, by tokens of its whole text; see packing.pack."""
-    return _packed(spark, d).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
+    capacities = _capacities(spark, d)
+    return packing.pack(_sizes(spark, d), capacities).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used per kind against the fewest that the tokens could fill."""
-    capacity = read_table(spark, d, "containers")
-    p = _packed(spark, d).where("container_id is not null").groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
-    return p.join(capacity, "container_kind").select("container_kind", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("at_least"), F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6).alias("fill"))
+    """Containers used per kind against a bound below which no packing is, the value of the fractional program, the share of
+    the tokens that the rounded program placed, and how full the containers are."""
+    capacities, items = _capacities(spark, d), _sizes(spark, d)
+    layout = packing.layouts(items, capacities)
+    p = packing.pack(items, capacities, layout).where("container_id is not null").groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
+    plans = layout.select("container_kind", F.ceil("at_least").alias("at_least"), F.round("lp_value", 3).alias("lp_value"), F.round("lp_share", 4).alias("lp_share")).distinct()
+    full = F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6)
+    return p.join(read_table(spark, d, "containers"), "container_kind").join(plans, "container_kind").select("container_kind", "containers", "tokens", "at_least", "lp_value", "lp_share", full.alias("fill"))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing, per kind: documents placed, containers that hold more than their capacity, documents whose
+    pieces do not add up to their tokens, documents cut though they fit, and whether no more than 1 % (and 2) containers
+    over the tokens' total are used."""
+    capacities, items = _capacities(spark, d), _sizes(spark, d)
+    placed = persist_table(packing.pack(items, capacities), "pack-placed")
+    room = F.create_map(*[F.lit(x) for kv in capacities.items() for x in kv])[F.col("container_kind")]
+    held = placed.where("container_id is not null").groupBy("container_kind", "container_id").agg(F.sum("size").alias("held"))
+    boxes = held.groupBy("container_kind").agg(F.sum((F.col("held") > room).cast("long")).alias("overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("held") / F.first(room)) * 1.01 + 2).alias("near_full"))
+    own = placed.groupBy("container_kind", "item").agg(F.sum("size").alias("parts"), F.count(F.lit(1)).alias("pieces")).join(items, "item")
+    docs = own.groupBy("container_kind").agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("parts") != F.col("size")).cast("long")).alias("incomplete"), F.sum(((F.col("size") <= room) & (F.col("pieces") > 1)).cast("long")).alias("cut_short"))
+    return docs.join(boxes, "container_kind").select("container_kind", "documents", "overfull", "incomplete", "cut_short", "near_full")
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +68,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    return textstats.quality(read_table(spark, d, "documents"), "doc_id", "text", "lang", read_table(spark, d, "common_words"))
+    return textstats.quality(read_table(spark, d, "documents"), "doc_id", "text", "lang", "source", read_table(spark, d, "common_words"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +86,12 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_statistics)}
 #: Words of a text as the leak definition reads them.
 _WORDS = r"regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0300}-\x{036F}]', '', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 
 SQL: dict[str, str] = {
+    "p8_checked": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS incomplete, 0 AS cut_short, true AS near_full FROM containers",
     "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
         spans AS (SELECT item_id, least(12, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(12, len(w)) + 2), lambda k: array_to_string(w[k:k + least(12, len(w)) - 1], ' '))) AS span FROM i WHERE len(w) > 0),
         lens AS (SELECT DISTINCT n FROM spans),
