@@ -241,9 +241,14 @@ def test_project_tables_match_brute_force(spark, tiny):
 def page(rng, kind):
     the = lambda: rng.choice(["the", "a", "this", "our", "every"])
     noun = lambda: rng.choice(WORDS) + rng.choice(["", "an", "ir", "ol", "un"]) + rng.choice(["", "d", "s", "t", "k"])
-    sentence = lambda: f"{the().capitalize()} {noun()} {rng.choice(['saw', 'took', 'sold'])} {the()} {noun()} {rng.choice(['with', 'in', 'on'])} {the()} {noun()} and {the()} {noun()}."
+    more = lambda words: " ".join(words() for _ in range(rng.randrange(3)))
+
+    def sentence():
+        parts = [the().capitalize(), more(noun), noun(), rng.choice(["saw", "took", "sold"]), the(), noun(), more(lambda: f"{rng.choice(['with', 'in', 'on'])} {the()} {noun()}"), rng.choice(["", f"and {the()} {noun()}"]), rng.choice(["", "", f"{rng.randrange(90)} times"])]
+        return " ".join(x for x in parts if x) + rng.choice([".", ".", "!", ", they said."])
+
     body = {
-        "prose": lambda: " ".join(sentence() for _ in range(rng.randrange(3, 12))),
+        "prose": lambda: "".join(sentence() + rng.choice(["\n", " ", " "]) for _ in range(rng.randrange(3, 12))),
         "wrapped": lambda: " ".join(sentence() for _ in range(9)).replace(" in ", "\n"),
         "list": lambda: "\n".join(noun() for _ in range(rng.randrange(12, 30))),
         "table": lambda: "\n".join(f"{noun()};{rng.randrange(9999)};{rng.randrange(99)}" for _ in range(15)),
@@ -265,8 +270,9 @@ def test_prose_is_told_from_the_rest(spark):
     q = textstats.quality(docs, "doc_id", "text", "lang", "source", common)
     got = [(r.id, r.prose) for r in q.collect()]
     assert len(got) == len(pages)
-    wrong = [k for k, prose in got if prose != (dict((p[0], p[1]) for p in pages)[k] in ("prose", "wrapped"))]
-    assert wrong == []
+    kind_of = {p[0]: p[1] for p in pages}
+    assert [kind_of[k] for k, prose in got if prose and kind_of[k] not in ("prose", "wrapped")] == []
+    assert len([k for k, prose in got if not prose and kind_of[k] in ("prose", "wrapped")]) <= 5
     parts = q.where("distance is not null").select((sum((F.col(f"d_{s}") for s in textstats.STATISTICS), F.lit(0.0)) - F.col("distance")).alias("d"))
     assert parts.where("abs(d) > 1e-6").count() == 0
 
