@@ -106,54 +106,62 @@ def _unique_best(k: int, by_id: bool) -> Op:
     )
 
 
-def _moments(order: int, final: Callable[[Partials], Column]) -> Op:
-    names = ["n", *[f"s{k}" for k in range(1, order + 1)]]
-    merge, combine = _add(names)
+def _central(order: int, final: Callable[[Partials], Column]) -> Op:
+    """Central moments up to `order`: n, mean and the sums m2.. of powers of distances from the mean. Two partials merge by
+    the distance of their means, so no digits are lost to large means or many merges. A merge gathers partials, which are
+    tiles, never rows."""
+    names = ["n", "mean", *[f"m{k}" for k in range(2, order + 1)]]
 
     def partial(v: Column, t: Column, w: Wrap) -> Partials:
         x = v.cast("double")
-        return {"n": w(F.count(v)), **{f"s{k}": w(F.sum(F.pow(x, F.lit(k)) if k > 1 else x)) for k in range(1, order + 1)}}
+        n = w(F.count(v))
+        m2 = w(F.var_pop(x)) * n
+        out = {"n": n, "mean": w(F.avg(x)), "m2": m2}
+        spread = lambda c: F.when(m2 > 0, c).when(n > 0, F.lit(0.0))
+        if order > 2:
+            out["m3"] = spread(w(F.skewness(x)) * F.pow(m2, F.lit(1.5)) / F.sqrt(n))
+        if order > 3:
+            out["m4"] = spread((w(F.kurtosis(x)) + 3) * m2 * m2 / n)
+        return out
+
+    def both(a: Partials, b: Partials) -> Partials:
+        na, nb = a["n"].cast("double"), b["n"].cast("double")
+        n, gap = na + nb, b["mean"] - a["mean"]
+        out = {"n": a["n"] + b["n"], "mean": a["mean"] + gap * nb / n, "m2": a["m2"] + b["m2"] + gap * gap * na * nb / n}
+        if order > 2:
+            out["m3"] = a["m3"] + b["m3"] + F.pow(gap, F.lit(3)) * na * nb * (na - nb) / (n * n) + 3 * gap * (na * b["m2"] - nb * a["m2"]) / n
+        if order > 3:
+            out["m4"] = (
+                a["m4"] + b["m4"] + F.pow(gap, F.lit(4)) * na * nb * (na * na - na * nb + nb * nb) / (n * n * n)
+                + 6 * gap * gap * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n) + 4 * gap * (na * b["m3"] - nb * a["m3"]) / n
+            )
+        return out
 
-    return Op(partial, merge, final, combine)
-
-
-def _central(c: Partials) -> tuple[Column, Column, Column, Column]:
-    n, mean = c["n"], c["s1"] / c["n"]
-    m2 = c["s2"] - n * mean * mean
-    m3 = c["s3"] - 3 * mean * c["s2"] + 2 * n * mean * mean * mean if "s3" in c else None
-    m4 = c["s4"] - 4 * mean * c["s3"] + 6 * mean * mean * c["s2"] - 3 * n * mean * mean * mean * mean if "s4" in c else None
-    return n, m2, m3, m4
-
-
-def _variance() -> Op:
-    """Population variance from count, mean and squared distance, merged without losing digits to large means."""
+    def combine(a: Partials, b: Partials) -> Partials:
+        merged, some_a, some_b = both(a, b), F.coalesce(a["n"], F.lit(0)) > 0, F.coalesce(b["n"], F.lit(0)) > 0
+        return {x: F.when(some_a & some_b, merged[x]).when(some_a, a[x]).otherwise(b[x]) for x in names}
 
     def merge(c: Partials, w: Wrap) -> Partials:
-        n = w(F.sum(c["n"]))
-        mean = F.when(n > 0, w(F.sum(F.when(c["n"] > 0, c["n"] * c["mean"]))) / n)
-        return {"n": n, "mean": mean, "m2": F.when(n > 0, w(F.sum(c["m2"])) + w(F.sum(F.when(c["n"] > 0, c["n"] * c["mean"] * c["mean"]))) - n * mean * mean)}
+        row = F.when(c["n"] > 0, F.struct(*[c[x].cast("long" if x == "n" else "double").alias(x) for x in names]))
+        nothing = F.struct(*[(F.lit(0).cast("long") if x == "n" else F.lit(None).cast("double")).alias(x) for x in names])
+        step = lambda a, b: F.struct(*[x.alias(k) for k, x in combine({k: a[k] for k in names}, {k: b[k] for k in names}).items()])
+        total = F.aggregate(w(F.collect_list(row)), nothing, step)
+        return {x: total[x] for x in names}
 
-    def combine(a: Partials, b: Partials) -> Partials:
-        n = a["n"] + b["n"]
-        gap = b["mean"] - a["mean"]
-        both = (a["n"] > 0) & (b["n"] > 0)
-        pick = lambda x, f: F.when(both, f).when(a["n"] > 0, a[x]).otherwise(b[x])
-        return {"n": _plus(a["n"], b["n"]), "mean": pick("mean", (a["n"] * a["mean"] + b["n"] * b["mean"]) / n), "m2": pick("m2", a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n)}
+    return Op(partial, merge, final, combine)
 
-    return Op(
-        over_rows=lambda v, t, w: {"n": w(F.count(v)), "mean": w(F.avg(v.cast("double"))), "m2": w(F.var_pop(v.cast("double"))) * w(F.count(v))},
-        over_partials=merge, combine=combine, final=lambda c: F.when(c["n"] > 0, F.greatest(c["m2"], F.lit(0.0)) / c["n"]),
-    )
+
+def _varied(c: Partials) -> Column:
+    """Whether the values differ by more than rounding."""
+    return c["m2"] > 1e-20 * c["n"] * c["mean"] * c["mean"]
 
 
 def _guarded_skew(c: Partials) -> Column:
-    n, m2, m3, _ = _central(c)
-    return F.when((n >= 3) & (m2 > 1e-12 * c["s2"]), F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5)))
+    return F.when((c["n"] >= 3) & _varied(c), F.sqrt(c["n"]) * c["m3"] / F.pow(c["m2"], F.lit(1.5)))
 
 
 def _guarded_kurtosis(c: Partials) -> Column:
-    n, m2, _, m4 = _central(c)
-    return F.when((n >= 4) & (m2 > 1e-12 * c["s2"]), n * m4 / (m2 * m2) - 3)
+    return F.when((c["n"] >= 4) & _varied(c), c["n"] * c["m4"] / (c["m2"] * c["m2"]) - 3)
 
 
 def _extreme(agg, pick) -> Op:
@@ -186,11 +194,11 @@ def op_for(part: AggregationPart, kind: T.DataType | None = None) -> Op:
     if o == Operation.LAST:
         return _timed(F.max, F.greatest)
     if o == Operation.VARIANCE:
-        return _variance()
+        return _central(2, lambda c: F.when(c["n"] > 0, c["m2"] / c["n"]))
     if o == Operation.SKEW:
-        return _moments(3, _guarded_skew)
+        return _central(3, _guarded_skew)
     if o == Operation.KURTOSIS:
-        return _moments(4, _guarded_kurtosis)
+        return _central(4, _guarded_kurtosis)
     if o == Operation.UNIQUE_COUNT:
         return Op(
             lambda v, t, w: {"u": w(F.collect_set(v))}, lambda c, w: {"u": F.array_distinct(F.flatten(w(F.collect_list(c["u"]))))},

@@ -125,7 +125,7 @@ def _bootstrap_keys(join: Join, part: BootstrapPart) -> list[str]:
 
 
 def bootstrap(catalog: Catalog, join: Join, left: DataFrame, days: PartitionRange | None) -> tuple[DataFrame, dict[str, set[str]]]:
-    """left with the columns of its bootstrap tables (the first table that has a row wins) and `matched_hashes`, the tables
+    """left with the columns of its bootstrap tables (the first table that has a row wins, of a table's rows of one key the last in order) and `matched_hashes`, the tables
     that matched each row; and for each table's hash the columns it provides."""
     provided: dict[str, set[str]] = {}
     out = left.withColumn("matched_hashes", F.array().cast("array<string>"))
@@ -133,8 +133,12 @@ def bootstrap(catalog: Catalog, join: Join, left: DataFrame, days: PartitionRang
         h = hashlib.md5(repr(b).encode()).hexdigest()[:12]
         keys = [k for k in _bootstrap_keys(join, b) if k in left.columns]
         table = catalog.scan(b.table, b.query, days).drop("ts")
-        rows = table.dropDuplicates(keys).dropna(subset=[k for k in keys if k in table.columns])
         keys = [k for k in keys if k in table.columns]
+        rest = [c for c in table.columns if c not in keys]
+        # Of several rows of one key the one whose values come last in order counts, in every run.
+        order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+        rows = table.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), order).alias("_row"))
+        rows = rows.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
         provided[h] = {c for c in rows.columns if c not in keys}
         out = coalesced_join(out, rows.withColumn("_hit", F.lit(True)), keys)
         out = out.withColumn("matched_hashes", F.when(F.col("_hit"), F.array_append("matched_hashes", F.lit(h))).otherwise(F.col("matched_hashes"))).drop("_hit")

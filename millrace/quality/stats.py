@@ -215,13 +215,13 @@ def _edits(left: pd.Series, right: pd.Series) -> pd.DataFrame:
             diagonal = 0
             for j, y in enumerate(b):
                 diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j], row[j + 1])
-        out.append((len(b) - row[-1], len(a) - row[-1]))
+        out.append((len(a) - row[-1], len(b) - row[-1]))
     return pd.DataFrame(out, columns=["insert", "delete"], dtype="int32")
 
 
 def edit_distance(spark: SparkSession, left: Column, right: Column) -> Column:
-    """Struct (insert, delete): fewest insertions and deletions that turn one list into another, without substitutions. A
-    null list counts as empty."""
+    """Struct (insert, delete): fewest insertions into and deletions from the right list that make it like the left one,
+    without substitutions. A null list counts as empty."""
     runtime.send_package(spark)
     return F.pandas_udf(_edits, "insert int, delete int")(left, right)
 

@@ -32,7 +32,7 @@ Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
 QUERIES: Queries = {}
 MONTH = PartitionRange("2024-01-01", "2024-01-31")
 SPLIT = 1_705_276_800_000  # 2024-01-15
-CDC_DAY = "1996-06-15"
+CDC_DAY = "2001-09-01"
 
 
 def query(f):
@@ -119,21 +119,21 @@ def pit_histogram(spark, d):
 
 @query
 def pit_variance(spark, d):
-    # Values have two decimals, so variances of few are often halfway between four: moved off for a stable rounding.
+    # Values have two decimals, so variances of few are often halfway between two roundings; their roots are not.
     v = pit(spark, d, Aggregation("value", O.VARIANCE, ("7d",)))
-    return rounded(v.withColumn("value_variance_7d", F.col("value_variance_7d") + 1e-7), 4)
+    return rounded(v.select("user_id", "ts", F.sqrt("value_variance_7d").alias("value_deviation_7d")), 4)
 
 
 @query
 def snapshot_events_daily(spark, d):
     aggs = [Aggregation("value", o, ("1d", "7d", None)) for o in (O.SUM, O.COUNT, O.MAX)]
-    return rounded(snapshot_events(events(spark, d), ["user_id"], parts_of(aggs), "2024-01-05", "2024-01-20"))
+    return rounded(snapshot_events(events(spark, d), ["user_id"], parts_of(aggs), MONTH.start, MONTH.end))
 
 
 @query
 def snapshot_events_bucketed(spark, d):
     aggs = [Aggregation("value", O.COUNT, ("3d",), buckets=("event_type",))]
-    return exploded(snapshot_events(events(spark, d), ["user_id"], parts_of(aggs), "2024-01-05", "2024-01-20"), ["user_id", "ds"], "value_count_3d_by_event_type")
+    return exploded(snapshot_events(events(spark, d), ["user_id"], parts_of(aggs), MONTH.start, MONTH.end), ["user_id", "ds"], "value_count_3d_by_event_type")
 
 
 @query
@@ -165,7 +165,7 @@ _simple("gb_min", op=O.MIN, input_column="value")
 _simple("gb_max", op=O.MAX, input_column="event_type")
 _simple("gb_variance", 4, op=O.VARIANCE, input_column="value")
 _simple("gb_skew", 4, op=O.SKEW, input_column="value")
-_simple("gb_kurtosis", 3, op=O.KURTOSIS, input_column="value")
+_simple("gb_kurtosis", 4, op=O.KURTOSIS, input_column="value")
 _simple("gb_first", op=O.FIRST, input_column="event_id")
 _simple("gb_last", op=O.LAST, input_column="event_id")
 _simple("gb_first_k", op=O.FIRST_K, input_column="event_id", k=5)
@@ -293,7 +293,7 @@ def join_bootstrap(spark, d):
 @query
 def derivations_wildcard(spark, d):
     g = GroupBy("g", [_events_source()], ["user_id"], [Aggregation("value", O.SUM, ("7d",)), Aggregation("value", O.COUNT, ("7d",)), Aggregation("value", O.MAX, ("7d",))], derivations=[Derivation("*", "*"), Derivation("per_event", "value_sum_7d / value_count_7d"), Derivation("peak", "value_max_7d")])
-    return rounded(compute_group_by(_catalog(spark, d), g, PartitionRange("2024-01-10", "2024-01-20")))
+    return rounded(compute_group_by(_catalog(spark, d), g, MONTH))
 
 
 @query
@@ -306,7 +306,7 @@ def join_derivations(spark, d):
 def chained_group_by(spark, d):
     parent = Join("parent", LEFT, [JoinPart(_live())])
     g = GroupBy("chained", [JoinSource(parent, Query({"user_id": None, "spent": "live_value_sum_1d"}, time_column="ts"))], ["user_id"], [Aggregation("spent", O.MAX, ("7d",)), Aggregation("spent", O.COUNT, ("7d",))])
-    return rounded(snapshot_events(_chained_rows(spark, d, g), ["user_id"], g.parts(), "2024-01-10", "2024-01-20"))
+    return rounded(snapshot_events(_chained_rows(spark, d, g), ["user_id"], g.parts(), MONTH.start, MONTH.end))
 
 
 def _chained_rows(spark, d, g):
@@ -320,7 +320,7 @@ def multi_source_union(spark, d):
     low = events(spark, d).where("event_type <> 'purchase'").withColumn("cents", F.round(F.col("value") * 100))
     sources = [EventSource("purchases", Query({"user_id": None, "amount": "round(value, 2)"}, time_column="ts")), EventSource("low", Query({"user_id": None, "amount": "cents / 100"}, time_column="ts"))]
     g = GroupBy("u", sources, ["user_id"], [Aggregation("amount", O.SUM, ("7d",)), Aggregation("amount", O.COUNT, ("7d",))])
-    return rounded(compute_group_by(_catalog(spark, d, low=low), g, PartitionRange("2024-01-10", "2024-01-20")), 4)
+    return rounded(compute_group_by(_catalog(spark, d, low=low), g, MONTH), 4)
 
 
 @query
@@ -376,7 +376,7 @@ def lambda_merge_live(spark, d):
 @query
 def stats_hourly(spark, d):
     s = stats.column_stats(events(spark, d), ["value", "event_type"])
-    return rounded(s.withColumn("value_variance", F.col("value_variance") + 1e-7), 4)
+    return rounded(s.withColumn("value_deviation", F.sqrt("value_variance")).drop("value_variance"), 4)
 
 
 @query

@@ -68,8 +68,8 @@ def compared(c: str, numeric: bool) -> list[str]:
     return out
 
 
-CDC = f"""base AS (SELECT o_orderkey, o_custkey, o_totalprice, epoch_us(o_orderdate) // 1000 AS ts FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-15'),
-t0 AS (SELECT epoch_us(TIMESTAMP '1996-06-15') // 1000 AS d0),
+CDC = f"""base AS (SELECT o_orderkey, o_custkey, o_totalprice, epoch_us(o_orderdate) // 1000 AS ts FROM orders WHERE o_orderdate < TIMESTAMP '2001-09-01'),
+t0 AS (SELECT epoch_us(TIMESTAMP '2001-09-01') // 1000 AS d0),
 log AS (
   SELECT o_custkey, ts, o_totalprice, -1 AS at, 1 AS sign FROM base
   UNION ALL SELECT o_custkey, ts, o_totalprice, d0 + (o_orderkey % 20) * {HOUR}, -1 FROM base, t0 WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0
@@ -86,9 +86,9 @@ SQL = {
     "pit_bucketed_by_event_type": f"WITH {E}, {Q} SELECT q.user_id, q.ts, e.event_type AS bucket, round(sum(e.value), 6) AS amount FROM q JOIN e ON q.user_id = e.user_id AND e.ts <= q.ts AND e.ts >= {tail(DAY)} GROUP BY 1, 2, 3 HAVING sum(e.value) IS NOT NULL",
     "pit_unique_count": pit([f"nullif(count(DISTINCT {when('e.event_type', m)}), 0) AS event_type_unique_count_{w}" for w, m in (("1d", DAY), ("7d", 7 * DAY))], 7 * DAY),
     "pit_histogram": f"WITH {E}, {Q} SELECT q.user_id, q.ts, e.event_type AS bucket, CAST(count(*) AS INTEGER) AS amount FROM q JOIN e ON q.user_id = e.user_id AND e.ts <= q.ts AND e.ts >= {tail(7 * DAY)} GROUP BY 1, 2, 3",
-    "pit_variance": pit(["round(var_pop(e.value) + 1e-7, 4) AS value_variance_7d"], 7 * DAY),
-    "snapshot_events_daily": f"""WITH {E}, {daily('user_id', {f'value_{o}{w}': s.format(in_days('value', n)) for o, s in (('sum', 'round(sum({}), 6)'), ('count', 'nullif(count({}), 0)'), ('max', 'round(max({}), 6)')) for w, n in (('_1d', 1), ('_7d', 7), ('', None))}, '2024-01-05', '2024-01-20')} SELECT * FROM snap WHERE value_count IS NOT NULL""",
-    "snapshot_events_bucketed": f"WITH {E}, {daily('user_id, event_type', {'amount': f'nullif(count({in_days('value', 3)}), 0)'}, '2024-01-05', '2024-01-20')} SELECT user_id, ds, event_type AS bucket, amount FROM snap WHERE amount IS NOT NULL",
+    "pit_variance": pit(["round(sqrt(var_pop(e.value)), 4) AS value_deviation_7d"], 7 * DAY),
+    "snapshot_events_daily": f"""WITH {E}, {daily('user_id', {f'value_{o}{w}': s.format(in_days('value', n)) for o, s in (('sum', 'round(sum({}), 6)'), ('count', 'nullif(count({}), 0)'), ('max', 'round(max({}), 6)')) for w, n in (('_1d', 1), ('_7d', 7), ('', None))}, '2024-01-01', '2024-01-31')} SELECT * FROM snap WHERE value_count IS NOT NULL""",
+    "snapshot_events_bucketed": f"WITH {E}, {daily('user_id, event_type', {'amount': f'nullif(count({in_days('value', 3)}), 0)'}, '2024-01-01', '2024-01-31')} SELECT user_id, ds, event_type AS bucket, amount FROM snap WHERE amount IS NOT NULL",
     "snapshot_entities_users": "SELECT user_id, ds, nullif(count(email_verified), 0) AS email_verified_count, max(email_verified) AS email_verified_max_1d, min(account_created_ds) AS account_created_ds_min FROM users WHERE user_id IS NOT NULL GROUP BY 1, 2",
     "entity_passthrough": "SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal, '2024-01-31' AS ds FROM customer",
     "gb_sum": gb("round(sum(value), 6)", "value_sum"),
@@ -98,7 +98,7 @@ SQL = {
     "gb_max": gb("max(event_type)", "event_type_max"),
     "gb_variance": gb("round(var_pop(value), 4)", "value_variance"),
     "gb_skew": f"{MOMENTS} SELECT user_id, round(CASE WHEN n >= 3 AND m2 > 0 THEN sqrt(n) * m3 / power(m2, 1.5) END, 4) AS value_skew FROM c",
-    "gb_kurtosis": f"{MOMENTS} SELECT user_id, round(CASE WHEN n >= 4 AND m2 > 0 THEN n * m4 / (m2 * m2) - 3 END, 3) AS value_kurtosis FROM c",
+    "gb_kurtosis": f"{MOMENTS} SELECT user_id, round(CASE WHEN n >= 4 AND m2 > 0 THEN n * m4 / (m2 * m2) - 3 END, 4) AS value_kurtosis FROM c",
     "gb_first": gb("arg_min(event_id, (ts, event_id))", "event_id_first"),
     "gb_last": gb("arg_max(event_id, (ts, event_id))", "event_id_last"),
     "gb_first_k": gb(text_list("event_id", "ts, event_id", 5), "event_id_first5"),
@@ -124,10 +124,10 @@ SQL = {
     "join_coalesced": "WITH o AS (SELECT o_custkey, max(CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END) AS note FROM orders GROUP BY 1) SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, o.note) AS note FROM customer LEFT JOIN o ON o_custkey = c_custkey",
     "join_small_left": "SELECT user_id, round(sum(value), 4) AS total FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id",
     "join_bootstrap": f"WITH {E}, {SHIFTED}, {PURCHASES} SELECT p.ts, p.event_id, p.user_id, p.ds, p.ts_ds, CASE WHEN p.event_id % 3 = 0 THEN p.event_id ELSE round(value_sum_1d, 6) END AS daily_value_sum_1d, CASE WHEN p.event_id % 3 = 0 THEN 0 ELSE round(value_sum_7d, 6) END AS daily_value_sum_7d, CASE WHEN p.event_id % 3 = 0 THEN 7 ELSE value_count_7d END AS daily_value_count_7d FROM p LEFT JOIN shifted s ON s.user_id = p.user_id AND s.ts_ds = p.ts_ds",
-    "derivations_wildcard": f"WITH {E}, {daily('user_id', {'s': f'sum({in_days('value', 7)})', 'c': f'nullif(count({in_days('value', 7)}), 0)', 'm': f'max({in_days('value', 7)})'}, '2024-01-10', '2024-01-20')} SELECT user_id, ds, round(s, 6) AS value_sum_7d, c AS value_count_7d, round(s / c, 6) AS per_event, round(m, 6) AS peak FROM snap WHERE c IS NOT NULL",
+    "derivations_wildcard": f"WITH {E}, {daily('user_id', {'s': f'sum({in_days('value', 7)})', 'c': f'nullif(count({in_days('value', 7)}), 0)', 'm': f'max({in_days('value', 7)})'}, '2024-01-01', '2024-01-31')} SELECT user_id, ds, round(s, 6) AS value_sum_7d, c AS value_count_7d, round(s / c, 6) AS per_event, round(m, 6) AS peak FROM snap WHERE c IS NOT NULL",
     "join_derivations": f"WITH {E}, {SHIFTED}, {PURCHASES} SELECT p.ts, p.event_id, p.user_id, p.ds, p.ts_ds, round(value_sum_1d, 6) AS daily_value_sum_1d, round(value_sum_7d, 6) AS daily_value_sum_7d, value_count_7d AS daily_value_count_7d, round(value_sum_7d / value_count_7d, 6) AS mean_7d FROM p LEFT JOIN shifted s ON s.user_id = p.user_id AND s.ts_ds = p.ts_ds",
-    "chained_group_by": f"WITH {E}, {Q}, {PURCHASES}, {LIVE}, j AS (SELECT p.user_id, p.day, live_value_sum_1d AS spent FROM p LEFT JOIN live s ON s.user_id = p.user_id AND s.ts = p.ts), {daily('user_id', {'m': f'max({in_days('spent', 7)})', 'c': f'nullif(count({in_days('spent', 7)}), 0)'}, '2024-01-10', '2024-01-20', 'j')} SELECT user_id, ds, round(m, 6) AS spent_max_7d, c AS spent_count_7d FROM snap WHERE c IS NOT NULL",
-    "multi_source_union": f"WITH {E}, x AS (SELECT user_id, day, round(value, 2) AS amount FROM e), {daily('user_id', {'s': f'sum({in_days('amount', 7)})', 'c': f'nullif(count({in_days('amount', 7)}), 0)'}, '2024-01-10', '2024-01-20', 'x')} SELECT user_id, ds, round(s, 4) AS amount_sum_7d, c AS amount_count_7d FROM snap WHERE c IS NOT NULL",
+    "chained_group_by": f"WITH {E}, {Q}, {PURCHASES}, {LIVE}, j AS (SELECT p.user_id, p.day, live_value_sum_1d AS spent FROM p LEFT JOIN live s ON s.user_id = p.user_id AND s.ts = p.ts), {daily('user_id', {'m': f'max({in_days('spent', 7)})', 'c': f'nullif(count({in_days('spent', 7)}), 0)'}, '2024-01-01', '2024-01-31', 'j')} SELECT user_id, ds, round(m, 6) AS spent_max_7d, c AS spent_count_7d FROM snap WHERE c IS NOT NULL",
+    "multi_source_union": f"WITH {E}, x AS (SELECT user_id, day, round(value, 2) AS amount FROM e), {daily('user_id', {'s': f'sum({in_days('amount', 7)})', 'c': f'nullif(count({in_days('amount', 7)}), 0)'}, '2024-01-01', '2024-01-31', 'x')} SELECT user_id, ds, round(s, 4) AS amount_sum_7d, c AS amount_count_7d FROM snap WHERE c IS NOT NULL",
     "cumulative_latest": "SELECT user_id, '2024-03-31' AS ds, nullif(count(email_verified), 0) AS email_verified_count, max(email_verified) AS email_verified_max FROM users WHERE user_id IS NOT NULL AND ds = (SELECT max(ds) FROM users) GROUP BY user_id HAVING count(email_verified) > 0",
     "mutation_aggregates": f"""WITH {CDC} SELECT a.o_custkey, a.ts, round(sum(sign * o_totalprice) / nullif(sum(sign), 0), 6) AS o_totalprice_average, round(sum(sign * o_totalprice), 6) AS o_totalprice_sum, CAST(sum(sign) AS BIGINT) AS o_totalprice_count,
         round(max(CASE WHEN sign > 0 THEN o_totalprice END), 6) AS o_totalprice_max, CAST(sum(CASE WHEN l.ts >= ((a.ts - {90 * DAY}) // {DAY}) * {DAY} THEN sign END) AS BIGINT) AS o_totalprice_count_90d
@@ -138,7 +138,7 @@ SQL = {
     "lambda_merge_live": f"""WITH {E}, q AS (SELECT DISTINCT user_id, ts FROM e WHERE event_type = 'purchase' AND ts >= 1705708800000)
         SELECT q.user_id, q.ts, round(sum({when('e.value', DAY)}), 6) AS value_sum_1d, round(sum({when('e.value', 7 * DAY)}), 6) AS value_sum_7d, round(sum(e.value), 6) AS value_sum, nullif(count({when('e.value', 7 * DAY)}), 0) AS value_count_7d, round(arg_max(e.value, (e.ts, e.value)), 6) AS value_last
         FROM q LEFT JOIN e ON e.user_id = q.user_id AND e.ts < q.ts GROUP BY 1, 2""",
-    "stats_hourly": f"WITH {E} SELECT (ts // {HOUR}) * {HOUR} AS bucket, count(*) AS total_count, {count_if('value IS NULL')} AS value_null_sum, {count_if('value = 0')} AS value_zero_sum, round(min(value), 4) AS value_min, round(max(value), 4) AS value_max, round(avg(value), 4) AS value_average, round(var_pop(value) + 1e-7, 4) AS value_variance, {count_if('event_type IS NULL')} AS event_type_null_sum FROM e GROUP BY 1",
+    "stats_hourly": f"WITH {E} SELECT (ts // {HOUR}) * {HOUR} AS bucket, count(*) AS total_count, {count_if('value IS NULL')} AS value_null_sum, {count_if('value = 0')} AS value_zero_sum, round(min(value), 4) AS value_min, round(max(value), 4) AS value_max, round(avg(value), 4) AS value_average, round(sqrt(var_pop(value)), 4) AS value_deviation, {count_if('event_type IS NULL')} AS event_type_null_sum FROM e GROUP BY 1",
     "stats_merged": f"WITH {E} SELECT count(*) AS total_count, {count_if('value IS NULL')} AS value_null_sum, {count_if('value = 0')} AS value_zero_sum, round(min(value), 3) AS value_min, round(max(value), 3) AS value_max, round(avg(value), 3) AS value_average, round(var_pop(value), 3) AS value_variance, {count_if('event_type IS NULL')} AS event_type_null_sum FROM e",
     "stats_null_rates": f"SELECT (ts // {DAY}) * {DAY} AS bucket, " + ", ".join(f"round((count(*) - count({c})) / count(*), 6) AS {c}_null_rate" for c in ("user_id", "item_id", "time_spent_ms")) + " FROM item_views WHERE ts IS NOT NULL GROUP BY 1",
     "enhanced_stats_low_card": f"WITH {E}, c AS (SELECT (ts // {DAY}) * {DAY} AS bucket, event_type, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY 1, 2) SELECT bucket, event_type, n, CAST(sum(n) OVER (PARTITION BY bucket) AS BIGINT) AS total_count, count(*) OVER (PARTITION BY bucket) AS event_type_unique_count FROM c",
@@ -150,6 +150,10 @@ SQL = {
     "side_by_side_diff": f"WITH {E}, {SHAKEN} SELECT coalesce(l.event_id, r.event_id) AS event_id, round(l.value, 6) AS a_value, round(r.value, 6) AS b_value, l.event_type AS a_event_type, r.event_type AS b_event_type FROM e l FULL JOIN s r ON l.event_id = r.event_id WHERE r.event_id IS NULL OR l.event_type IS DISTINCT FROM r.event_type OR NOT coalesce(abs(l.value - r.value) <= 1e-5, l.value IS NULL AND r.value IS NULL)",
     "skew_keys": "SELECT user_id, count(*) AS rows FROM checkouts WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 0.02 * (SELECT count(user_id) FROM checkouts)",
     "timestamp_checks": f"SELECT count(*) AS rows, {count_if('ts IS NULL')} AS null_ts, {count_if('ts < 31536000000 OR ts > 4102473599999')} AS bad_ts FROM checkouts",
+    "edit_distances": f"""WITH {E}, per AS (SELECT user_id, day, ds, list(event_type ORDER BY ts, event_type) AS x FROM e GROUP BY 1, 2, 3),
+        pair AS (SELECT a.user_id, a.ds, a.x, b.x AS y FROM per a JOIN per b ON a.user_id = b.user_id AND b.day = a.day + 1),
+        runs AS (SELECT user_id, ds, x, y, list_reduce(x, lambda p, v: list_transform(range(1, len(y) + 2), lambda j: greatest(p[j], coalesce(list_max(list_transform(range(1, j), lambda i: CASE WHEN y[i] = v THEN p[i] + 1 ELSE 0 END)), 0))), list_transform(range(0, len(y) + 1), lambda i: i * 0)) AS r FROM pair)
+        SELECT user_id, ds, len(x) - r[len(y) + 1] AS insert, len(y) - r[len(y) + 1] AS delete FROM runs""",
     "scalar_functions": f"""WITH {E} SELECT event_id, round(value + 6, 6) AS added, event_id % 7 AS modulo, round(abs(10 - value), 6) AS distance, CAST(trunc(value) AS INTEGER) AS whole, concat_ws('-', event_type, CAST(user_id AS VARCHAR)) AS joined, ascii(event_type) AS first_code,
         regexp_extract(props, '([0-9]+)', 1) AS number_text, CAST(length(props) AS INTEGER) AS size, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, coalesce(nullif(event_type, 'view'), 'none') AS kind, CASE WHEN value < 10 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS grade,
         event_type IS NULL AS unknown, json_extract_string(props, '$.k') AS k, event_type AS same, CAST(dayofweek(make_timestamp(ts * 1000)) + 1 AS INTEGER) AS weekday, CAST(day(make_timestamp(ts * 1000)) AS INTEGER) AS day_of_month,

@@ -140,12 +140,7 @@ class Catalog:
             spark.sql(f"ALTER TABLE {name} ADD COLUMNS (" + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added) + ")")
         final = spark.table(name).schema
         row = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in final.fields])
-        old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            row.write.insertInto(name, overwrite=True)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        row.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
 
     def archive_if_changed(self, name: str, semantic_hash: str) -> str | None:
         """Renames a table whose `semantic_hash` property differs; returns the archive's name. New tables carry the hash."""

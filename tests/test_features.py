@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from millrace.plans import planner, staging
 from millrace.plans.derive import coalesced_join, derive, without_skew
 from millrace.plans.join import compute_join
 from millrace.plans.mutations import temporal_entities
-from millrace.plans.shapes import aggregate, parts_of
+from millrace.plans.shapes import aggregate, parts_of, shapes
 from millrace.plans.snapshot import snapshot_entities, snapshot_events
 from millrace.plans.temporal import temporal_by_pairs, temporal_events
 from millrace.quality import stats
@@ -278,7 +279,27 @@ def test_compare_lists(spark):
     a = spark.createDataFrame([(1, ["x", "y"]), (2, None)], "k int, l array<string>")
     b = spark.createDataFrame([(1, ["y", "z", "z"]), (2, ["q"])], "k int, l array<string>")
     r = stats.compare_metrics(a, b, ["k"], ["l"]).head()
-    assert (r.l_inserts, r.l_deletes, r.l_mismatch_length, r.l_left_null) == (3, 1, 1, 1)
+    assert (r.l_inserts, r.l_deletes, r.l_mismatch_length, r.l_left_null) == (1, 3, 1, 1)
+
+
+def test_edits_make_the_right_like_the_left(spark):
+    df = spark.createDataFrame([([], ["a", "b"]), (["a", "b", "c"], None), (None, None), (["a", "b"], ["b", "a"])], "x array<string>, y array<string>")
+    got = df.select(stats.edit_distance(spark, F.col("x"), F.col("y")).alias("e")).select("e.insert", "e.delete")
+    assert [tuple(r) for r in got.collect()] == [(0, 2), (3, 0), (0, 0), (1, 1)]
+
+
+def test_moments_survive_large_means(spark):
+    data = [(g, t, 1e9 + (k * 37 % 101) * 0.01 + g) for g in range(2) for t in range(3) for k in range(40)]
+    df = spark.createDataFrame(data, "g int, t int, v double")
+    parts = parts_of([Aggregation("v", o) for o in (O.VARIANCE, O.SKEW, O.KURTOSIS)])
+    s = shapes(df, ["g", "t"], parts, "t")[0]
+    tiles = s.tiles(s.frame, ["g", "t"])
+    got = {r.g: r for r in s.final(s.merge_tiles(tiles, ["g"], lambda p: None), ["g"]).collect()}
+    for g in range(2):
+        x = np.array([v - 1e9 for h, _, v in data if h == g])
+        y = x - x.mean()
+        m2, m3, m4 = (y**2).mean(), (y**3).mean(), (y**4).mean()
+        assert (got[g].v_variance, got[g].v_skew, got[g].v_kurtosis) == pytest.approx((m2, m3 / m2**1.5, m4 / m2**2 - 3), rel=1e-5, abs=1e-6)
 
 
 def test_predict_in_batches(spark):
