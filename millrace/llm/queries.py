@@ -90,11 +90,17 @@ QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p8_checked, p9_found, p9
 #: Words of a text as the leak definition reads them.
 _WORDS = r"regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0300}-\x{036F}]', '', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 
+#: Where spans of items begin in documents: (doc_id, item_id, n, dp, ip), each n words long.
+_HITS = f"""i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        spans AS (SELECT item_id, least(12, len(w)) AS n, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS ip, unnest(list_transform(range(1, len(w) - least(12, len(w)) + 2), lambda k: array_to_string(w[k:k + least(12, len(w)) - 1], ' '))) AS span FROM i WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT n FROM spans),
+        grams AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS dp, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS span FROM d, lens WHERE len(w) >= n),
+        hits AS (SELECT DISTINCT doc_id, item_id, n, dp, ip FROM grams JOIN spans USING (n, span))"""
+
 SQL: dict[str, str] = {
     "p8_checked": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS incomplete, 0 AS cut_short, true AS near_full FROM containers",
-    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-        spans AS (SELECT item_id, least(12, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(12, len(w)) + 2), lambda k: array_to_string(w[k:k + least(12, len(w)) - 1], ' '))) AS span FROM i WHERE len(w) > 0),
-        lens AS (SELECT DISTINCT n FROM spans),
-        grams AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS span FROM d, lens WHERE len(w) >= n)
-        SELECT DISTINCT doc_id, item_id FROM grams JOIN spans USING (n, span)""",
+    "p9_found": f"WITH {_HITS} SELECT DISTINCT doc_id, item_id FROM hits",
+    "p9_items": f"""WITH {_HITS}, runs AS (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY dp) AS run FROM hits),
+        lengths AS (SELECT doc_id, item_id, CAST(count(*) + any_value(n) - 1 AS INTEGER) AS words FROM runs GROUP BY doc_id, item_id, dp - ip, run)
+        SELECT item_id, count(DISTINCT doc_id) AS documents, max(words) AS longest_words FROM lengths GROUP BY 1""",
 }
