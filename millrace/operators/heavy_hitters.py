@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from millrace import runtime
 
 BUCKETS, LANES, CELLS, RATIO = 1024, 8, 1 << 16, 8
+#: Sketches per core of the session at most: beyond that a task fills one sketch from several splits of the input.
+SKETCHES_PER_CORE = 8
 #: Rows gathered before the sketch takes them, so that copies are counted once per chunk.
 CHUNK = 1 << 18
 
@@ -136,11 +138,13 @@ def sketch(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame,
     """Merged sketch of the columns in one pass over df: (lanes, counters, totals).
 
     lanes: (col, item, cell, low, high), bounds of the item's count; counters: (col, cell, n); totals: (col, rows), the
-    non-null values. col is the position in `columns`. A partition holds BUCKETS x LANES lanes and CELLS counters per
-    column however many rows or values it has. Nulls are not counted. An empty table has totals of 0 or no row.
+    non-null values. col is the position in `columns`. A task holds BUCKETS x LANES lanes and CELLS counters per
+    column however many rows or values it has, and there are at most SKETCHES_PER_CORE tasks a core: what is merged grows with
+    the cluster, not with the table. Nulls are not counted. An empty table has totals of 0 or no row.
     """
     pairs = _items(df, columns)
     flat = df.select(*[x.alias(f"_{k}{j}") for k, pair in enumerate(pairs) for j, x in (("i", pair[0]), ("h", pair[1]))])
+    flat = flat.coalesce(SKETCHES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     parts = runtime.persist_table(runtime.map_arrow(flat, _fill(len(pairs)), SKETCH), "sketch-parts")
     lanes = parts.where("bucket >= 0").groupBy("col", "bucket", "item", "cell").agg(F.sum("n").alias("n"))
     strongest = Window.partitionBy("col", "bucket").orderBy(F.desc("n"), "item")
