@@ -132,6 +132,11 @@ SQL = {
           UNION ALL SELECT user_id, 'recency', type, row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, type) FROM r
           UNION ALL SELECT user_id, 'total', type, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, type) FROM r)
         SELECT user_id, feature, type AS return_type FROM ranked WHERE rn = 1""",
+    "p6_features": f"""WITH {RETURNS}, k AS (SELECT DISTINCT type FROM returns WHERE type IS NOT NULL),
+        r AS (SELECT user_id, type, count(*) AS n, sum(coalesce(refund_amt, 0)) AS total, max(millis) AS latest FROM newest WHERE user_id >= 10 AND type IS NOT NULL AND millis IS NOT NULL GROUP BY 1, 2),
+        f AS (SELECT u.user_id, regexp_replace(k.type, '[^a-zA-Z0-9_]+', '_', 'g') AS name, coalesce(r.n, 0) AS n, coalesce(r.total, 0) AS total, r.latest FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN k LEFT JOIN r ON r.user_id = u.user_id AND r.type = k.type),
+        x AS (SELECT user_id, 'count_' || name AS f, CAST(n AS BIGINT) AS v FROM f UNION ALL SELECT user_id, 'total_' || name, CAST(total AS BIGINT) FROM f UNION ALL SELECT user_id, 'latest_' || name, latest FROM f)
+        SELECT * FROM (PIVOT x ON f USING first(v) GROUP BY user_id)""",
     "p7_found": f"""{P7} SELECT key AS return_id, coalesce({DAY.format("load_day")}, 'none') AS known_ds FROM best WHERE day IS NOT NULL AND known IS DISTINCT FROM newest""",
     "p7_known": f"""{P7} SELECT key AS return_id, {DAY.format("load_day")} AS known_ds, known AS email_verified FROM best WHERE day IS NOT NULL""",
     "p7_returns": f"""{P7} SELECT key AS return_id, {DAY.format("load_day")} AS known_ds, known AS email_verified FROM best""",

@@ -140,7 +140,11 @@ class Catalog:
             spark.sql(f"ALTER TABLE {name} ADD COLUMNS (" + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added) + ")")
         final = spark.table(name).schema
         row = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in final.fields])
-        row.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+        # By path, where the mode is an option of this write alone: by name it would be a setting of the whole session.
+        about = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        row.write.format(about["Provider"]).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).save(about["Location"])
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        spark.catalog.refreshTable(name)
 
     def archive_if_changed(self, name: str, semantic_hash: str) -> str | None:
         """Renames a table whose `semantic_hash` property differs; returns the archive's name. New tables carry the hash."""
