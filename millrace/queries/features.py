@@ -511,7 +511,7 @@ def _run_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str) ->
 def stream_tiles(spark, d):
     parts = parts_of([Aggregation("value", o, ("1d",)) for o in (O.SUM, O.COUNT, O.MAX)])
     s = _stream(spark, d)
-    rows = _run_stream(spark, tiles.tiled(s, ["user_id"], parts, lateness="10000 days"), "stream-tiles", "update")
+    rows = _run_stream(spark, tiles.tiled(s, ["user_id"], parts), "stream-tiles", "update")
     last = stats.running_rank(rows, ["user_id", "tile_start"], [F.desc("_batch")], 1)
     return rounded(tiles.finished(last, ["user_id"], parts, {f.name: f.dataType for f in s.schema.fields}))
 
@@ -522,7 +522,7 @@ def stream_cdc_tiles(spark, d):
     s = _stream(spark, d)
     before = F.when(F.col("event_id") % 5 == 0, F.struct("user_id", "value"))
     changes = tiles.before_and_after(s.select("event_time", before.alias("before"), F.struct("user_id", F.when(F.col("event_id") % 5 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value")).alias("after")), "before", "after")
-    rows = _run_stream(spark, tiles.tiled(changes, ["user_id"], parts, sign="sign", lateness="10000 days"), "stream-cdc", "update")
+    rows = _run_stream(spark, tiles.tiled(changes, ["user_id"], parts, sign="sign"), "stream-cdc", "update")
     last = stats.running_rank(rows, ["user_id", "tile_start"], [F.desc("_batch")], 1)
     return rounded(last.select("user_id", "tile_start", F.col("value_sum__s").alias("value_sum"), F.col("value_count__n").alias("value_count")))
 
@@ -539,11 +539,37 @@ def stream_chained_tiles(spark, d):
     features = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     parts = parts_of([Aggregation("value", O.SUM, ("14d",)), Aggregation("value", O.COUNT, ("14d",))])
     s = tiles.enriched(_stream(spark, d).where("event_type = 'purchase'"), features, ["user_id"])
-    rows = _run_stream(spark, tiles.tiled(s, ["c_mktsegment"], parts, lateness="10000 days"), "stream-chained", "update")
+    rows = _run_stream(spark, tiles.tiled(s, ["c_mktsegment"], parts), "stream-chained", "update")
     last = stats.running_rank(rows, ["c_mktsegment", "tile_start"], [F.desc("_batch")], 1)
     return rounded(tiles.finished(last, ["c_mktsegment"], parts, {f.name: f.dataType for f in s.schema.fields}))
 
 
+def _late_stream(spark: SparkSession, d: str) -> tiles.TileFolder:
+    """events arriving in three runs of one stream: before and after the middle of the month without every 50th event, and
+    then those, most of which are too late for their hour."""
+    path, e = runtime.own_path(spark, "late"), read_table(spark, d, "events")
+    parts = parts_of([Aggregation("value", o, ("1d",)) for o in (O.SUM, O.COUNT)])
+    folder = tiles.TileFolder(spark, f"{path}/out", ["user_id"], parts)
+    middle = F.col("ts") < F.lit("2024-01-15").cast(e.schema["ts"].dataType)
+    for arriving in (e.where("event_id % 50 <> 0").where(middle), e.where("event_id % 50 <> 0").where(~middle), e.where("event_id % 50 = 0")):
+        arriving.write.mode("append").parquet(f"{path}/in")
+        folder.run(spark.readStream.schema(e.schema).parquet(f"{path}/in").withColumn("event_time", F.col("ts").cast("timestamp")), f"{path}/checkpoint")
+    return folder
+
+
+@query
+def stream_late_tiles(spark, d):
+    """Tiles without what came too late for them, and whether they still take rows."""
+    kinds = {f.name: f.dataType for f in read_table(spark, d, "events").schema.fields}
+    return rounded(_late_stream(spark, d).tiles(kinds))
+
+
+@query
+def stream_late_rows(spark, d):
+    """The rows that came too late."""
+    return _late_stream(spark, d).late().select("event_id", "user_id")
+
+
 @query
 def model_transform_batch(spark, d):
     m = ModelTransforms({"x": "value / 10", "n": "length(event_type)"}, {"score": "raw * 2", "high": "cast(raw > 5 as int)"}, ["event_id"], batch_size=100)

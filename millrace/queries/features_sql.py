@@ -76,6 +76,10 @@ log AS (
   UNION ALL SELECT o_custkey, ts, o_totalprice + 100, d0 + (o_orderkey % 20) * {HOUR}, 1 FROM base, t0 WHERE o_orderkey % 7 = 0),
 asked AS (SELECT DISTINCT o_custkey, d0 + unnest([5, 19]) * {HOUR} AS ts FROM base, t0)"""
 
+# Rows arrive before the newest time is known, but for every 50th event: those are late if their hour had ended by then.
+LATE = f"""c AS (SELECT max(ts) FILTER (WHERE event_id % 50 <> 0) - 300000 AS before, max(ts) - 300000 AS closed FROM e),
+x AS (SELECT e.*, (ts // {HOUR}) * {HOUR} AS start, closed, event_id % 50 = 0 AND (ts // {HOUR}) * {HOUR} + {HOUR} <= before AS late FROM e, c)"""
+
 SQL = {
     "pit_multi_window": pit([c for w, m in (("1h", HOUR), ("1d", DAY), ("7d", 7 * DAY)) for c in numbers(w, m)], 7 * DAY),
     "tile_join_14d": pit([c for w, m in (("30m", HOUR // 2), ("14d", 14 * DAY)) for c in numbers(w, m, ("sum", "count"))], 14 * DAY),
@@ -164,5 +168,7 @@ SQL = {
     "stream_cdc_tiles": f"WITH {E} SELECT user_id, (ts // {HOUR}) * {HOUR} AS tile_start, round(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE value END), 6) AS value_sum, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS value_count FROM e GROUP BY 1, 2",
     "stream_enriched": "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase'",
     "stream_chained_tiles": f"WITH {E} SELECT c_mktsegment, (ts // {DAY}) * {DAY} AS tile_start, round(sum(value), 6) AS value_sum, nullif(count(value), 0) AS value_count FROM e LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase' GROUP BY 1, 2",
+    "stream_late_tiles": f"WITH {E}, {LATE} SELECT user_id, start AS tile_start, round(sum(value), 6) AS value_sum, nullif(count(value), 0) AS value_count, start + {HOUR} <= any_value(closed) AS complete FROM x WHERE NOT late GROUP BY 1, 2",
+    "stream_late_rows": f"WITH {E}, {LATE} SELECT event_id, user_id FROM x WHERE late",
     "model_transform_batch": "SELECT event_id, round((value / 10 * 0.5 + length(event_type)) * 2, 6) AS score, CAST(value / 10 * 0.5 + length(event_type) > 5 AS INTEGER) AS high FROM events",
 }

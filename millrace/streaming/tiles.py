@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.aggregates import Partials, op_for, partial_columns
 from millrace.plans.mutations import _SIGNED
 from millrace.serving.kv import KVStore, encoded
+from millrace.sources.versions import VersionedFolder
 from millrace.spec import AggregationPart, Operation
 
 #: How far events may come out of order before the tile they belong to is closed.
@@ -83,6 +84,49 @@ def to_store(stream: DataFrame, store: KVStore, dataset: str, keys: list[str], v
     return to_batches(stream, lambda df, _: store.bulk_put(dataset, encoded(df, keys, values, millis)), checkpoint, mode)
 
 
+class TileFolder:
+    """Tiles of a stream with what came too late for them, in a folder: `tiles/batch=<k>`, `late/batch=<k>` and `seen/<k>`.
+
+    Each micro-batch adds its partials; a row is late if its tile had ended before the newest event time of the batches
+    before, less the lateness allowed, and is put aside instead of dropped. `seen/<k>` is that newest time after batch k. All
+    three are named by the batch, so a batch that is repeated after a failure replaces itself.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], parts: Sequence[AggregationPart], hop_ms: int | None = None, lateness_ms: int = 300_000):
+        self.spark, self.root, self.keys, self.parts = spark, root.rstrip("/"), list(keys), list(parts)
+        self.hop, self.lateness, self._folder = hop_ms or tile_hop(parts), lateness_ms, VersionedFolder(spark, root)
+
+    def _seen(self, batch: int) -> int | None:
+        found = self._folder.read(f"seen/{batch}") if batch >= 0 else None
+        return int(found) if found else None
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """For foreachBatch: rows have keys, event_time and the inputs."""
+        before = self._seen(batch - 1)
+        closed = None if before is None else before - self.lateness
+        at = F.unix_millis("event_time")
+        late = F.lit(False) if closed is None else F.coalesce(at - F.pmod(at, F.lit(self.hop)) + self.hop <= closed, F.lit(False))
+        rows.where(late).write.mode("overwrite").parquet(f"{self.root}/late/batch={batch}")
+        tiled(rows.where(~late), self.keys, self.parts, self.hop).write.mode("overwrite").parquet(f"{self.root}/tiles/batch={batch}")
+        newest = rows.agg(F.max(at)).first()[0]
+        newest = max(x for x in (before, newest, -(1 << 62)) if x is not None)
+        self._folder.write(f"seen/{batch}", str(newest))
+        self._folder.publish(batch + 1)
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        to_batches(stream, self.write, checkpoint, "append").awaitTermination()
+
+    def late(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/late").drop("batch")
+
+    def tiles(self, kinds: dict) -> DataFrame:
+        """(keys, tile_start, values, complete): complete tiles take no more rows."""
+        parts = self.spark.read.parquet(f"{self.root}/tiles").drop("batch")
+        closed = (self._seen(self._folder.version() - 1) or 0) - self.lateness
+        merged = merged_tiles(parts, [*self.keys, "tile_start", "tile_end"], self.parts, kinds)
+        return merged.withColumn("complete", F.col("tile_end") <= closed).drop("tile_end")
+
+
 def enriched(stream: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each event of a stream with the features of its keys from a table: a left join, so no event is lost."""
     return stream.join(features, list(keys), "left")
