@@ -67,6 +67,12 @@ class Shape:
         cols = [c for b, p in self.bases().items() for c in partial_columns(b, self.op(p).partial(self._input(p), F.col(self.ts)))]
         return frame.groupBy(*by, *self.extra).agg(*cols)
 
+    def coarser(self, tiles: DataFrame, keys: Sequence[str], hop: int) -> DataFrame:
+        """Tiles of `hop` milliseconds from finer ones with `_start`."""
+        cols = [c for b, p in self.bases().items() for c in partial_columns(b, self.op(p).merge(self.stored(p, b)))]
+        start = F.col("_start") - F.pmod(F.col("_start"), F.lit(hop))
+        return tiles.withColumn("_start", start).groupBy(*keys, "_start", *self.extra).agg(*cols)
+
     def stored(self, part: AggregationPart, name: str, where: Column | None = None) -> dict[str, Column]:
         names = self.op(part).partial(F.lit(None), F.lit(None))
         return {n: F.col(f"`{name}__{n}`") if where is None else F.when(where, F.col(f"`{name}__{n}`")) for n in names}

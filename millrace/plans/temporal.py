@@ -1,9 +1,10 @@
 """Point-in-time aggregates: for each query (keys, ts), aggregates of the events in a sawtooth window up to ts.
 
 A window W ends at ts itself (inclusive) and begins at floor(ts - W, hop), where hop is the grid of its length. Events are
-summed up in tiles of a day, an hour and five minutes. Queries of one key in one five-minute bin need the same tiles, so
-tiles are merged once per (key, bin), by range frames over a key's tiles in order; what lies between the bin's start and ts is a running aggregate inside the bin. A hot
-key costs as many tile rows as it has bins, not the product of its queries and events.
+summed up in tiles of five minutes once, and those in tiles of an hour and a day. Tiles and queries of a key lie in one sorted
+run, in which range frames merge each query's tiles; queries at the same place of a grid share a frame. A run is cut into
+blocks as long as the longest window, with each tile in its own block and the next, so a hot key is spread over as many tasks
+as it has blocks. What lies between the start of the query's five minutes and ts is a running aggregate inside them.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ def temporal_events(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     q = queries.select(*keys, ts).dropna().distinct().withColumn("_bin", floor_to(F.col(ts), BIN))
     bins = q.select(*keys, "_bin").distinct()
     rows = events.where(F.col(ts).isNotNull()).dropna(subset=keys)
-    results = []
-    for s in shapes(rows, keys, parts, ts):
-        results.append(s.final(s.merge(query_partials(s, q, bins, keys, ts), [*keys, ts]), [*keys, ts]))
+    found = shapes(rows, keys, parts, ts)
+    results = [s.final(s.merge(query_partials(s, q, bins, keys, ts), [*keys, ts]), [*keys, ts]) for s in found]
+    if len(found) == 1 and found[0].mode == "plain":  # its heads have every query
+        return results[0].select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
     return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
 
 
@@ -88,34 +90,51 @@ def _takes(part: AggregationPart, hop: int, b: Column) -> tuple[Column, Column]
 def _tiled(s: Shape, q: DataFrame, bins: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Partials of the tiles between each part's tail and the bin, for every query."""
     b = F.col("_bin")
-    pieces = []
+    fine = s.tiles(s.frame.withColumn("_start", floor_to(F.col(ts), BIN)), [*keys, "_start"])
+    tiles = {BIN: fine, HOUR: s.coarser(fine, keys, HOUR)}
+    tiles[DAY] = s.coarser(tiles[HOUR], keys, DAY)
+    by_query, by_bin = [], []
     for hop in (DAY, HOUR, BIN):
         parts = [p for p in s.parts if _takes(p, hop, b)]
         if parts:
-            tiles = s.tiles(s.frame.withColumn("_start", floor_to(F.col(ts), hop)), [*keys, "_start"])
             aligned = all(p.window.tail_hop() > hop or p.window.millis % hop == 0 for p in parts)
-            pieces.append(_framed(s, parts, tiles, bins, keys, hop) if s.mode == "plain" and aligned else _listed(s, parts, tiles, bins, keys, hop))
+            if s.mode == "plain" and aligned:
+                by_query.append(framed(s, parts, tiles[hop], q, keys, ts, hop))
+            else:
+                by_bin.append(_listed(s, parts, tiles[hop], bins, keys, hop))
     if any(p.window.millis is None for p in s.parts):
-        pieces.append(_before_today(s, bins, keys, ts))
-    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), pieces)
-    return q.join(both, [*keys, "_bin"]).drop("_bin")
-
-
-def _framed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: DataFrame, keys: list[str], hop: int) -> DataFrame:
-    """Tiles and the instants that are asked about in one sorted run per key: a range frame of the window's length merges the
-    tiles of its own grid, a frame from the start of the current day or hour the finer ones. Nothing is repeated per query."""
-    marks = bins.withColumn("_start", floor_to(F.col("_bin"), hop))
-    seen = tiles.withColumn("_q", F.lit(False)).unionByName(marks.select(*keys, "_start").distinct().withColumn("_q", F.lit(True)), allowMissingColumns=True)
-    within = lambda p: (
-        Window.partitionBy(*keys).orderBy("_start").rangeBetween(-p.window.millis, -1)
-        if p.window.tail_hop() == hop
-        else Window.partitionBy(*keys, "_up").orderBy("_start").rangeBetween(Window.unboundedPreceding, -1)
-    )
-    if hop in UP:
-        seen = seen.withColumn("_up", floor_to(F.col("_start"), UP[hop]))
-    cols = [c.alias(f"{p.name}__{n}") for p in parts for n, c in s.op(p).merge(s.stored(p, p.base), lambda c, p=p: c.over(within(p))).items()]
-    merged = seen.select(*keys, "_start", "_q", *cols).where("_q").drop("_q")
-    return marks.join(merged, [*keys, "_start"]).drop("_start")
+        if s.extra:
+            by_bin.append(_before_today(s, tiles[DAY], bins, keys))
+        else:
+            by_query.append(framed(s, [p for p in s.parts if p.window.millis is None], tiles[DAY], q, keys, ts, DAY))
+    if by_bin:
+        both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), by_bin)
+        by_query.append(q.join(both, [*keys, "_bin"]).drop("_bin"))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), by_query)
+
+
+def framed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, q: DataFrame, keys: list[str], ts: str, hop: int) -> DataFrame:
+    """For each query the tiles of one size that its windows take, in one sorted run of tiles and queries: a range frame of
+    the window's length merges the tiles of its own grid (all before for no length), a frame from the start of the current
+    day or hour the finer ones. q has `_bin`."""
+    own = [p.window.millis for p in parts if p.window.tail_hop() == hop]
+    up = UP.get(hop, hop)
+    block = None if None in own else -(-max([up, *own]) // up) * up
+    place = (lambda c: F.lit(0).cast("long")) if block is None else lambda c: F.floor(c / block).cast("long")
+    home = place(F.col("_start"))
+    blocks = F.explode(F.array(home, home + 1)) if own and block is not None else home
+    marks = q.select(*keys, ts, floor_to(F.col("_bin"), hop).alias("_start")).withColumns({"_q": F.lit(True), "_block": home})
+    seen = tiles.withColumn("_block", blocks).withColumn("_q", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn("_up", floor_to(F.col("_start"), up))
+    seen = seen.repartition(*keys, "_block")
+
+    def frame(p: AggregationPart):
+        if p.window.tail_hop() != hop:
+            return Window.partitionBy(*keys, "_block", "_up").orderBy("_start").rangeBetween(Window.unboundedPreceding, -1)
+        run = Window.partitionBy(*keys, "_block").orderBy("_start")
+        return run.rangeBetween(Window.unboundedPreceding if p.window.millis is None else -p.window.millis, -1)
+
+    cols = [c.alias(f"{p.name}__{n}") for p in parts for n, c in s.op(p).merge(s.stored(p, p.base), lambda c, p=p: c.over(frame(p))).items()]
+    return seen.select(*keys, ts, "_q", *cols).where("_q").drop("_q")
 
 
 def _listed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: DataFrame, keys: list[str], hop: int) -> DataFrame:
@@ -129,21 +148,19 @@ def _listed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: Data
     return s.merge_tiles(wanted.join(tiles, [*keys, "_start"]), [*keys, "_bin"], lambda p: limits.get(p.name, F.lit(False)))
 
 
-def _before_today(s: Shape, bins: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Partials of everything before the day of each bin, for unbounded parts: a running merge over the days."""
+def _before_today(s: Shape, days: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Partials by bucket of everything before the day of each bin, for unbounded parts: a bucket's days are merged up to each
+    of its days once, and a bin takes the last of them before its own day."""
     parts = [p for p in s.parts if p.window.millis is None]
-    days = s.tiles(s.frame.withColumn("_day", floor_to(F.col(ts), DAY)), [*keys, "_day"])
+    w = Window.partitionBy(*keys, "_extra").orderBy("_start").rowsBetween(Window.unboundedPreceding, 0)
+    cols = [c.alias(f"{p.name}__{n}") for p in parts for n, c in s.op(p).merge(s.stored(p, p.base), lambda c: c.over(w)).items()]
+    after = Window.partitionBy(*keys, "_extra").orderBy("_start")
+    running = days.select(*keys, "_extra", "_start", F.lead("_start").over(after).alias("_next"), *cols)
     asked = bins.withColumn("_day", floor_to(F.col("_bin"), DAY))
-    if s.extra:
-        # Only days with queries matter, and a bucket counts from its first day on.
-        merged = days.withColumnRenamed("_day", "_from").join(asked, keys).where(F.col("_from") < F.col("_day"))
-        return s.merge_tiles(merged, [*keys, "_bin"], lambda p: None if p in parts else F.lit(False))
-    marked = days.withColumn("_q", F.lit(False)).unionByName(asked.select(*keys, "_day").distinct().withColumn("_q", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
-    cols = [c for p in parts for c in s.op(p).merge(s.stored(p, p.base), lambda c: c.over(w)).values()]
-    names = [f"{p.name}__{n}" for p in parts for n in s.stored(p, p.base)]
-    running = marked.select(*keys, "_day", "_q", *[c.alias(n) for c, n in zip(cols, names, strict=True)]).where("_q").drop("_q")
-    return asked.join(running, [*keys, "_day"]).drop("_day")
+    holds = (F.col("_start") < F.col("_day")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("_day")))
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}") == F.col(f"r.{k}") for k in keys])
+    joined = asked.alias("a").join(running.alias("r"), same & holds)
+    return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], "_bin", "_extra", *[F.col(c) for c in running.columns if "__" in c])
 
 
 def temporal_by_pairs(queries: DataFrame, events: DataFrame, keys: Sequence[str], parts: Sequence[AggregationPart], ts: str = "ts") -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from millrace.functions.columns import DAY_MS
 from millrace.plans.derive import derive
 from millrace.plans.join import compute_group_by
 from millrace.plans.shapes import Shape, join_groups, shapes
-from millrace.plans.temporal import BIN, floor_to, query_partials
+from millrace.plans.temporal import BIN, floor_to, framed, query_partials
 from millrace.serving.kv import KVStore, encoded
 from millrace.sources.tables import Catalog
 from millrace.spec import AggregationPart, Derivation, GroupBy, Join
@@ -44,12 +45,18 @@ def lambda_merge(queries: DataFrame, events: DataFrame, keys: Sequence[str], par
     keys = list(keys)
     q = queries.select(*keys, ts).dropna().distinct().where(F.col(ts) >= batch_end).withColumn("_bin", floor_to(F.col(ts), BIN))
     asked, bins = q.drop("_bin").withColumnRenamed(ts, "_at"), q.select(*keys, "_bin").distinct()
+    grids_fit = all(p.window.millis is None or p.window.millis % p.window.tail_hop() == 0 for p in parts)
     recent = events.where(F.col(ts) >= batch_end)
     results = []
     for (s, tiles), live in zip(batch_upload(events, keys, parts, batch_end, ts), shapes(recent, keys, parts, ts), strict=True):
         tail = lambda p: floor_to(F.col("_at") - p.window.millis, p.window.tail_hop())
         takes = lambda p: (F.col("_hop") == p.window.tail_hop()) & (F.lit(True) if p.window.millis is None else F.col("_start") >= tail(p))
-        old = s.merge_tiles(asked.join(tiles, keys), [*keys, "_at"], takes).withColumnRenamed("_at", ts)
+        if s.mode == "plain" and grids_fit:
+            hops = sorted({p.window.tail_hop() for p in s.parts})
+            runs = [framed(s, [p for p in s.parts if p.window.tail_hop() == h], tiles.where(F.col("_hop") == h).drop("_hop"), q, keys, ts, h) for h in hops]
+            old = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+        else:
+            old = s.merge_tiles(asked.join(tiles, keys), [*keys, "_at"], takes).withColumnRenamed("_at", ts)
         fresh = query_partials(live, q, bins, keys, ts, strict=True)
         results.append(s.final(s.merge(old.unionByName(fresh, allowMissingColumns=True), [*keys, ts]), [*keys, ts]))
     return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
