@@ -206,7 +206,7 @@ def op_for(part: AggregationPart, kind: T.DataType | None = None) -> Op:
         )
     if o == Operation.APPROX_UNIQUE_COUNT:
         bits = max(4, k + 4)  # twice as many registers a bit: about the error of a compressed sketch of size k
-        either = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.hll_union(a, b, F.lit(True)))
+        either = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.hll_union(a, b, True))
         return Op(lambda v, t, w: {"h": w(F.hll_sketch_agg(_sketchable(v, kind), F.lit(bits)))}, lambda c, w: {"h": w(F.hll_union_agg(c["h"], F.lit(True)))}, lambda c: _some(F.hll_sketch_estimate(c["h"])), lambda a, b: {"h": either(a["h"], b["h"])})
     if o == Operation.APPROX_PERCENTILE:
         ranks = F.array(*[F.lit(float(p)) for p in part.percentiles])

@@ -21,6 +21,8 @@ from millrace.plans.temporal import temporal_events
 from millrace.quality import stats
 from millrace.runtime import read_table
 from millrace.serving.fetcher import lambda_merge
+from millrace.serving.kv import FolderStore
+from millrace.serving.online import WindowLookup, stream_rows, upload_rows
 from millrace.sources.tables import Catalog
 from millrace.spec import (
     Accuracy, Aggregation, BootstrapPart, Derivation, EntitySource, EventSource, ExternalPart, GroupBy, Join, JoinPart, JoinSource, ModelTransforms, Operation, Query, StagingQuery,
@@ -373,6 +375,21 @@ def lambda_merge_live(spark, d):
     return rounded(lambda_merge(q, events(spark, d), ["user_id"], parts_of([Aggregation("value", O.SUM, ("1d", "7d", None)), Aggregation("value", O.COUNT, ("7d",)), Aggregation("value", O.LAST)]), end))
 
 
+@query
+def lookups_merged(spark, d):
+    """The same answers from a store: partials uploaded up to the day, the events since as they stream in, and lookups."""
+    end = 1_705_708_800_000  # 2024-01-20
+    e = events(spark, d)
+    parts = parts_of([Aggregation("value", O.SUM, ("1d", "7d", None)), Aggregation("value", O.COUNT, ("7d",)), Aggregation("value", O.LAST)])
+    store = FolderStore(spark, runtime.own_path(spark, "store"))
+    store.bulk_put("live_batch", upload_rows(e, ["user_id"], parts, end))
+    store.bulk_put("live_stream", stream_rows(e.where(F.col("ts") >= end), ["user_id"], parts))
+    asked = [(r.user_id, r.ts) for r in purchases(spark, d).where(F.col("ts") >= end).select("user_id", "ts").distinct().toLocalIterator()]
+    found = WindowLookup(store, "live", e, ["user_id"], parts)([({"user_id": u}, t) for u, t in asked])
+    schema = "user_id long, ts long, value_sum_1d double, value_sum_7d double, value_sum double, value_count_7d long, value_last double"
+    return rounded(spark.createDataFrame([(u, t, *[f[p.name] for p in parts]) for (u, t), f in zip(asked, found, strict=True)], schema))
+
+
 @query
 def stats_hourly(spark, d):
     s = stats.column_stats(events(spark, d), ["value", "event_type"])

@@ -172,3 +172,5 @@ SQL = {
     "stream_late_rows": f"WITH {E}, {LATE} SELECT event_id, user_id FROM x WHERE late",
     "model_transform_batch": "SELECT event_id, round((value / 10 * 0.5 + length(event_type)) * 2, 6) AS score, CAST(value / 10 * 0.5 + length(event_type) > 5 AS INTEGER) AS high FROM events",
 }
+
+SQL["lookups_merged"] = SQL["lambda_merge_live"]

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.dates import PartitionRange
 from millrace.functions.columns import DAY_MS
-from millrace.plans.derive import derive
 from millrace.plans.join import compute_group_by
 from millrace.plans.shapes import Shape, join_groups, shapes
 from millrace.plans.temporal import BIN, floor_to, framed, query_partials
 from millrace.serving.kv import KVStore, encoded
+from millrace.serving.online import RowEvaluator
 from millrace.sources.tables import Catalog
 from millrace.spec import AggregationPart, Derivation, GroupBy, Join
 
@@ -114,9 +114,16 @@ class Fetcher:
         return out
 
     def _derive(self, row: dict, derivations: Sequence[Derivation]) -> dict:
-        """Renames are done in place; expressions go through SQL."""
+        """Renames are done in place; expressions are evaluated as SQL without a Spark job."""
         if all(d.name == "*" or re.fullmatch(r"\w+", d.expression) for d in derivations):
             taken = {d.expression for d in derivations if d.name != "*"}
             out = {k: v for k, v in row.items() if k not in taken} if any(d.name == "*" for d in derivations) else {}
             return out | {d.name: row.get(d.expression) for d in derivations if d.name != "*"}
-        return derive(self.spark.createDataFrame([row]), derivations).head().asDict(recursive=True)
+        kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+        columns = [c for c in row if c.isidentifier()]
+        schema = ", ".join(f"`{c}` {kinds.get(type(row[c]), 'double' if row[c] is None else 'string')}" for c in columns)
+        taken, named = {d.expression for d in derivations if d.name != "*"}, {d.name for d in derivations}
+        selects: dict[str, str] = {}
+        for d in derivations:
+            selects |= {c: f"`{c}`" for c in columns if c not in taken and c not in named} if d.name == "*" else {d.name: d.expression}
+        return RowEvaluator(self.spark, schema, selects)([row])[0]

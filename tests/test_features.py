@@ -19,7 +19,7 @@ from millrace.plans.snapshot import snapshot_entities, snapshot_events
 from millrace.plans.temporal import temporal_by_pairs, temporal_events
 from millrace.quality import stats
 from millrace.serving.fetcher import Fetcher, lambda_merge
-from millrace.serving.kv import MemoryStore, encoded, flatten_log
+from millrace.serving.kv import FolderStore, MemoryStore, RemoteStore, encoded, flatten_log
 from millrace.sources.tables import Catalog, DataPointer, Topic, export_table, load_folder
 from millrace.spec import (
     Accuracy, Aggregation, Derivation, EntitySource, EventSource, ExternalPart, GroupBy, Join, JoinPart, ModelTransforms, Operation, Query, StagingQuery, Window,
@@ -313,6 +313,84 @@ def test_predict_in_batches(spark):
     assert {r.id: r.y for r in predict(df, m, doubled, "p double").collect()} == {k: (k + 1) * 2.0 for k in range(10)}
 
 
+def test_rows_are_evaluated_without_a_job(spark):
+    from millrace.serving.online import RowEvaluator
+
+    group = "no-jobs"
+    spark.sparkContext.setJobGroup(group, "rows")
+    evaluate = RowEvaluator(spark, "a bigint, s string, l array<double>", {"b": "a * 2", "t": "upper(s)", "m": "aggregate(l, 0D, (x, y) -> x + y)"}, ["a > 1 or a is null"])
+    assert evaluate([{"a": 2, "s": "x'y", "l": [1.5, 2.0]}, {"a": 1}, {"a": None, "s": None}]) == [{"b": 4, "t": "X'Y", "m": 3.5}, None, {"b": None, "t": None, "m": None}]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setJobGroup("others", "")
+
+
+def test_lookups_equal_batch_for_every_operation(spark, tmp_path):
+    from millrace.serving.online import WindowLookup, stream_rows, upload_rows
+
+    rng, hour = random.Random(11), 3_600_000
+    end = 20_000 * 24 * hour
+    rows_ = [(rng.choice(["a", "b", "c"]), end - rng.randrange(-30 * hour, 200 * hour), rng.choice([None, *[float(x) for x in range(9)]]), rng.choice([None, "x", "y", "z"]), rng.choice([None, "p", "q"])) for _ in range(500)]
+    e = spark.createDataFrame(rows_, "k string, ts long, v double, w string, b string")
+    aggs = [Aggregation("v", o, ("6h", None), k=3) for o in O if o not in (O.HISTOGRAM, O.APPROX_FREQUENT_K, O.APPROX_HEAVY_HITTERS_K, O.APPROX_UNIQUE_COUNT, O.APPROX_PERCENTILE)]
+    aggs += [Aggregation("w", o, ("5d", None), k=2) for o in (O.HISTOGRAM, O.APPROX_FREQUENT_K, O.APPROX_HEAVY_HITTERS_K, O.UNIQUE_TOP_K)] + [Aggregation("v", O.SUM, ("5d", None), buckets=("b",)), Aggregation("v", O.APPROX_UNIQUE_COUNT, ("5d",), k=8), Aggregation("v", O.APPROX_PERCENTILE, ("5d",), k=64)]
+    parts = parts_of(aggs)
+    store = FolderStore(spark, str(tmp_path / "store"))
+    for _ in range(2):  # repeated writes change nothing
+        store.bulk_put("g_batch", upload_rows(e, ["k"], parts, end))
+        store.bulk_put("g_stream", stream_rows(e.where(F.col("ts") >= end), ["k"], parts))
+    asked = [(k, end + h * hour + 77) for k in ("a", "b", "nobody") for h in (0, 3, 29)]
+    got = WindowLookup(store, "g", e, ["k"], parts)([({"k": k}, t) for k, t in asked])
+    q = spark.createDataFrame(asked, "k string, ts long")
+    want = {(r.k, r.ts): r for r in lambda_merge(q, e, ["k"], parts, end).collect()}
+    for (k, t), g in zip(asked, got, strict=True):
+        r = want[k, t].asDict(recursive=True)
+        for p in parts:
+            a, b = g[p.name], r[p.name]
+            if isinstance(b, float):
+                assert a == pytest.approx(b, rel=1e-6), (k, t, p.name)
+            elif p.operation in (O.APPROX_PERCENTILE,):
+                assert (a is None) == (b is None)
+            else:
+                assert a == b, (k, t, p.name)
+
+
+def test_executors_write_in_batches_with_retries(spark, tmp_path):
+    folder = str(tmp_path / "remote")
+
+    def connect(folder=folder):
+        import json as j
+        import os
+        import uuid
+
+        from millrace.serving.kv import KVStore as Base
+
+        class Files(Base):
+            failed = False
+
+            def create(self, dataset):
+                os.makedirs(f"{folder}/{dataset}", exist_ok=True)
+
+            def put(self, dataset, rows):
+                if not Files.failed:
+                    Files.failed = True
+                    raise OSError("try again")
+                with open(f"{folder}/{dataset}/{uuid.uuid4().hex}", "w") as f:
+                    f.write("\n".join(j.dumps(r) for r in rows))
+
+            def get(self, dataset, key, start=None):
+                return []
+
+        return Files()
+
+    store = RemoteStore(connect, batch=7, pause=0.01)
+    store.bulk_put("d", spark.range(100).selectExpr("cast(id as string) as key", "'v' as value", "id as millis"))
+    import json
+    from pathlib import Path
+
+    seen = [tuple(json.loads(x)) for f in Path(folder, "d").iterdir() for x in f.read_text().splitlines()]
+    assert sorted(seen) == sorted((str(i), "v", i) for i in range(100))
+
+
 def test_fetcher_answers_from_the_store(spark):
     store = MemoryStore()
     g = GroupBy("g", [EventSource("t", Query({"k": None, "v": None}))], ["k"], [Aggregation("v", O.SUM)])
