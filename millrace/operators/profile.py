@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import runtime
-from millrace.functions.multiset import order_statistics
+from millrace.functions.columns import day_number
+from millrace.functions.multiset import cumulative, order_statistics
 
 LOAD_ROWS = 30
 #: Cells of a column's values beyond the most common: by range for numbers and dates, by hash for others.
@@ -71,25 +72,39 @@ def odd_loads(profiled: DataFrame, share_limit: float = 0.25, median_factor: flo
     return p.join(middle, "column_name").select("column_name", "load", F.explode(F.array_compact(F.array(*off))).alias("measure"))
 
 
+def rest_cuts(overall: DataFrame) -> DataFrame:
+    """(cc, cuts): per column the REST_CELLS - 1 numbers that cut its distinct numbers and dates into ranges of equally many,
+    by exact ranks."""
+    numbers = overall.where("value is not null").select("column_name", number_of(F.col("value")).alias("value")).where("value is not null").distinct().withColumn("n", F.lit(1).cast("long"))
+    numbers = runtime.persist_table(numbers, "distinct-numbers")
+    ranks = cumulative(numbers, ["column_name"])
+    sizes = numbers.groupBy(F.col("column_name").alias("cc")).agg(F.count(F.lit(1)).alias("size"))
+    cell = F.floor(F.col("upto") * REST_CELLS / F.col("size"))
+    # The last number of each range is a cut; the range before it ends there.
+    cuts = ranks.join(F.broadcast(sizes), F.col("column_name") == F.col("cc")).where((cell > F.floor((F.col("upto") - 1) * REST_CELLS / F.col("size"))) & (cell < REST_CELLS))
+    return cuts.groupBy("cc").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
+
+
+def number_of(value: Column) -> Column:
+    """Days of dates and values of decimal numbers, null for other text."""
+    return F.coalesce(day_number(value).cast("double"), F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), value.cast("double")))
+
+
 def stability(counts: DataFrame, bins: int = 20, floor: float = 1e-5) -> DataFrame:
     """Population stability index and chi-square of each load's values against all loads together, per column.
 
     Cells are the `bins` most common values over all loads, one for nulls, and for all other values REST_CELLS ranges of
-    numbers and dates, cut at quantiles of their distinct values, and REST_CELLS hash cells of what is neither. Empty shares
+    numbers and dates, which hold equally many distinct ones, and REST_CELLS hash cells of what is neither. Empty shares
     count as `floor`. One row (load, column_name, psi, chi_square, cells).
     """
-    from pyspark.sql import Window
-
-    overall = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    overall = runtime.persist_table(counts.groupBy("column_name", "value").agg(F.sum("n").alias("n")), "overall-counts")
     ranked = overall.where("value is not null").withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))).where(F.col("r") <= bins)
     tops = ranked.select(F.col("column_name").alias("c"), F.col("value").alias("v"), F.col("r"))
-    number = F.expr("coalesce(cast(unix_date(try_to_date(value, 'yyyy-MM-dd')) as double), try_cast(value as double))")
-    steps = [k / REST_CELLS for k in range(1, REST_CELLS)]
-    cuts = overall.where("value is not null").groupBy(F.col("column_name").alias("cc")).agg(F.percentile_approx(number, steps, 10_000).alias("cuts"))
+    cuts = rest_cuts(overall)
     # The number is bound once: within the filter it would be parsed again for every cut.
-    ranged = bins + 1 + F.transform(F.array(number), lambda y: F.size(F.filter("cuts", lambda x: x < y)))[0]
-    hashed = bins + 1 + REST_CELLS + F.pmod(F.xxhash64("value"), F.lit(REST_CELLS)).cast("int")
-    cell = F.when(F.col("value").isNull(), 0).otherwise(F.coalesce("r", F.when(number.isNotNull(), ranged), hashed))
+    ranged = bins + 1 + F.transform(F.array(number_of(F.col("value"))), lambda y: F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x < y)))[0]
+    hashed = bins + 1 + REST_CELLS + F.pmod(F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long"), F.lit(REST_CELLS)).cast("int")
+    cell = F.when(F.col("value").isNull(), 0).otherwise(F.coalesce("r", F.when(number_of(F.col("value")).isNotNull(), ranged), hashed))
     marked = counts.join(F.broadcast(tops), (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("v")), "left").join(F.broadcast(cuts), F.col("column_name") == F.col("cc"), "left")
     by_load = marked.groupBy("load", "column_name", cell.alias("cell")).agg(F.sum("n").alias("n"))
     of_all = by_load.groupBy("column_name", "cell").agg(F.sum("n").alias("all_n"))

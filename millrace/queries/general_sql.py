@@ -108,6 +108,25 @@ best AS (
   FROM r LEFT JOIN v ON v.user_id = r.user_id AND v.load_day < r.day GROUP BY r.key)
 """
 
+def stability(table: str, columns: tuple[str, ...]) -> str:
+    """Index and chi-square of each load's cells: 20 common values, nulls, 64 ranges of numbers, 64 hash cells."""
+    number = "coalesce(CASE WHEN regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN CAST(date_diff('day', DATE '1970-01-01', try_cast(value AS DATE)) AS DOUBLE) END, CASE WHEN regexp_full_match(value, '-?[0-9]+([.][0-9]+)?') THEN CAST(value AS DOUBLE) END)"
+    return f"""SELECT * FROM (WITH cells AS ({' UNION ALL '.join(f"SELECT ds AS load, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {table}" for c in columns)}),
+        counts AS (SELECT load, column_name, value, count(*) AS n FROM cells GROUP BY 1, 2, 3),
+        overall AS (SELECT column_name, value, sum(n) AS n FROM counts GROUP BY 1, 2),
+        tops AS (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM overall WHERE value IS NOT NULL QUALIFY r <= 20),
+        numbers AS (SELECT DISTINCT column_name, {number} AS x FROM overall WHERE value IS NOT NULL AND {number} IS NOT NULL),
+        ranks AS (SELECT column_name, x, row_number() OVER (PARTITION BY column_name ORDER BY x) AS k, count(*) OVER (PARTITION BY column_name) AS size FROM numbers),
+        cuts AS (SELECT column_name, list(x) AS cuts FROM ranks WHERE k * 64 // size > (k - 1) * 64 // size AND k * 64 // size < 64 GROUP BY 1),
+        marked AS (SELECT c.load, c.column_name, c.n, CASE WHEN c.value IS NULL THEN 0 WHEN t.r IS NOT NULL THEN t.r WHEN {number.replace('value', 'c.value')} IS NOT NULL THEN 21 + len(list_filter(coalesce(u.cuts, []), lambda x: x < {number.replace('value', 'c.value')})) ELSE 85 + CAST('0x' || substr(md5(c.value), 1, 8) AS BIGINT) % 64 END AS cell
+            FROM counts c LEFT JOIN tops t ON t.column_name = c.column_name AND t.value = c.value LEFT JOIN cuts u ON u.column_name = c.column_name),
+        by_load AS (SELECT load, column_name, cell, sum(n) AS n FROM marked GROUP BY 1, 2, 3), of_all AS (SELECT column_name, cell, sum(n) AS n FROM by_load GROUP BY 1, 2),
+        loads AS (SELECT load, column_name, sum(n) AS n FROM by_load GROUP BY 1, 2), sizes AS (SELECT column_name, sum(n) AS n FROM of_all GROUP BY 1),
+        shares AS (SELECT l.load, l.column_name, l.n AS load_n, greatest(coalesce(b.n, 0) / l.n, 1e-5) AS p, greatest(a.n / s.n, 1e-5) AS q, coalesce(b.n, 0) / l.n - a.n / s.n AS gap FROM loads l JOIN of_all a ON a.column_name = l.column_name JOIN sizes s ON s.column_name = l.column_name
+            LEFT JOIN by_load b ON b.load IS NOT DISTINCT FROM l.load AND b.column_name = l.column_name AND b.cell = a.cell)
+        SELECT '{table}' AS table_name, column_name, load AS ds, round(sum((p - q) * ln(p / q)), 6) AS psi, round(sum(load_n * gap * gap / q), 4) AS chi_square, count(*) AS cells FROM shares GROUP BY column_name, load)"""
+
+
 SQL = {
     "p1_found": f"{P1_CASES} SELECT table_name, record_key FROM cases",
     "p1_changes": f"{P1_CASES} SELECT table_name, change, count(*) AS records FROM cases GROUP BY 1, 2",
@@ -132,6 +151,7 @@ SQL = {
           UNION ALL SELECT user_id, 'recency', type, row_number() OVER (PARTITION BY user_id ORDER BY latest DESC, type) FROM r
           UNION ALL SELECT user_id, 'total', type, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, type) FROM r)
         SELECT user_id, feature, type AS return_type FROM ranked WHERE rn = 1""",
+    "p4_stability": stability("checkouts", ("ts", "return_id", "user_id", "product_id", "refund_amt", "return_type")) + " UNION ALL " + stability("users", ("user_id", "account_created_ds", "email_verified")),
     "p6_features": f"""WITH {RETURNS}, k AS (SELECT DISTINCT type FROM returns WHERE type IS NOT NULL),
         r AS (SELECT user_id, type, count(*) AS n, sum(coalesce(refund_amt, 0)) AS total, max(millis) AS latest FROM newest WHERE user_id >= 10 AND type IS NOT NULL AND millis IS NOT NULL GROUP BY 1, 2),
         f AS (SELECT u.user_id, regexp_replace(k.type, '[^a-zA-Z0-9_]+', '_', 'g') AS name, coalesce(r.n, 0) AS n, coalesce(r.total, 0) AS total, r.latest FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN k LEFT JOIN r ON r.user_id = u.user_id AND r.type = k.type),
