@@ -36,14 +36,16 @@ def _md5(*parts: str) -> str:
     return hashlib.md5("|".join(parts).encode()).hexdigest()
 
 
-def part_hash(join: Join, k: int) -> str:
-    """Of a part and of what the left contributes to it (table, key and time expressions, filters): edits of other left
-    columns keep the part's table."""
-    p = join.parts[k]
-    q = join.left.query
+def left_hash(join: Join, k: int) -> str:
+    """Of what the left contributes to a part: table, key and time expressions, filters, and the names of the keys."""
+    p, q = join.parts[k], join.left.query
     keys = {key: q.selects.get(p.left_key(key)) for key in p.group_by.keys}
-    relevant = canonical([tables_of(join.left), sorted(keys.items()), q.time_column, sorted(q.wheres)])
-    return _md5(relevant, canonical(p.group_by), canonical(dict(p.key_mapping)), p.prefix or "")
+    return _md5(canonical([tables_of(join.left), sorted(keys.items()), q.time_column, sorted(q.wheres)]), canonical(dict(p.key_mapping)), p.prefix or "")
+
+
+def part_hash(join: Join, k: int) -> str:
+    """Of a part and of what the left contributes to it: edits of other left columns keep the part's table."""
+    return _md5(left_hash(join, k), canonical(join.parts[k].group_by))
 
 
 def plan_join(join: Join) -> list[Node]:
@@ -56,7 +58,7 @@ def plan_join(join: Join) -> list[Node]:
     parts = []
     for k, p in enumerate(join.parts):
         h = part_hash(join, k)
-        out = f"{p.group_by.name}__{h[:8]}"
+        out = f"{join.name}__part_{k}_{p.group_by.name}"
         parts.append(Node(out, "part", out, (last.output, *[t for s in p.group_by.sources for t in tables_of(s)]), h, (last.name,)))
     merge = Node(f"{join.name}__merged", "merge", f"{join.name}__merged" if join.derivations else join.name, (last.output, *[n.output for n in parts]), _md5(last.hash, *[n.hash for n in parts]), (last.name, *[n.name for n in parts]))
     nodes += [*parts, merge]

@@ -12,6 +12,7 @@ from millrace import runtime
 from millrace.dates import PartitionRange, unfilled
 from millrace.plans import planner, staging
 from millrace.plans.derive import derive, derive_over_left
+from millrace.plans.runner import JoinRunner, drop
 from millrace.plans.join import compute_group_by, compute_join, derived_from, left_keys, source_frame
 from millrace.plans.shapes import aggregate, parts_of
 from millrace.quality import stats
@@ -284,6 +285,24 @@ def staging_backfilled(spark, d):
         spark.sql(f"DROP TABLE {name}")
 
 
+@query
+def join_run_in_steps(spark, d):
+    """A join run over its tables: first half of the month, then all of it, then with a window more, for which the kept
+    columns are taken over from the old table."""
+    name = _table(spark)
+    left = EventSource("purchases", Query({"event_id": None, "user_id": None}, time_column="ts"))
+    g = lambda *w: GroupBy("daily", [EventSource("events", Query({"user_id": None, "value": None}, time_column="ts"))], ["user_id"], [Aggregation("value", O.SUM, w), Aggregation("value", O.COUNT, ("7d",))])
+    j = lambda *w: Join(name, left, [JoinPart(g(*w))], derivations=[Derivation("*", "*"), Derivation("mean_7d", "daily_value_sum_7d / daily_value_count_7d")])
+    catalog = Catalog(spark, {"events": events(spark, d), "purchases": purchases(spark, d)})
+    runner = JoinRunner(catalog, j("7d"))
+    runner.run(PartitionRange("2024-01-01", "2024-01-15"))
+    runner.run(MONTH)
+    again = JoinRunner(catalog, j("7d", "1d"))
+    out = runtime.persist_table(rounded(again.run(MONTH).drop("ts_ds")), "join")
+    drop(again)
+    return out
+
+
 @query
 def reruns_of_a_join(spark, d):
     """A join's left side alone when every part is bootstrapped: the bootstrap decides all values."""

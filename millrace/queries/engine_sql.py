@@ -1,6 +1,6 @@
 """Results of the queries around the computation, in SQL."""
 
-from millrace.queries.features_sql import DAY, E, HOUR
+from millrace.queries.features_sql import PURCHASES, SHIFTED, E
 
 
 def values(columns: str, *rows: str) -> str:
@@ -41,5 +41,6 @@ SQL = {
     "percentile_drift_within": values("series, near", "('calm', true)", "('jump', false)"),
     "entities_without_aggregation": "SELECT DISTINCT user_id, email_verified, ds FROM users WHERE user_id IS NOT NULL AND ds BETWEEN '2024-01-01' AND '2024-03-31'",
     "staging_backfilled": "SELECT ds, count(*) AS n, count(email_verified) AS known, false AS again, true AS steps FROM users WHERE ds BETWEEN '2024-01-01' AND '2024-03-31' GROUP BY ds",
+    "join_run_in_steps": f"WITH {E}, {SHIFTED}, {PURCHASES} SELECT p.ts, p.event_id, p.user_id, p.ds, round(value_sum_7d, 6) AS daily_value_sum_7d, round(value_sum_1d, 6) AS daily_value_sum_1d, value_count_7d AS daily_value_count_7d, round(value_sum_7d / value_count_7d, 6) AS mean_7d FROM p LEFT JOIN shifted s ON s.user_id = p.user_id AND s.ts_ds = p.ts_ds",
     "reruns_of_a_join": "SELECT event_id, user_id, 1.0::DOUBLE AS daily_value_sum_1d, 2.0::DOUBLE AS daily_value_sum_7d FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'",
 }

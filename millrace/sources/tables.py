@@ -155,6 +155,8 @@ class Catalog:
             return None
         to = f"{name}_{hashlib.md5(props['semantic_hash'].encode()).hexdigest()[:8]}"
         self.spark.sql(f"ALTER TABLE {name} RENAME TO {to}")
+        if any(c.isPartition for c in self.spark.catalog.listColumns(to)):  # the files moved with the table's folder
+            self.spark.sql(f"MSCK REPAIR TABLE {to} SYNC PARTITIONS")
         return to
 
 

@@ -313,6 +313,32 @@ def test_predict_in_batches(spark):
     assert {r.id: r.y for r in predict(df, m, doubled, "p double").collect()} == {k: (k + 1) * 2.0 for k in range(10)}
 
 
+def test_runner_computes_only_what_is_missing_or_changed(spark):
+    import uuid
+
+    from millrace.plans.runner import JoinRunner, drop
+
+    name = f"j_{uuid.uuid4().hex[:8]}"
+    ev = spark.createDataFrame([(k % 3, k * 3_600_000, float(k), f"1970-01-{1 + k // 24:02d}") for k in range(24 * 9)], "u long, ts long, v double, ds string")
+    left = ev.where("v % 5 = 0").select("u", "ts", "ds", F.col("v").alias("id"))
+    src = lambda: EventSource("ev", Query({"u": None, "v": None}, time_column="ts"))
+    part = lambda n, *w: JoinPart(GroupBy(n, [src()], ["u"], [Aggregation("v", O.SUM, w)]))
+    j = lambda a, b: Join(name, EventSource("left", Query({"u": None, "id": None}, time_column="ts")), [part("a", *a), part("b", *b)])
+    catalog = Catalog(spark, {"ev": ev, "left": left})
+    days = PartitionRange("1970-01-03", "1970-01-06")
+    first = JoinRunner(catalog, j(("1d",), ("2d",)))
+    want = lambda join, days: sorted(tuple(r) for r in compute_join(catalog, join, days).select("u", "id", *sorted(c for c in compute_join(catalog, join, days).columns if c[:2] in ("a_", "b_"))).collect())
+    got = lambda df: sorted(tuple(r) for r in df.select("u", "id", *sorted(c for c in df.columns if c[:2] in ("a_", "b_"))).collect())
+    assert got(first.run(days)) == want(first.join, days) and len(first.log) == 4
+    assert got(first.run(days)) == want(first.join, days) and first.log == []
+    more = PartitionRange("1970-01-03", "1970-01-08")
+    assert got(first.run(more)) == want(first.join, more) and {str(x[1]) for x in first.log} == {str([PartitionRange("1970-01-07", "1970-01-08")])}
+    changed = JoinRunner(catalog, j(("1d", "3d"), ("2d",)))
+    assert got(changed.run(more)) == want(changed.join, more)
+    assert [columns for _, _, columns in changed.log] == [["a_v_sum_3d"], []]
+    drop(changed)
+
+
 def test_rows_are_evaluated_without_a_job(spark):
     from millrace.serving.online import RowEvaluator
 
