@@ -86,7 +86,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_statistics)}
+def p10_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Plain statistics of every document's whole text."""
+    s = textstats.plain_statistics(read_table(spark, d, "documents"), "doc_id", "text")
+    return s.select(F.col("id").alias("doc_id"), "word_count", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "line_end_share")])
+
+
+QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p8_checked, p9_found, p9_items, p10_found, p10_statistics, p10_plain)}
 #: Words of a text as the leak definition reads them.
 _WORDS = r"regexp_extract_all(replace(lower(strip_accents(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{0300}-\x{036F}]', '', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 
@@ -103,4 +109,8 @@ SQL: dict[str, str] = {
     "p9_items": f"""WITH {_HITS}, runs AS (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY dp) AS run FROM hits),
         lengths AS (SELECT doc_id, item_id, CAST(count(*) + any_value(n) - 1 AS INTEGER) AS words FROM runs GROUP BY doc_id, item_id, dp - ip, run)
         SELECT item_id, count(DISTINCT doc_id) AS documents, max(words) AS longest_words FROM lengths GROUP BY 1""",
+    "p10_plain": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}]+') AS w, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS chars, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM t),
+        c AS (SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS runs, chars, len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:;]["''”’»)\]]*$'))) AS ended FROM m)
+        SELECT doc_id, CAST(n AS INTEGER) AS word_count, round(CASE WHEN n > 0 THEN runs / n END, 6) AS mean_word_length, round(CASE WHEN chars > 0 THEN (chars - runs) / chars END, 6) AS symbol_ratio, round(CASE WHEN lines > 0 THEN ended / lines END, 6) AS line_end_share FROM c""",
 }

@@ -423,6 +423,19 @@ def judged(measured: DataFrame, languages: list[str]) -> DataFrame:
     return runtime.map_arrow(measured, run, schema)
 
 
+def plain_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, word_count, mean_word_length, symbol_ratio, line_end_share) over whole texts, furniture included, in built-in
+    expressions: runs of letters and digits, characters outside of them, and lines that end in punctuation. Ratios of nothing
+    are null; null texts have no words."""
+    t = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    words = F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}]+)"), 1)
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
+    m = t.select("id", F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("runs"), F.length(F.regexp_replace("t", "[ \t\r\n]", "")).alias("chars"), lines.alias("lines"))
+    m = m.select("id", "n", "runs", "chars", F.size("lines").alias("lines"), F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…:;][\"'”’»)\]]*$"))).alias("ended"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
+    return m.select("id", F.col("n").alias("word_count"), ratio(F.col("runs"), "n").alias("mean_word_length"), ratio(F.col("chars") - F.col("runs"), "chars").alias("symbol_ratio"), ratio(F.col("ended"), "lines").alias("line_end_share"))
+
+
 def common_words(table: DataFrame) -> dict[str, tuple[str, ...]]:
     """Languages of each common word, without case and accents, from a table (lang, word) of bounded size."""
     rows = table.where("lang is not null and word is not null").limit(runtime.BROADCAST_ROWS + 1).collect()

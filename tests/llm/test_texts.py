@@ -340,3 +340,13 @@ def test_statistics_of_one_text():
     r = textstats.Reader(set(), {"the": ("en",), "and": ("en",)})
     m = dict(zip(textstats._NAMES, r.measure("A title\nThe cat, and 12 dogs. Ran!\n- no"), strict=True))
     assert (m["n"], m["alpha"], m["letters"], m["lines"], m["ended"], m["hits"], m["found"]) == (7, 6, 18, 2, 1, 2, "en")
+
+
+def test_plain_statistics_of_odd_texts(spark):
+    texts = [None, "", " \n\t ", "Hello, world!\n\nno end\nYes.)", "日本語 123 _x_", "x" * 200_000]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "i long, t string, word_count int")
+    got = {r.id: tuple(r)[1:] for r in textstats.plain_statistics(df, "i", "t").collect()}
+    assert got[0] == got[1] == got[2] == (0, None, None, None)
+    assert got[3] == (5, pytest.approx(20 / 5), pytest.approx(4 / 24), pytest.approx(2 / 3))
+    assert got[4][:2] == (3, pytest.approx(7 / 3)) and got[5][:3] == (1, 200_000.0, 0.0)
+    assert textstats.plain_statistics(df.limit(0), "i", "t").count() == 0
