@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from millrace.functions import columns as C
 from millrace.operators import bitemporal, entity_features, heavy_hitters, incremental, late_events, profile, rolling
@@ -149,6 +150,19 @@ def p5_top(spark: SparkSession, d: str) -> DataFrame:
     return heavy_hitters.most_frequent(read_table(spark, d, "checkouts"), ["product_id", "user_id"], 50)
 
 
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Of each column's 50 items from the sketch alone: whether the bounds hold for all, and whether the ten that are most
+    frequent by exact counts are among them."""
+    c = read_table(spark, d, "checkouts")
+    sketched = persist_table(heavy_hitters.most_frequent(c, ["product_id", "user_id"], 50), "sketched")
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(x).alias("item_value")) for x in ("product_id", "user_id")]))
+    exact = persist_table(c.select(cells.alias("x")).select("x.*").where("item_value is not null").groupBy("column_name", "item_value").agg(F.count(F.lit(1)).alias("n")), "exact-counts")
+    best = exact.groupBy(F.col("column_name").alias("c")).agg(InternalFunction.collect_top_k(F.col("n"), 10, False).alias("best")).select("c", F.array_min("best").alias("tenth"))
+    both = exact.join(F.broadcast(sketched), ["column_name", "item_value"], "left").join(F.broadcast(best), F.col("column_name") == F.col("c"))
+    held = F.coalesce((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")), F.lit(True))
+    return both.groupBy("column_name").agg(F.count("low").alias("items"), F.bool_and(held).alias("within"), F.bool_and((F.col("n") <= F.col("tenth")) | F.col("low").isNotNull()).alias("none_missing"))
+
+
 def _typed_returns(spark: SparkSession, d: str) -> DataFrame:
     r = _newest_returns(spark, d, "user_id", "refund_amt", "millis", "type", persons=True)
     return r.where("millis is not null and type is not null")
@@ -196,4 +210,4 @@ def p7_returns(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d).select(F.col("key").alias("return_id"), C.day_string(F.col("known_day")).alias("known_ds"), "email_verified")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_daily, p3_found, p3_rolling, p4_found, p4_profile, p4_stability, p5_found, p5_top, p6_found, p6_features, p7_found, p7_known, p7_returns)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_daily, p3_found, p3_rolling, p4_found, p4_profile, p4_stability, p5_found, p5_top, p5_bounds, p6_found, p6_features, p7_found, p7_known, p7_returns)}

