@@ -253,11 +253,11 @@ def sketch_drift_within(spark, d):
 
 @query
 def percentile_drift_within(spark, d):
-    """Drift of the percentiles of values from day to day lies within what equal distributions give; that of values that
-    double after the middle of the month lies beyond it on the first day after."""
+    """Drift of the percentiles of values from each ten days to the next lies within what equal distributions give; that of
+    values that jump in the middle of the month lies beyond it."""
     e = events(spark, d).where("value is not null")
     doubled = e.withColumn("value", F.when(F.col("ds") >= "2024-01-16", F.col("value") * 1000 + 1e6).otherwise(F.col("value")))
-    drift = lambda x: stats.percentile_drift(stats.summarize(x, ["value"]), 86_400_000)
+    drift = lambda x: stats.percentile_drift(stats.summarize(x, ["value"], tile_ms=864_000_000), 864_000_000)
     calm = drift(e).agg(F.max("drift").alias("x")).select(F.lit("calm").alias("series"), (F.col("x") < 3).alias("near"))
     return calm.unionByName(drift(doubled).agg(F.max("drift").alias("x")).select(F.lit("jump").alias("series"), (F.col("x") < 3).alias("near")))
 
