@@ -142,6 +142,9 @@ class Catalog:
         row = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in final.fields])
         # By path, where the mode is an option of this write alone: by name it would be a setting of the whole session.
         about = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        if about["Provider"].lower() not in ("parquet", "orc", "csv", "json", "avro"):  # a table format that replaces partitions by itself
+            row.writeTo(name).overwritePartitions()
+            return
         row.write.format(about["Provider"]).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).save(about["Location"])
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
         spark.catalog.refreshTable(name)
