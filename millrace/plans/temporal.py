@@ -138,14 +138,18 @@ def framed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, q: DataFram
 
 
 def _listed(s: Shape, parts: list[AggregationPart], tiles: DataFrame, bins: DataFrame, keys: list[str], hop: int) -> DataFrame:
-    """The same by listing the tiles that each bin needs and joining them: for buckets and values, which would have to be
-    asked about one by one, and for windows that do not fit their own grid."""
+    """The same by joining bins to the tiles between their bounds: for buckets and values, which would have to be asked about
+    one by one, and for windows that do not fit their own grid. A run is cut into blocks as long as the longest range, and a
+    bin meets the tiles of its own block and of the one before. Neither side is broadcast, however small it is thought to be."""
     ranges = {p.name: _takes(p, hop, F.col("_bin")) for p in parts}
     first = reduce(F.least, [a for a, _ in ranges.values()]) if len(ranges) > 1 else next(iter(ranges.values()))[0]
     end = floor_to(F.col("_bin"), hop)
-    wanted = bins.where(first < end).withColumn("_start", F.explode(F.sequence(first, end - hop, F.lit(hop).cast("long"))))
+    block = max(-(-p.window.millis // hop) * hop if p.window.tail_hop() == hop else UP[hop] for p in parts)
+    place = lambda c: F.floor(c / block).cast("long")
+    marks = bins.where(first < end).withColumn("_block", F.explode(F.array(place(end) - 1, place(end))))
+    near = tiles.withColumn("_block", place(F.col("_start"))).join(marks.hint("merge"), [*keys, "_block"]).where((F.col("_start") >= first) & (F.col("_start") < end))
     limits = {name: (F.col("_start") >= a) & (F.col("_start") < e) for name, (a, e) in ranges.items()}
-    return s.merge_tiles(wanted.join(tiles, [*keys, "_start"]), [*keys, "_bin"], lambda p: limits.get(p.name, F.lit(False)))
+    return s.merge_tiles(near, [*keys, "_bin"], lambda p: limits.get(p.name, F.lit(False)))
 
 
 def _before_today(s: Shape, days: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:

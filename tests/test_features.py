@@ -18,6 +18,7 @@ from millrace.plans.shapes import aggregate, parts_of, shapes
 from millrace.plans.snapshot import snapshot_entities, snapshot_events
 from millrace.plans.temporal import temporal_by_pairs, temporal_events
 from millrace.quality import stats
+from millrace.queries.features import QUERIES
 from millrace.serving.fetcher import Fetcher, lambda_merge
 from millrace.serving.kv import FolderStore, MemoryStore, RemoteStore, encoded, flatten_log
 from millrace.sources.tables import Catalog, DataPointer, Topic, export_table, load_folder
@@ -65,6 +66,21 @@ def test_tiles_agree_with_pairs_on_random_data_with_nulls_and_a_hot_key(spark):
     assert table(temporal_events(q, e, ["k"], parts)) == table(temporal_by_pairs(q, e, ["k"], parts))
 
 
+def edge_queries(spark):
+    """Queries and events at the edges of weeks, days, hours and five minutes."""
+    at = [week * 7 * 24 * HOUR + step + d for week in (-1, 0, 1, 2, 3) for step in (0, 24 * HOUR, HOUR, 300_000) for d in (-1, 0, 1)]
+    e = spark.createDataFrame([(k, t, "xyz"[i % 3]) for i, t in enumerate(at) for k in ("a", "b")], "k string, ts long, w string")
+    return e.select("k", "ts"), e
+
+
+def test_histograms_meet_tiles_between_bounds_and_list_none(spark, tiny):
+    q, e = edge_queries(spark)
+    parts = parts_of([Aggregation("w", O.HISTOGRAM, ("7d", "1d", "1h", "14d"))])
+    assert table(temporal_events(q, e, ["k"], parts)) == table(temporal_by_pairs(q, e, ["k"], parts))
+    plan = QUERIES["pit_histogram"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "merge" in plan  # a list of tiles was taken for small and broadcast
+
+
 def test_temporal_of_nothing(spark):
     e = random_events(spark, 1)
     parts = parts_of(EVERY[:3])
