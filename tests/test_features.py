@@ -81,6 +81,14 @@ def test_histograms_meet_tiles_between_bounds_and_list_none(spark, tiny):
     assert "sequence(" not in plan and "merge" in plan  # a list of tiles was taken for small and broadcast
 
 
+def test_unique_counts_of_two_windows_meet_tiles_between_bounds_and_list_none(spark, tiny):
+    q, e = edge_queries(spark)
+    parts = parts_of([Aggregation("w", O.UNIQUE_COUNT, ("1d", "7d"))])
+    assert table(temporal_events(q, e, ["k"], parts)) == table(temporal_by_pairs(q, e, ["k"], parts))
+    plan = QUERIES["pit_unique_count"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "merge" in plan
+
+
 def test_temporal_of_nothing(spark):
     e = random_events(spark, 1)
     parts = parts_of(EVERY[:3])
