@@ -384,10 +384,8 @@ def lookups_merged(spark, d):
     store = FolderStore(spark, runtime.own_path(spark, "store"))
     store.bulk_put("live_batch", upload_rows(e, ["user_id"], parts, end))
     store.bulk_put("live_stream", stream_rows(e.where(F.col("ts") >= end), ["user_id"], parts))
-    asked = [(r.user_id, r.ts) for r in purchases(spark, d).where(F.col("ts") >= end).select("user_id", "ts").distinct().toLocalIterator()]
-    found = WindowLookup(store, "live", e, ["user_id"], parts)([({"user_id": u}, t) for u, t in asked])
-    schema = "user_id long, ts long, value_sum_1d double, value_sum_7d double, value_sum double, value_count_7d long, value_last double"
-    return rounded(spark.createDataFrame([(u, t, *[f[p.name] for p in parts]) for (u, t), f in zip(asked, found, strict=True)], schema))
+    asked = purchases(spark, d).where(F.col("ts") >= end)
+    return rounded(WindowLookup(store, "live", e, ["user_id"], parts).over(asked))
 
 
 @query

@@ -13,7 +13,7 @@ from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import runtime
@@ -46,6 +46,10 @@ class KVStore(ABC):
         self.create(dataset)
         self.put(dataset, ((r.key, r.value, r.millis) for r in table.toLocalIterator()))
 
+    def gathered(self, requests: DataFrame, key: str) -> DataFrame:
+        """Requests with the stored key in column `key`, so distributed and in such order that executors look them up well."""
+        return requests.repartition(key).sortWithinPartitions(key)
+
 
 class MemoryStore(KVStore):
     """In one process. A value put at a key's existing time replaces it."""
@@ -85,12 +89,21 @@ class FolderStore(KVStore):
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"spark": None}  # executors only read
+
     def create(self, dataset: str) -> None:
         """Datasets are made by their first rows."""
 
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def gathered(self, requests: DataFrame, key: str) -> DataFrame:
+        """Each bucket is read by one task."""
+        return requests.repartitionById(self.buckets, self._bucket(key)).sortWithinPartitions(key)
+
     def bulk_put(self, dataset: str, table: DataFrame) -> None:
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        rows = table.select("key", "value", F.col("millis").cast("long").alias("millis"), F.lit(time.time_ns()).alias("put"), bucket.alias("bucket"))
+        rows = table.select("key", "value", F.col("millis").cast("long").alias("millis"), F.lit(time.time_ns()).alias("put"), self._bucket("key").alias("bucket"))
         rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "key", "millis").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{dataset}")
 
     def put(self, dataset: str, rows: Iterable[tuple[str, str, int]]) -> None:

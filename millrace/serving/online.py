@@ -1,25 +1,28 @@
 """Lookups of windowed features: stored batch partials, what streamed in since, and expressions over single rows, none of
-which starts a Spark job."""
+which starts a Spark job. Tables of requests are looked up by executors."""
 
 from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import runtime
 from millrace.operators.aggregates import Op
-from millrace.plans.shapes import Shape, shapes
+from millrace.plans.shapes import Shape, join_groups, shapes
 from millrace.plans.temporal import floor_to
-from millrace.serving.kv import KVStore
+from millrace.serving.kv import KVStore, TimedValue
 from millrace.spec import AggregationPart, Operation
 
 #: Rows evaluated in one go.
 CHUNK = 256
+#: Requests of a table that a task looks up at once, and characters of found partials that it holds before it passes them on.
+REQUESTS, HELD = 2000, 4_000_000
 
 
 class RowEvaluator:
@@ -99,6 +102,80 @@ def _merged(op: Op, base: str, column: str, kind: str, kinds: Mapping[str, str])
     return F.aggregate(rows, nothing, step)
 
 
+#: A key's stored rows by shape and value or bucket: when they streamed in (-1 << 62: with the upload), start, hop (None:
+#: streamed in), partials.
+Kept = dict[tuple[int, str | None], list[tuple[int, int, int | None, str]]]
+
+
+def _parsed(batch: Sequence[TimedValue], stream: Sequence[TimedValue]) -> Kept:
+    """What counts of a key: the last upload, and what streamed in from its end on."""
+    out: Kept = defaultdict(list)
+    end = batch[-1].millis if batch else -(1 << 62)
+    for r in json.loads(batch[-1].value) if batch else []:
+        out[r["s"], r.get("e")].append((-(1 << 62), r["t"], r["h"], r["p"]))
+    for v in stream:
+        if v.millis >= end:
+            for r in json.loads(v.value):
+                out[r["s"], r.get("e")].append((v.millis, r["t"], None, r["p"]))
+    return out
+
+
+def _chosen(plan: Sequence[tuple[int, AggregationPart]], kept: Kept, at: int) -> Iterator[tuple[int, str | None, list[str | None]]]:
+    """For each shape and value or bucket of a key, the partials that each column takes for a request, as JSON arrays. plan:
+    the shape and part of each column."""
+    takes = []
+    for j, p in plan:
+        hop = p.window.tail_hop()
+        takes.append((j, -(1 << 62), 0) if p.window.millis is None else (j, (at - p.window.millis) // hop * hop, hop))
+    for (k, extra), every in kept.items():
+        own = [r for r in every if r[0] < at]
+        if own:
+            yield k, extra, ["[" + ",".join([p for _, t, h, p in own if t >= tail and (h is None or h == hop)]) + "]" if j == k else None for j, tail, hop in takes]
+
+
+def _look(store: KVStore, name: str, names: Sequence[str], plan: Sequence[tuple[int, AggregationPart]], everyone: bool):
+    """For batches of requests (keys, time, key as stored) rows of (keys, time, shape, value or bucket, partials by column).
+    everyone: requests without partials have a row, too."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, REQUESTS):
+                asked = batch.slice(start, REQUESTS)
+                keys, times = asked.column(asked.num_columns - 1).to_pylist(), asked.column(asked.num_columns - 2).to_pylist()
+                wanted = set(keys)
+                old, new = store.multi_get(f"{name}_batch", wanted), store.multi_get(f"{name}_stream", wanted)
+                parsed: dict[str, Kept] = {}
+                places: list[int] = []
+                found: list[tuple] = []
+                size = 0
+
+                def table():
+                    own = asked.take(pa.array(places, pa.int64()))
+                    columns = zip(*found, strict=True)
+                    kinds = [pa.int32(), pa.string(), *[pa.string()] * len(plan)]
+                    return pa.RecordBatch.from_arrays([*own.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], list(names))
+
+                for i, (key, at) in enumerate(zip(keys, times, strict=True)):
+                    if key not in parsed:  # requests come in order of keys
+                        parsed = {key: _parsed(old.get(key) or [], new.get(key) or [])}
+                    chosen = [*_chosen(plan, parsed[key], at)]
+                    if everyone and not chosen:
+                        chosen = [(0, None, ["[]"] * len(plan))]
+                    for k, extra, values in chosen:
+                        places.append(i)
+                        found.append((k, extra, *values))
+                        size += sum(len(v) for v in values if v)
+                        if size > HELD:
+                            yield table()
+                            places, found, size = [], [], 0
+                if found:
+                    yield table()
+
+    return run
+
+
 class WindowLookup:
     """Answers for the features of one group by from a store: `<name>_batch` holds upload_rows, `<name>_stream` stream_rows.
 
@@ -109,18 +186,17 @@ class WindowLookup:
         """schema: a frame with the columns of the events; only its types are used."""
         self.spark, self.store, self.name, self.keys, self.parts, self.ts = schema.sparkSession, store, name, list(keys), list(parts), ts
         self.shapes = shapes(schema.limit(0), keys, parts, ts)
-        self.columns: list[str] = []
-        selects = {}
-        for k, s in enumerate(self.shapes):
-            kinds = {f.name: f.dataType for f in s.tiles(s.frame, keys).schema.fields}
-            for p in s.parts:
-                column = f"c{len(self.columns)}"
-                self.columns.append(column)
-                names = list(s.stored(p, p.base))
-                kind = "array<struct<" + ", ".join(f"`{p.base}__{n}`: {kinds[f'{p.base}__{n}'].simpleString()}" for n in names) + ">>"
-                merged = _merged(s.op(p), p.base, column, kind, {n: kinds[f"{p.base}__{n}"].simpleString() for n in names})
-                selects[column] = s.op(p).final({n: merged[n] for n in names}).alias(column)
-        self.selects = list(selects.values())
+        self.plan = [(j, p) for j, s in enumerate(self.shapes) for p in s.parts]
+        self.columns = [f"c{c}" for c in range(len(self.plan))]
+        self.partials: list[dict[str, Column]] = []
+        kinds = [{f.name: f.dataType for f in s.tiles(s.frame, keys).schema.fields} for s in self.shapes]
+        for column, (j, p) in zip(self.columns, self.plan, strict=True):
+            names = list(self.shapes[j].stored(p, p.base))
+            types = {n: kinds[j][f"{p.base}__{n}"].simpleString() for n in names}
+            kind = "array<struct<" + ", ".join(f"`{p.base}__{n}`: {types[n]}" for n in names) + ">>"
+            merged = _merged(self.shapes[j].op(p), p.base, column, kind, types)
+            self.partials.append({n: merged[n] for n in names})
+        self.selects = [self.shapes[j].op(p).final(c).alias(column) for column, (j, p), c in zip(self.columns, self.plan, self.partials, strict=True)]
 
     def key(self, keys: Mapping) -> str:
         return json.dumps({k: keys[k] for k in self.keys}, separators=(",", ":"))
@@ -129,42 +205,40 @@ class WindowLookup:
         """Features for each (keys, time), of events strictly before the time."""
         wanted = {self.key(k) for k, _ in requests}
         batch, stream = self.store.multi_get(f"{self.name}_batch", wanted), self.store.multi_get(f"{self.name}_stream", wanted)
+        parsed = {key: _parsed(batch.get(key) or [], stream.get(key) or []) for key in wanted}
         rows, owners = [], []
         for number, (keys, at) in enumerate(requests):
-            key = self.key(keys)
-            held = batch.get(key) or []
-            end = held[-1].millis if held else -(1 << 62)
-            old = json.loads(held[-1].value) if held else []
-            new = [r for v in stream.get(key, []) if end <= v.millis < at for r in json.loads(v.value)]
-            by_extra: dict[tuple[int, str | None], list[tuple[dict, bool]]] = defaultdict(list)
-            for r, fresh in [*[(r, False) for r in old], *[(r, True) for r in new]]:
-                by_extra[r["s"], r.get("e")].append((r, fresh))
-            for (k, extra), own in by_extra.items():
-                row, c = dict.fromkeys(self.columns), 0
-                for j, s in enumerate(self.shapes):
-                    for p in s.parts:
-                        if j == k:
-                            row[self.columns[c]] = "[" + ",".join(r["p"] for r, fresh in own if self._takes(p, r, fresh, at)) + "]"
-                        c += 1
-                rows.append(row)
+            for k, extra, values in _chosen(self.plan, parsed[self.key(keys)], at):
+                rows.append(dict(zip(self.columns, values, strict=True)))
                 owners.append((number, k, extra))
         values = self._evaluated(rows)
         gathered: list[dict] = [defaultdict(dict) for _ in requests]
         for (number, k, extra), answer in zip(owners, values, strict=True):
-            c = 0
-            for j, s in enumerate(self.shapes):
-                for p in s.parts:
-                    if j == k and answer[c] is not None:
-                        gathered[number][p.name][None if extra is None else json.loads(extra).get("x")] = answer[c]
-                    c += 1
-        by_name = {p.name: (s, p) for s in self.shapes for p in s.parts}
+            for v, (j, p) in zip(answer, self.plan, strict=True):
+                if j == k and v is not None:
+                    gathered[number][p.name][None if extra is None else json.loads(extra).get("x")] = v
+        by_name = {p.name: (self.shapes[j], p) for j, p in self.plan}
         return [{p.name: self._gather(*by_name[p.name], g.get(p.name, {})) for p in self.parts} for g in gathered]
 
-    def _takes(self, p: AggregationPart, row: Mapping, fresh: bool, at: int) -> bool:
-        if p.window.millis is None:
-            return fresh or row["h"] == 0
-        tail = (at - p.window.millis) // p.window.tail_hop() * p.window.tail_hop()
-        return row["t"] >= tail and (fresh or row["h"] == p.window.tail_hop())
+    def over(self, requests: DataFrame) -> DataFrame:
+        """(keys, ts, parts) for each distinct request whose keys and ts are not null: the same answers for a table of
+        requests. Executors read the store and merge, so the driver holds neither requests nor answers. The store must be
+        one that executors reach."""
+        by = [*self.keys, self.ts]
+        q = requests.select(*self.keys, F.col(self.ts).cast("long").alias(self.ts)).dropna().distinct()
+        everyone = len(self.shapes) == 1 and self.shapes[0].mode == "plain"
+        kinds = ", ".join(["_s int", "_e string", *[f"{c} string" for c in self.columns]])
+        names = [*by, "_s", "_e", *self.columns]
+        asked = self.store.gathered(q.withColumn("_key", F.to_json(F.struct(*self.keys), {"ignoreNullFields": "false"})), "_key")
+        rows = runtime.map_arrow(asked, _look(self.store, self.name, names, self.plan, everyone), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields], kinds]))
+        if len(self.shapes) > 1:
+            rows = runtime.persist_table(rows, "lookups")
+        results = []
+        for k, s in enumerate(self.shapes):
+            extra = [F.from_json("_e", T.StructType([T.StructField("x", s.frame.schema["_extra"].dataType)]))["x"].alias("_extra")] if s.extra else []
+            own = [c.alias(f"{p.name}__{n}") for (j, p), partials in zip(self.plan, self.partials, strict=True) if j == k for n, c in partials.items()]
+            results.append(s.final(rows.where(F.col("_s") == k).select(*by, *extra, *own), by))
+        return (results[0] if everyone else join_groups(q, results, by)).select(*by, *[F.col(f"`{p.name}`") for p in self.parts])
 
     def _evaluated(self, rows: list[dict]) -> list[tuple]:
         out: list[tuple] = []

@@ -404,6 +404,34 @@ def test_lookups_equal_batch_for_every_operation(spark, tmp_path):
                 assert a == b, (k, t, p.name)
 
 
+def test_lookups_of_a_table_equal_single_ones_and_leave_the_driver_alone(spark, tmp_path, tiny, monkeypatch):
+    from millrace.serving import online
+
+    rng, end = random.Random(13), 20_000 * 24 * HOUR
+    data = [(rng.choice(["a", "b", "q\"c"]), 7, end - rng.randrange(-30 * HOUR, 200 * HOUR), rng.choice([None, 1.5, 2.0, -3.0]), rng.choice([None, "x", "y", 'z"'])) for _ in range(300)]
+    e = spark.createDataFrame(data, "k string, n int, ts long, v double, w string")
+    plain = [Aggregation("v", o, ("6h", "5d", None), k=2) for o in (O.SUM, O.COUNT, O.AVERAGE, O.LAST, O.LAST_K, O.VARIANCE)]
+    others = [Aggregation("w", o, ("5d", None), k=2) for o in (O.HISTOGRAM, O.UNIQUE_COUNT, O.UNIQUE_TOP_K)] + [Aggregation("v", O.SUM, ("5d", None), buckets=("w",))]
+    asked = [(k, 7, end + h * HOUR + 77) for k in ("a", "b", "q\"c", "nobody") for h in (0, 3, 29)]
+    q = spark.createDataFrame([*asked, asked[0], (None, 7, end), ("a", 7, None)], "k string, n int, ts long")
+    monkeypatch.setattr(online, "REQUESTS", 5)
+    monkeypatch.setattr(online, "HELD", 2000)
+    for name, parts in (("plain", parts_of(plain)), ("all", parts_of(plain + others))):
+        store = FolderStore(spark, str(tmp_path / name))
+        store.bulk_put("g_batch", online.upload_rows(e, ["k", "n"], parts, end))
+        store.bulk_put("g_stream", online.stream_rows(e.where(F.col("ts") >= end), ["k", "n"], parts))
+        lookup = online.WindowLookup(store, "g", e, ["k", "n"], parts)
+        single = lookup([({"k": k, "n": n}, t) for k, n, t in asked])
+        assert table(lookup.over(q), 3) == {key: tuple(value(g[p.name]) for p in parts) for key, g in zip(asked, single, strict=True)}
+
+    def refuse(*_):
+        raise AssertionError("the driver read the store")
+
+    monkeypatch.setattr(online.WindowLookup, "__call__", refuse)
+    monkeypatch.setattr(FolderStore, "multi_get", refuse)  # executors import the package anew
+    QUERIES["lookups_merged"](spark, tiny)
+
+
 def test_executors_write_in_batches_with_retries(spark, tmp_path):
     folder = str(tmp_path / "remote")
 
