@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.shapes import Shape, aggregate, join_groups, shapes
+from millrace.plans.shapes import Shape, aggregate, shapes
 from millrace.spec import UNIT_MS, AggregationPart
 
 BIN = 5 * UNIT_MS["m"]
@@ -46,10 +46,21 @@ def temporal_events(queries: DataFrame, events: DataFrame, keys: Sequence[str],
     bins = q.select(*keys, "_bin").distinct()
     rows = events.where(F.col(ts).isNotNull()).dropna(subset=keys)
     found = shapes(rows, keys, parts, ts)
-    results = [s.final(s.merge(query_partials(s, q, bins, keys, ts), [*keys, ts]), [*keys, ts]) for s in found]
+    results = []
+    for s in found:
+        partials = query_partials(s, q, bins, keys, ts)
+        # The values of a query go to one task at once, not each to its own and then there.
+        partials = partials.repartition(*keys, ts) if s.extra else partials
+        results.append(s.final(s.merge(partials, [*keys, ts]), [*keys, ts]))
     if len(found) == 1 and found[0].mode == "plain":  # its heads have every query
         return results[0].select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
-    return join_groups(q.select(*keys, ts), results, [*keys, ts]).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
+    return reduce(lambda left, r: merged(left, r, [*keys, ts], "left"), results, q.select(*keys, ts)).select(*keys, ts, *[F.col(f"`{p.name}`") for p in parts])
+
+
+def merged(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A merge join on columns that are never null. Neither side is broadcast, however small it is thought to be: the size of
+    queries is estimated from that of the files, and the driver would hold them whole."""
+    return left.join(right.hint("merge"), list(on), how)
 
 
 def query_partials(s: Shape, q: DataFrame, bins: DataFrame, keys: list[str], ts: str, strict: bool = False) -> DataFrame:
@@ -74,8 +85,8 @@ def _head(s: Shape, q: DataFrame, keys: list[str], ts: str, strict: bool) -> Dat
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_q_{k}") for k in keys]) & (F.col("_bin") == F.col("_q_bin")) & (F.col(ts) < F.col("_q_ts") if strict else F.col(ts) <= F.col("_q_ts"))
     # Rows of one instant first combine, so a bin holds at most its distinct instants.
     instants = s.tiles(own, [*keys, "_bin", ts])
-    hit = instants.join(near, on).drop(ts).withColumnRenamed("_q_ts", ts)
-    return s.merge_tiles(hit, [*keys, ts], lambda p: None)
+    hit = instants.join(near.hint("merge"), on).drop(ts).withColumnRenamed("_q_ts", ts)
+    return s.merge_tiles(hit, [*keys, "_bin", ts], lambda p: None).drop("_bin")  # by bin too, as they lie after the join
 
 
 def _takes(part: AggregationPart, hop: int, b: Column) -> tuple[Column, Column] | None:
@@ -109,7 +120,7 @@ def _tiled(s: Shape, q: DataFrame, bins: DataFrame, keys: list[str], ts: str) ->
             by_query.append(framed(s, [p for p in s.parts if p.window.millis is None], tiles[DAY], q, keys, ts, DAY))
     if by_bin:
         both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), by_bin)
-        by_query.append(q.join(both, [*keys, "_bin"]).drop("_bin"))
+        by_query.append(merged(q, both, [*keys, "_bin"]).drop("_bin"))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), by_query)
 
 

@@ -89,6 +89,14 @@ def test_unique_counts_of_two_windows_meet_tiles_between_bounds_and_list_none(sp
     assert "sequence(" not in plan and "merge" in plan
 
 
+def test_unique_counts_broadcast_no_side_thought_to_be_small(spark, tiny):
+    counts = QUERIES["pit_unique_count"](spark, tiny)
+    assert counts.count() == QUERIES["pit_histogram"](spark, tiny).select("user_id", "ts").distinct().count()
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString()  # as it ran
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "SortMergeJoin" in plan  # the queries were broadcast
+
+
 def test_temporal_of_nothing(spark):
     e = random_events(spark, 1)
     parts = parts_of(EVERY[:3])
